@@ -197,16 +197,18 @@ web AS (
          ELSE 'site-c' END AS property_id,
     user_id, event_id, ts, CAST(ts AS DATE) AS date,
     CASE WHEN event_type = 'error' AND CAST(ts AS DATE) >= DATE '2024-01-16' THEN 'error_v2' ELSE event_type END AS event_name,
-    event_type IN ('signup', 'purchase') AS is_key,
-    CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END AS revenue,
-    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
-  FROM events
+    event_type = 'purchase' AND k >= 25 OR event_type = 'signup' AND k >= 25 AND k % 3 <> 1 AS is_key,
+    CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END AS revenue, k
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 ),
 webd AS (
   SELECT *, CASE k % 7 WHEN 0 THEN 'Organic Search' WHEN 1 THEN 'Direct' WHEN 2 THEN 'Paid Search'
-      WHEN 3 THEN 'Referral' WHEN 4 THEN 'Email' WHEN 5 THEN '(not set)' ELSE 'Organic Social' END AS channel,
+      WHEN 3 THEN 'Referral' WHEN 4 THEN 'Email' WHEN 5 THEN '(not set)'
+      ELSE CASE WHEN date >= DATE '2024-01-16' THEN 'Direct' ELSE 'Organic Social' END END AS channel,
     CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device,
-    '/p/' || (k % 20) AS page, 'Country ' || (user_id % 12) AS country
+    '/p/' || (k // 25) AS page,
+    CASE WHEN date >= DATE '2024-01-16' AND user_id % 12 IN (3, 4, 5) AND k % 3 > 0 THEN 'Country 99'
+         ELSE 'Country ' || (user_id % 12) END AS country
   FROM web
 )"""
 
@@ -222,12 +224,15 @@ def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE 'site-c' END AS property_id""",
         "user_id", "event_id", "ts", "CAST(ts AS DATE) AS date",
         "IF(event_type = 'error' AND CAST(ts AS DATE) >= DATE '2024-01-16', 'error_v2', event_type) AS event_name",
-        "event_type IN ('signup', 'purchase') AS is_key",
+        "event_type = 'purchase' AND k >= 25 OR event_type = 'signup' AND k >= 25 AND k % 3 <> 1 AS is_key",
         "IF(event_type = 'purchase', CAST(value AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2))) AS revenue",
         """CASE k % 7 WHEN 0 THEN 'Organic Search' WHEN 1 THEN 'Direct' WHEN 2 THEN 'Paid Search'
-             WHEN 3 THEN 'Referral' WHEN 4 THEN 'Email' WHEN 5 THEN '(not set)' ELSE 'Organic Social' END AS channel""",
+             WHEN 3 THEN 'Referral' WHEN 4 THEN 'Email' WHEN 5 THEN '(not set)'
+             ELSE IF(CAST(ts AS DATE) >= DATE '2024-01-16', 'Direct', 'Organic Social') END AS channel""",
         "CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device",
-        "'/p/' || (k % 20) AS page", "'Country ' || (user_id % 12) AS country",
+        "'/p/' || (k div 25) AS page",
+        """IF(CAST(ts AS DATE) >= DATE '2024-01-16' AND user_id % 12 IN (3, 4, 5) AND k % 3 > 0, 'Country 99',
+             'Country ' || (user_id % 12)) AS country""",
     )
 
 

@@ -123,6 +123,15 @@ def freshness(
     )
 
 
+def flag(facts: DataFrame, windows: Windows, on: str = "date") -> DataFrame:
+    """Flag the rows of either window and keep the history around them."""
+    day = F.col(on)
+    return facts.withColumns({
+        "in_current": day.between(F.lit(windows.cur_start), F.lit(windows.cur_end)),
+        "in_previous": day.between(F.lit(windows.prev_start), F.lit(windows.prev_end)),
+    })
+
+
 def mark(facts: DataFrame, windows: Windows | DataFrame, on: str = "date") -> DataFrame:
     """Keep the rows of either window and flag which one they are in.
 
