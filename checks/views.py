@@ -207,7 +207,7 @@ webd AS (
       ELSE CASE WHEN date >= DATE '2024-01-16' THEN 'Direct' ELSE 'Organic Social' END END AS channel,
     CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device,
     '/p/' || (k // 25) AS page,
-    CASE WHEN date >= DATE '2024-01-16' AND user_id % 12 IN (3, 4, 5) AND k % 3 > 0 THEN 'Country 99'
+    CASE WHEN date >= DATE '2024-01-16' AND user_id % 12 IN (3, 4, 5) AND k % 3 = 0 THEN 'Country 99'
          ELSE 'Country ' || (user_id % 12) END AS country
   FROM web
 )"""
@@ -231,7 +231,7 @@ def web_events(spark: SparkSession, sf_dir: str) -> DataFrame:
              ELSE IF(CAST(ts AS DATE) >= DATE '2024-01-16', 'Direct', 'Organic Social') END AS channel""",
         "CASE k % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END AS device",
         "'/p/' || (k div 25) AS page",
-        """IF(CAST(ts AS DATE) >= DATE '2024-01-16' AND user_id % 12 IN (3, 4, 5) AND k % 3 > 0, 'Country 99',
+        """IF(CAST(ts AS DATE) >= DATE '2024-01-16' AND user_id % 12 IN (3, 4, 5) AND k % 3 = 0, 'Country 99',
              'Country ' || (user_id % 12)) AS country""",
     )
 

@@ -126,3 +126,30 @@ def rollup_merge(parts: list[DataFrame], keys: list[str]) -> tuple[DataFrame, Da
             joined = joined.withColumn(c, F.coalesce(F.col(f"_new_{c}"), F.col(c))).drop(f"_new_{c}")
         merged = joined.withColumn("_base", F.lit(True)).drop("_part")
     return merged.drop("_base"), strays
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a frame with one row per key, whose size is that of the data.
+
+    The explicit exchange on the unique side puts a shuffle directly under the join, which is the
+    shape AQE needs to split a partition of `rows` that one key has filled.
+    """
+    return rows.join(unique.repartition(*[F.col(c) for c in on]), on, how)
+
+
+def numbered(df: DataFrame, keys: list[str], seq: str, out: str, width: int = 1_000_000) -> DataFrame:
+    """`row_number` per key in the order of a whole-number sequence, for groups of any size.
+
+    Rows are ranked inside blocks of the sequence, then shifted by the rows of earlier blocks, so
+    no task sees more than one block of a hot key. `seq` is unique.
+    """
+    blocks = df.withColumn("_block", F.expr(f"{seq} div {width}"))
+    counts = blocks.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(seq))
+    ranked = blocks.withColumn("_inside", inside)
+    joined = ranked.join(offsets, [*keys, "_block"])
+    return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop(
+        "_block", "_inside", "_before")
