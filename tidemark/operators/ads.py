@@ -31,14 +31,34 @@ def base_measures() -> dict[str, Column]:
     return {m: F.col(m) for m in BASE_METRICS}
 
 
-def share_measures() -> dict[str, Column]:
-    """Numerator and weight of every impression-weighted share, as plain sums."""
+def with_share_sums(facts: DataFrame) -> DataFrame:
+    """Numerator and weight of every impression-weighted share as columns that add up.
+
+    Rows that already carry them (a roll-up) pass unchanged.
+    """
+    if "impression_share_num" in facts.columns:
+        return facts
     out: dict[str, Column] = {}
     for column in SHARES.values():
-        usable = F.col(column).isNotNull() & (F.col("impressions") != 0)
-        out[f"{column}_num"] = F.when(usable, F.col(column) * F.col("impressions"))
-        out[f"{column}_den"] = F.when(usable, F.col("impressions"))
-    return out
+        usable = f"{column} IS NOT NULL AND impressions <> 0"
+        out[f"{column}_num"] = F.expr(f"CASE WHEN {usable} THEN {column} * impressions END")
+        out[f"{column}_den"] = F.expr(f"CASE WHEN {usable} THEN impressions END")
+    return facts.withColumns(out)
+
+
+SHARE_SUMS = [f"{c}_{part}" for c in SHARES.values() for part in ("num", "den")]
+
+
+def rollup(facts: DataFrame, dims: list[str]) -> DataFrame:
+    """Marked facts summed to `dims`, both flags kept, ready for every operator below."""
+    sums = [*BASE_METRICS, *SHARE_SUMS]
+    return with_share_sums(facts).groupBy(
+        "property_id", *dims, "in_current", "in_previous"
+    ).agg(*[F.sum(m).alias(m) for m in sums])
+
+
+def share_measures() -> dict[str, Column]:
+    return {c: F.col(c) for c in SHARE_SUMS}
 
 
 def with_ratios(totals: DataFrame, prefixes: tuple[str, ...] = ("cur_", "prev_")) -> DataFrame:
@@ -65,7 +85,9 @@ def with_shares(totals: DataFrame, prefixes: tuple[str, ...] = ("cur_", "prev_")
 
 def account_totals(facts: DataFrame) -> DataFrame:
     """One row per property with both periods, ratios and weighted shares, from marked facts."""
-    sums = two_period(facts, ["property_id"], {**base_measures(), **share_measures()})
+    sums = two_period(
+        with_share_sums(facts), ["property_id"], {**base_measures(), **share_measures()}
+    )
     return with_shares(with_ratios(sums))
 
 
@@ -132,7 +154,8 @@ def share_coverage(campaign_totals: DataFrame) -> DataFrame:
 
 def campaign_totals(facts: DataFrame) -> DataFrame:
     sums = two_period(
-        facts, ["property_id", "campaign_id"], {**base_measures(), **share_measures()}
+        with_share_sums(facts), ["property_id", "campaign_id"],
+        {**base_measures(), **share_measures()},
     )
     return with_shares(with_ratios(sums)).withColumn("present_in", present_in())
 

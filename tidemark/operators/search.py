@@ -23,6 +23,9 @@ MEASURES = ["clicks", "impressions", "pos_num", "pos_den"]
 
 
 def with_position_sums(facts: DataFrame) -> DataFrame:
+    """Weighted position as two columns that add up; a roll-up already has them."""
+    if "pos_num" in facts.columns:
+        return facts
     usable = "position IS NOT NULL AND impressions <> 0"
     return facts.withColumns({
         "pos_num": F.expr(f"CASE WHEN {usable} THEN position * impressions END"),
@@ -35,6 +38,13 @@ def band_sql(position: str) -> str:
     return f"CASE WHEN {position} < 0 THEN NULL {cases} END"
 
 
+def rollup(facts: DataFrame, dims: list[str]) -> DataFrame:
+    """Marked facts summed to `dims` with both flags, ready for every operator below."""
+    return with_position_sums(facts).groupBy(
+        "property_id", *dims, "in_current", "in_previous"
+    ).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
 def reaggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Finer exports summed to `keys`: sums add, CTR and position are recomputed.
 
