@@ -9,6 +9,8 @@ from tidemark.functions.compare import long_kpis
 from tidemark.operators import ads, ads_findings
 from tidemark.operators.findings import ordered, union_findings
 from tidemark.operators.periods import mark
+from tidemark.plans.ads_report import ROLLUP_DIMS
+from tidemark.session import stage
 
 from . import sqlgen as g
 from .views import (
@@ -37,9 +39,10 @@ def kpi_row(spark, sf):
 
 
 def campaigns(spark, sf):
-    return ads.campaign_table(
-        ads.campaign_totals(marked(spark, sf)), kpi_row(spark, sf), campaign_dim(spark, sf)
-    )
+    """Account and campaign figures from one roll-up of the facts."""
+    base = stage(ads.rollup(marked(spark, sf), ["campaign_id"]), "campaigns")
+    kpis = ads.kpis_wide(ads.account_totals(base))
+    return ads.campaign_table(ads.campaign_totals(base), kpis, campaign_dim(spark, sf))
 
 
 def actions(spark, sf):
@@ -497,7 +500,7 @@ def fa21_fa25_tracking_findings(spark, sf):
 
 
 def all_findings(spark, sf):
-    rows = marked(spark, sf)
+    rows = stage(ads.rollup(marked(spark, sf), ROLLUP_DIMS), "rollup")
     kpis = ads.kpis_wide(ads.account_totals(rows))
     table = ads.campaign_table(ads.campaign_totals(rows), kpis, campaign_dim(spark, sf))
     silent = ads.silent_actions(ads.conversion_actions(rows, action_metadata(spark, sf)))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.catalog import SEARCH_FLOORS, SEARCH_KPIS
 from tidemark.functions.compare import long_kpis
 from tidemark.operators import periods, search, search_findings, timeseries
-from tidemark.operators.findings import union_findings
 from tidemark.operators.periods import mark
+from tidemark.session import stage
 
 from . import sqlgen as g
 from .views import SEARCH_SQL, YEAR_WINDOWS, search_stats, table
@@ -168,9 +168,10 @@ def a20_ctr_benchmarks(spark, sf):
 
 
 def lists(rows, key):
-    """The ranked lists of one dimension."""
-    recs = search.records(rows, [key])
-    fig = search.property_figures(totals(rows))
+    """The ranked lists of one dimension, from one scan of the facts."""
+    sides = stage(search.two_sided(rows, ["property_id", key]), f"sides-{key}")
+    recs = search.clean(sides, [key])
+    fig = search.property_figures(search.totals_of(sides))
     return {
         "losers": search.click_movers(recs, fig, key, "loss"),
         "winners": search.click_movers(recs, fig, key, "gain"),
@@ -299,8 +300,8 @@ SELECT property_id, sum(clicks) AS dimension_clicks, sum(impressions) AS dimensi
   {g.rnd('sum(clicks) / nullif(any_value(p_clicks), 0) * 100.0', 1)} AS coverage_pct
 FROM rec JOIN fig USING (property_id) WHERE present_in <> 'previous only' GROUP BY property_id""")
 def a14_reconciliation(spark, sf):
-    rows = web_only(spark, sf)
-    return search.reconciliation(search.records(rows, ["appearance"]), totals(rows))
+    sides = search.two_sided(web_only(spark, sf), ["property_id", "appearance"])
+    return search.reconciliation(search.clean(sides, ["appearance"]), search.totals_of(sides))
 
 
 SHARES = """shares AS (SELECT *, CASE WHEN clicks <> 0 THEN {c} END AS share_of_clicks_pct,
@@ -364,7 +365,7 @@ CANNIBAL = f"""cann AS (SELECT property_id, query, pages, total_impressions, {g.
 @register("an14_win2_cannibalisation", g.with_(*FIG, PAIRS, CANNIBAL) +
           "SELECT property_id, query, pages, total_impressions, second_page_share_pct, top_pages, rank FROM cann")
 def an14_win2_cannibalisation(spark, sf):
-    rows = web_only(spark, sf)
+    rows = stage(search.rollup(web_only(spark, sf), ["query", "page"]), "query-pages")
     c = search.cannibalisation(search.query_pages(rows), search.property_figures(totals(rows)))
     return c.select("property_id", "query", F.col("pages"), F.col("total_impressions").cast("double").alias("total_impressions"),
                     "second_page_share_pct", F.array_join(F.transform("top_pages", lambda p: p["page"]), " ").alias("top_pages"), "rank")
@@ -578,7 +579,7 @@ def fs16_country_findings(spark, sf):
 SELECT property_id, 'cannibalisation:' || query AS id, 'cannibalisation' AS type, 'low' AS severity, 'low' AS confidence, 'query' AS scope,
   query AS entity, 'observations' AS detail FROM cann WHERE rank <= 3""")
 def fs17_cannibal_findings(spark, sf):
-    rows = web_only(spark, sf)
+    rows = stage(search.rollup(web_only(spark, sf), ["query", "page"]), "query-pages")
     c = search.cannibalisation(search.query_pages(rows), search.property_figures(totals(rows)))
     return search_findings.cannibal_findings(c).select(*OUT)
 

@@ -11,6 +11,7 @@ from tidemark.functions.compare import long_kpis
 from tidemark.operators import timeseries, web, web_findings
 from tidemark.operators.findings import union_findings
 from tidemark.operators.periods import calendar, flag
+from tidemark.session import stage
 
 from . import sqlgen as g
 from .views import EVENT_SQL, EVENT_WINDOWS, web_events
@@ -33,6 +34,11 @@ def sessions(spark, sf):
     return flag(s, EVENT_WINDOWS)
 
 
+def staged(spark, sf):
+    """Sessions as a table, for queries that read them more than once."""
+    return stage(sessions(spark, sf), "sessions")
+
+
 def marked_events(spark, sf):
     return flag(web_events(spark, sf), EVENT_WINDOWS).filter("in_current OR in_previous")
 
@@ -420,7 +426,7 @@ ACQ = f"""acq AS (SELECT property_id, 'acquisition_move:' || key AS id, CASE WHE
 @register("fw11_acquisition_findings", g.with_(*SEGS, CAPPED, *movers_sql("channels", 5), breakdown_sql("property_id", "sess", "tot"), BASES, ACQ) +
           "SELECT * EXCLUDE (direction) FROM acq")
 def fw11_acquisition_findings(spark, sf):
-    s = sessions(spark, sf)
+    s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
     top = web.movers(web.capped(web.all_breakdowns(s, {"channels": "channel"})), 5)
     return web_findings.segment_findings(web.with_property_sessions(top, kpis)).select(*OUT)
@@ -439,7 +445,7 @@ LAND = [JUDGED.replace(">= 100", ">= 10"),
 
 @register("fw12_fw14_landing_findings", g.with_(*SEGS, CAPPED, breakdown_sql("property_id", "sess", "tot"), BASES, *LAND) + "SELECT * FROM land")
 def fw12_fw14_landing_findings(spark, sf):
-    s = sessions(spark, sf)
+    s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
     pages = web.capped(web.all_breakdowns(s, {"landing_pages": "landing_page"}))
     moved = web.movers(pages.filter("coalesce(cur_sessions, 0) >= 10 OR coalesce(prev_sessions, 0) >= 10"), 6)
@@ -488,7 +494,7 @@ TREND = """trend AS (SELECT property_id, 'daily_missing_days' AS id, 'anomaly' A
 
 @register("fw18_fw20_trend_findings", g.with_(*SESS, DAILY, CAL, MISS, ZS, DRIFT, TREND) + "SELECT * FROM trend")
 def fw18_fw20_trend_findings(spark, sf):
-    cur = daily(spark, sf).filter("period = 'current'")
+    cur = stage(daily(spark, sf).filter("period = 'current'"), "daily")
     return web_findings.trend_findings(
         timeseries.missing_days(days(spark, sf), cur), timeseries.web_anomalies(cur, ["sessions", "keyEvents", "totalRevenue"]),
         timeseries.drift(cur)).select(*OUT)
@@ -512,16 +518,16 @@ def fw21_ecommerce_findings(spark, sf):
 SELECT property_id, 'geo_move:' || key AS id, 'observation' AS type, 'low' AS severity, 'high' AS confidence, 'geo' AS scope, key AS entity
 FROM schg JOIN bs USING (property_id) WHERE NOT base0 AND material AND abs(absolute_change) >= 20""")
 def fw22_geo_findings(spark, sf):
-    s = sessions(spark, sf)
+    s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
     top = web.geo_movers(web.capped(web.all_breakdowns(s, {"geo_country": "country"})), 20)
     return web_findings.geo_findings(web.with_property_sessions(top, kpis)).select(*OUT)
 
 
 def all_findings(spark, sf):
-    s = sessions(spark, sf)
+    s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
-    cur = web.daily(s).filter("period = 'current'")
+    cur = stage(web.daily(s).filter("period = 'current'"), "daily")
     gaps = timeseries.missing_days(days(spark, sf), cur)
     top = web.movers(web.capped(web.all_breakdowns(s, {"channels": "channel"})), 5)
     found = union_findings([

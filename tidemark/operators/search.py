@@ -60,7 +60,10 @@ def reaggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
 def two_sided(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Both periods per key with CTR in percent and weighted position, unrounded."""
     measures = {m: F.col(m) for m in MEASURES}
-    sums = two_period(with_position_sums(facts), keys, measures)
+    return _with_rates(two_period(with_position_sums(facts), keys, measures))
+
+
+def _with_rates(sums: DataFrame) -> DataFrame:
     out = {}
     for p in ("cur_", "prev_"):
         out[p + "ctr"] = F.expr(
@@ -94,14 +97,25 @@ def property_figures(totals: DataFrame) -> DataFrame:
     )
 
 
+def totals_of(sides: DataFrame) -> DataFrame:
+    """Property totals from the sums of a finer `two_sided` frame; position is weighted again."""
+    names = [f"{p}{m}" for p in ("cur_", "prev_") for m in MEASURES]
+    sums = sides.groupBy("property_id").agg(*[F.sum(c).alias(c) for c in names])
+    return _with_rates(sums)
+
+
 def records(facts: DataFrame, dims: list[str]) -> DataFrame:
+    """`clean` records of a dimension straight from marked facts."""
+    return clean(two_sided(facts, ["property_id", *dims]), dims)
+
+
+def clean(sides: DataFrame, dims: list[str]) -> DataFrame:
     """One row per property and key with both periods, deltas, band and rounding.
 
     Figures are rounded once here and every later threshold reads the rounded value; only the band
-    comes from the unrounded position. A side without rows stays null.
+    comes from the unrounded position. A side without rows stays null; null keys drop out.
     """
-    keyed = facts.filter(" AND ".join(f"{d} IS NOT NULL" for d in dims))
-    raw = two_sided(keyed, ["property_id", *dims]).withColumns({
+    raw = sides.filter(" AND ".join(f"{d} IS NOT NULL" for d in dims)).withColumns({
         "c1": F.expr("CAST(cur_clicks AS DOUBLE)"), "c0": F.expr("CAST(prev_clicks AS DOUBLE)"),
         "i1": F.expr("CAST(cur_impressions AS DOUBLE)"),
         "i0": F.expr("CAST(prev_impressions AS DOUBLE)"),
