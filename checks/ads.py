@@ -501,7 +501,7 @@ def fa21_fa25_tracking_findings(spark, sf):
 
 def all_findings(spark, sf):
     rows = stage(ads.rollup(marked(spark, sf), ROLLUP_DIMS), "rollup")
-    kpis = ads.kpis_wide(ads.account_totals(rows))
+    kpis = stage(ads.kpis_wide(ads.account_totals(rows)), "kpis")
     table = ads.campaign_table(ads.campaign_totals(rows), kpis, campaign_dim(spark, sf))
     silent = ads.silent_actions(ads.conversion_actions(rows, action_metadata(spark, sf)))
     return union_findings([

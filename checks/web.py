@@ -526,7 +526,7 @@ def fw22_geo_findings(spark, sf):
 
 def all_findings(spark, sf):
     s = staged(spark, sf)
-    kpis = web.kpis_wide(web.totals(s))
+    kpis = stage(web.kpis_wide(web.totals(s)), "kpis")
     cur = stage(web.daily(s).filter("period = 'current'"), "daily")
     gaps = timeseries.missing_days(days(spark, sf), cur)
     top = web.movers(web.capped(web.all_breakdowns(s, {"channels": "channel"})), 5)

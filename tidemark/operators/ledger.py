@@ -252,7 +252,7 @@ def category_deviations(rows: DataFrame) -> DataFrame:
 def missing_files(ledger: DataFrame, files: DataFrame) -> DataFrame:
     """Ledger rows whose file is absent or not named."""
     named = ledger.withColumn("path", F.col("file_path"))
-    return named.join(files.select("path").distinct(), "path", "left_anti").drop("path")
+    return named.join(files.select("path"), "path", "left_anti").drop("path")
 
 
 def orphan_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def orphan_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
         f"NOT startswith({name}, '.') AND NOT (coalesce(top_level, false) AND {name} IN ({artefacts}))"
         if "top_level" in files.columns else f"NOT startswith({name}, '.') AND {name} NOT IN ({artefacts})")
     return receipts.join(
-        ledger.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
+        ledger.select(F.col("file_path").alias("path")), "path", "left_anti")
 
 
 def audit(ledger: DataFrame, files: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def audit(ledger: DataFrame, files: DataFrame) -> DataFrame:
 
 def pending(inbox: DataFrame, booked: DataFrame, reported: DataFrame) -> DataFrame:
     """Inbox files neither booked nor reported in this run."""
-    done = booked.select("path").unionByName(reported.select("path")).distinct()
+    done = booked.select("path").unionByName(reported.select("path"))
     return inbox.join(done, "path", "left_anti")
 
 

@@ -28,7 +28,7 @@ def build(
     base = stage(ads.rollup(rows, ROLLUP_DIMS), "ads-rollup")
     # A few rows per property, read by most parts below: worth a table of its own size.
     totals = stage(ads.account_totals(base), "ads-totals")
-    kpis = ads.kpis_wide(totals)
+    kpis = stage(ads.kpis_wide(totals), "ads-kpis")
     campaigns = stage(
         ads.campaign_table(ads.campaign_totals(base), kpis, attributes), "ads-campaigns")
     device, network = ads.segment_mix(base, "device"), ads.segment_mix(base, "network")

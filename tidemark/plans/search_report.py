@@ -41,7 +41,7 @@ def build(
     base = stage(search.rollup(marked, ROLLUP_DIMS), "search-rollup")
     main = base.filter(F.col("search_type") == search_type)
     totals = stage(search.two_sided(main, ["property_id"]), "search-totals")
-    figures, kpis = search.property_figures(totals), search.kpis_wide(totals)
+    figures, kpis = search.property_figures(totals), stage(search.kpis_wide(totals), "search-kpis")
     daily = marked.filter((F.col("search_type") == search_type) & F.col("in_current")).groupBy(
         "property_id", "date").agg(
         F.sum("clicks").cast("double").alias("clicks"),

@@ -28,7 +28,7 @@ def build(
         flag(web.with_first_seen(web.sessionize(events, gap_minutes)), windows), "web-sessions")
     marked = flag(events, windows).filter("in_current OR in_previous")
     totals = stage(web.totals(sessions), "web-totals")
-    kpis = web.kpis_wide(totals)
+    kpis = stage(web.kpis_wide(totals), "web-kpis")
     segments = stage(web.capped(web.all_breakdowns(sessions, dimensions or DIMENSIONS)),
                      "web-segments")
 
