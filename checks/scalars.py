@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, display, nulls, text
 from tidemark.functions.catalog import ADS_KPIS, HEADLINES
 from tidemark.functions.compare import long_kpis
-from tidemark.operators import ads, aggregate, periods, quality, search, timeseries, web
+from tidemark.operators import ads, ads_findings, aggregate, periods, quality, search, timeseries, web
 from tidemark.operators.findings import with_lines
 from tidemark.session import fresh_path
 from tidemark.sources import envelopes, exports, files
@@ -450,8 +450,9 @@ def snk5_ecommerce_csv(spark, sf):
 def snk1_kpi_documents(spark, sf):
     path = fresh_path(spark, "kpi-documents")
     kpis = long_kpis(ads_checks_.kpi_row(spark, sf), ADS_KPIS, ["property_id"]).select("property_id", "key", "current", "verdict", "material")
-    empty = kpis.filter("false")
-    exports.write_analysis(exports.analysis_documents(kpis, empty, empty, "1999-12-31"), path)
+    found = ads_checks_.all_findings(spark, sf)
+    actions = ads_findings.recommendations(found)
+    exports.write_analysis(exports.analysis_documents(kpis, found, actions, "1999-12-31"), path)
     back = spark.read.schema("kpis array<struct<key:string,current:double,verdict:string,material:boolean>>, property_id string").json(path)
     return back.select("property_id", F.inline("kpis"))
 

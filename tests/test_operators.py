@@ -145,3 +145,24 @@ def test_sessions_match_brute_force(spark):
             n, last = n + 1, ts
         want.append((user, start, n))
     assert got == sorted(want)
+
+
+def test_ranked_all_equals_row_number(spark):
+    rows = spark.range(2000).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('k', id % 7)) AS k", "id * 37 % 11 AS a", "CAST(id AS STRING) AS b")
+    got = {(r["k"], r["b"]): r["n"] for r in aggregate.ranked_all(rows, ["k"], ["a", "b"], "n").collect()}
+    want, seen = {}, defaultdict(int)
+    for r in sorted(rows.collect(), key=lambda r: (r["k"], r["a"], r["b"])):
+        seen[r["k"]] += 1
+        want[(r["k"], r["b"])] = seen[r["k"]]
+    assert got == want
+
+
+def test_windows_per_property_by_shuffle_and_by_broadcast(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("concat('p', id % 4) AS property_id", "date_add(DATE '2026-01-01', CAST(id % 50 AS INT)) AS date", "id")
+    frame = spark.createDataFrame([(f"p{i}", date(2026, 1, 20 + i), date(2026, 1, 29 + (i > 0)), date(2026, 1, 10), date(2026, 1, 19)) for i in range(3)],
+                                  "property_id string, cur_start date, cur_end date, prev_start date, prev_end date")
+    near = sorted(map(str, periods.mark(rows, frame).select("id", "in_current", "in_previous").collect()))
+    monkeypatch.setattr(periods, "BROADCAST_ROWS", 0)
+    far = sorted(map(str, periods.mark(rows, frame).select("id", "in_current", "in_previous").collect()))
+    assert near and near == far

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
+from ..session import stage
 
 
 def two_period(
@@ -153,3 +154,24 @@ def numbered(df: DataFrame, keys: list[str], seq: str, out: str, width: int = 1_
     joined = ranked.join(offsets, [*keys, "_block"])
     return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop(
         "_block", "_inside", "_before")
+
+
+def ranked_all(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Position of every row inside its key, for keys of any size.
+
+    Rows are range-partitioned by key and order, so a big key spans many tasks; each task ranks
+    its stretch and is shifted by the rows of the stretches before it. The ranged rows are written
+    once, because a second evaluation could draw other range bounds.
+    """
+    columns = [F.col(c) for c in [*keys, *order]]
+    ranged = stage(
+        df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return (
+        ranged.withColumn("_inside", inside).join(offsets, [*keys, "_part"])
+        .withColumn(out, F.col("_inside") + F.col("_before"))
+        .drop("_part", "_inside", "_before")
+    )

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import Kpi
 from ..functions.display import evidence_line, quoted
+from .aggregate import ranked_all
 
 FINDING_COLUMNS = [
     "id", "type", "severity", "confidence", "scope", "entity", "amount", "detail", "evidence",
@@ -99,14 +100,19 @@ def priority_rank(priority: Column) -> Column:
 
 
 def first_per_action(recommendations: DataFrame) -> DataFrame:
-    """One row per property and action, the highest priority kept."""
-    w = Window.partitionBy("property_id", "action").orderBy("priority_rank", "from_finding")
-    return (
-        recommendations.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    )
+    """One row per property and action, the highest priority kept.
+
+    A minimum over a struct combines before the shuffle, unlike a ranking window.
+    """
+    rest = [c for c in recommendations.columns if c not in ("property_id", "action")]
+    first = ["priority_rank", "from_finding"]
+    fields = first + [c for c in rest if c not in first]
+    best = recommendations.groupBy("property_id", "action").agg(
+        F.min(F.struct(*fields)).alias("best"))
+    return best.select("property_id", "action", "best.*")
 
 
 def ordered(recommendations: DataFrame) -> DataFrame:
     """Number recommendations inside each property: priority first, then finding id."""
-    w = Window.partitionBy("property_id").orderBy("priority_rank", "from_finding", "action")
-    return recommendations.withColumn("position", F.row_number().over(w))
+    return ranked_all(
+        recommendations, ["property_id"], ["priority_rank", "from_finding", "action"], "position")

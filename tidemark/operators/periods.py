@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import FRESHNESS_LOOKBACK_DAYS, RETENTION_DAYS
+from ..session import stage
+from .aggregate import attach
 
 
 @dataclass(frozen=True)
@@ -132,29 +134,36 @@ def flag(facts: DataFrame, windows: Windows, on: str = "date") -> DataFrame:
     })
 
 
+# Windows of a million properties take some 60 MB on every executor.
+BROADCAST_ROWS = 1_000_000
+
+
 def mark(facts: DataFrame, windows: Windows | DataFrame, on: str = "date") -> DataFrame:
     """Keep the rows of either window and flag which one they are in.
 
     Two flags rather than one label, because overlapping windows count a day twice. With one pair
-    of windows the bounds are literals and are pushed into the scan. With a frame the rows are
-    joined on the property; Catalyst broadcasts the frame only when its size allows.
+    of windows the bounds are literals and are pushed into the scan. With a frame of windows per
+    property, the outermost bounds are pushed down; the frame is written once and counted, then
+    broadcast up to a million rows, and beyond that joined by a salted shuffle.
     """
-    day = F.col(on)
     if isinstance(windows, Windows):
-        in_cur = day.between(F.lit(windows.cur_start), F.lit(windows.cur_end))
-        in_prev = day.between(F.lit(windows.prev_start), F.lit(windows.prev_end))
-        source = facts
+        flagged = flag(facts, windows, on)
+        return flagged.filter("in_current OR in_previous")
+    bounds = stage(
+        windows.select("property_id", "cur_start", "cur_end", "prev_start", "prev_end"), "windows")
+    outer = bounds.agg(
+        F.count("*").alias("n"), F.least(F.min("cur_start"), F.min("prev_start")).alias("lo"),
+        F.greatest(F.max("cur_end"), F.max("prev_end")).alias("hi")).first()
+    rows = facts.filter(F.col(on).between(F.lit(outer["lo"]), F.lit(outer["hi"])))
+    if outer["n"] <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(bounds), "property_id")
     else:
-        bounds = windows.select("property_id", "cur_start", "cur_end", "prev_start", "prev_end")
-        source = facts.join(bounds, "property_id")
-        in_cur = day.between(F.col("cur_start"), F.col("cur_end"))
-        in_prev = day.between(F.col("prev_start"), F.col("prev_end"))
-    marked = source.filter(in_cur | in_prev).withColumns(
-        {"in_current": in_cur, "in_previous": in_prev}
-    )
-    return marked if isinstance(windows, Windows) else marked.drop(
-        "cur_start", "cur_end", "prev_start", "prev_end"
-    )
+        spread = [c for c, t in facts.dtypes if not t.startswith(("map", "struct", "array"))]
+        joined = attach(rows, bounds, ["property_id"], spread, "inner")
+    return joined.withColumns({
+        "in_current": F.expr(f"{on} BETWEEN cur_start AND cur_end"),
+        "in_previous": F.expr(f"{on} BETWEEN prev_start AND prev_end"),
+    }).filter("in_current OR in_previous").drop("cur_start", "cur_end", "prev_start", "prev_end")
 
 
 def calendar(windows: Windows | DataFrame, properties: DataFrame | None = None) -> DataFrame:

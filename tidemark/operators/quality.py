@@ -221,8 +221,8 @@ def distinct_warnings(warnings: DataFrame) -> DataFrame:
 
 def first_reasons(unavailable: DataFrame) -> DataFrame:
     """Unavailable names once per property; the first reason stands."""
-    w = Window.partitionBy("property_id", "name").orderBy("seq")
-    return unavailable.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return unavailable.groupBy("property_id", "name").agg(
+        F.min(F.struct("seq", "reason")).alias("first")).select("property_id", "name", "first.*")
 
 
 def headline_kpis(kpis_long: DataFrame, preferred: list[str], limit: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.catalog import (
     ECOMMERCE_KPIS, WEB_KPIS, WEB_MIN_KEY_EVENTS, WEB_MIN_SESSIONS,
 )
 from ..functions.display import delta_text, evidence_line, grouped, percent_text
+from .aggregate import attach
 from .findings import Rule, fire, recommend, rule, with_lines
 
 
@@ -163,7 +164,7 @@ def event_findings(events: DataFrame, baselines: DataFrame) -> DataFrame:
              "AND d_count.availability = 'available')")
     line = evidence_line("d_count", "event_name", "int")
     common = {"entity": "event_name", "evidence": [line]}
-    return fire(events.join(baselines, "property_id"), [
+    return fire(attach(events, baselines, ["property_id"], ["event_name"], "inner"), [
         rule(f"NOT baseline_empty AND {stopped}", "concat('event_stopped:', event_name)",
              "'anomaly'", "if(is_key_event, 'high', 'medium')", "'medium'", "'tracking'", **common),
         rule(f"NOT baseline_empty AND NOT {stopped} AND {fresh}",

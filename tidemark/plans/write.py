@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.aggregate import top_per
-from ..operators.findings import priority_rank
 from ..sources import exports
 
-DOCUMENT_FINDINGS = 100
-
 
 def write_report(report: dict[str, DataFrame], folder: str, period_end: str) -> None:
-    """Tables in full; the document lists the first hundred findings of a property."""
+    """Tables in full; documents read the tables back instead of computing the report again."""
     for name, df in report.items():
         df.write.mode("overwrite").parquet(f"{folder}/tables/{name}")
     spark = report["kpis"].sparkSession
     tables = {n: spark.read.parquet(f"{folder}/tables/{n}")
               for n in ("kpis", "findings", "recommendations")}
-    order = [priority_rank(F.initcap("severity")).asc(), F.col("id").asc()]
-    findings = top_per(tables["findings"], ["property_id"], order, DOCUMENT_FINDINGS)
-    actions = top_per(tables["recommendations"].drop("position"), ["property_id"],
-                      [F.col("priority_rank").asc(), F.col("from_finding").asc()],
-                      DOCUMENT_FINDINGS)
-    documents = exports.analysis_documents(tables["kpis"], findings, actions, period_end)
+    documents = exports.analysis_documents(
+        tables["kpis"], tables["findings"], tables["recommendations"], period_end)
     exports.write_analysis(documents, f"{folder}/documents")
     exports.write_kpis(tables["kpis"], f"{folder}/kpis", period_end)

@@ -6,24 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import csv_cell
+from ..operators.aggregate import top_per
+from ..operators.findings import priority_rank
+
+
+DOCUMENT_ROWS = 100
 
 
 def analysis_documents(
-    kpis: DataFrame, findings: DataFrame, recommendations: DataFrame, period_end: str
+    kpis: DataFrame, findings: DataFrame, recommendations: DataFrame, period_end: str,
+    limit: int = DOCUMENT_ROWS,
 ) -> DataFrame:
-    """One document per property: KPIs, findings and recommendations as nested lists.
+    """One document per property: KPIs, and the gravest findings and first recommendations.
 
-    Each list is bounded by the rules that fill it: a fixed set of KPIs, and top-k findings. The
-    findings of very many campaigns stay in the findings table, so the document keeps the first
-    hundred by severity.
+    The KPIs are a fixed set. Findings of very many campaigns stay complete in the findings table;
+    the document lists the first `limit`, cut before anything is gathered.
     """
     def nested(df: DataFrame, name: str) -> DataFrame:
         columns = [c for c in df.columns if c != "property_id"]
         return df.groupBy("property_id").agg(
             F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
+    gravity = priority_rank(F.initcap("severity")).asc()
+    found = top_per(findings, ["property_id"], [gravity, F.col("id").asc()], limit)
+    actions = top_per(recommendations, ["property_id"], [
+        F.col("priority_rank").asc(), F.col("from_finding").asc(), F.col("action").asc()], limit)
     documents = nested(kpis, "kpis")
-    for df, name in ((findings, "findings"), (recommendations, "recommended_actions")):
+    for df, name in ((found, "findings"), (actions, "recommended_actions")):
         documents = documents.join(nested(df, name), "property_id", "left")
     return documents.withColumn("period_end", F.lit(period_end))
 
