@@ -1,8 +1,6 @@
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from tidemark.streaming import events, inbox
 
 EVENT = "property_id string, user_id int, ts timestamp_ntz, event_name string, is_key boolean, revenue decimal(18,2)"

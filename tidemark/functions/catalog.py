@@ -98,7 +98,7 @@ WEB_CANONICAL = {
 }
 KEY_EVENT_METRICS = ["keyEvents", "sessionKeyEventRate", "userKeyEventRate"]
 LEGACY_KEY_EVENT_METRICS = ["conversions", "sessionConversionRate", "userConversionRate"]
-ECOMMERCE_SIGNALS = ["transactions", "purchaseRevenue", "ecommercePurchases", "totalRevenue"]
+ECOMMERCE_SIGNALS = ["transactions", "ecommercePurchases", "purchaseRevenue", "totalRevenue"]
 
 # Dimension names by role, most recent name first.
 DIMENSION_ALIASES = {

@@ -74,10 +74,6 @@ def weight_used(value: Column, weight: Column) -> Column:
     return F.coalesce(F.sum(F.when(usable, weight)).cast("double"), F.lit(0.0))
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(F.trim(text) == "", None).otherwise(text)
-
-
 def label_or(text: Column, default: str) -> Column:
     """A null or empty label takes the default."""
     return F.when(text.isNull() | (text == ""), F.lit(default)).otherwise(text)

@@ -16,11 +16,6 @@ from ..functions.catalog import Kpi
 from ..functions.display import evidence_line, quoted
 from .aggregate import ranked_all
 
-FINDING_COLUMNS = [
-    "id", "type", "severity", "confidence", "scope", "entity", "amount", "detail", "evidence",
-]
-
-
 def rule(
     when: str,
     id: str,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import (
-    ECOMMERCE_KPIS, FUNNEL_STEPS, UNATTRIBUTED_LABELS, WEB_CAPS, WEB_FLOORS, WEB_KPIS,
+    ECOMMERCE_KPIS, ECOMMERCE_SIGNALS, FUNNEL_STEPS, UNATTRIBUTED_LABELS, WEB_CAPS, WEB_FLOORS, WEB_KPIS,
     WEB_MATERIAL_PCT, WEB_MIN_SESSIONS,
 )
 from ..functions.compare import Change, kpi_changes, standard_changes
@@ -108,17 +108,19 @@ def breakdown(flagged: DataFrame, keys: list[str]) -> DataFrame:
             F.count_if(F.expr(f"{p}key_sessions > 0")).alias(p + "n_key_users"),
             F.count_if(F.expr(f"{p}purchases > 0")).alias(p + "n_purchasers"),
             F.count_if(F.expr(f"{p}first_purchases > 0")).alias(p + "n_first_purchasers"),
-            *[F.sum(p + c).alias(p + "s_" + c) for c in SESSION_SUMS],
+            # Microseconds of very many sessions outgrow a long.
+            F.sum(F.col(p + "duration_us").cast("decimal(20,0)")).alias(p + "s_duration_us"),
+            *[F.sum(p + c).alias(p + "s_" + c) for c in SESSION_SUMS if c != "duration_us"],
         ]
     sums = users.groupBy(*keys).agg(*aggs).filter("cur_rows > 0 OR prev_rows > 0")
     columns = [*keys, "cur_rows", "prev_rows"]
     for p in ("cur_", "prev_"):
         columns += [f"CASE WHEN {p}rows > 0 THEN {sql} END AS {p}{name}"
-                    for name, sql in _METRICS(p).items()]
+                    for name, sql in _metric_sql(p).items()]
     return sums.selectExpr(*columns).withColumn("present_in", present_in())
 
 
-def _METRICS(p: str) -> dict[str, str]:
+def _metric_sql(p: str) -> dict[str, str]:
     def d(a, b):
         return f"try_divide(CAST({p}{a} AS DOUBLE), CAST({p}{b} AS DOUBLE))"
 
@@ -158,7 +160,7 @@ def totals(flagged: DataFrame) -> DataFrame:
 def ecommerce_state(property_totals: DataFrame) -> DataFrame:
     """active with any positive signal, no_data with only zeros, unavailable without values."""
     signals = [f"{p}{m}" for p in ("cur_", "prev_")
-               for m in ("transactions", "purchaseRevenue", "ecommercePurchases", "totalRevenue")]
+               for m in ECOMMERCE_SIGNALS]
     positive = " OR ".join(f"coalesce({c} > 0, false)" for c in signals)
     present = f"coalesce({', '.join(f'CAST({c} AS DOUBLE)' for c in signals)}) IS NOT NULL"
     return property_totals.withColumn("ecommerce_state", F.expr(

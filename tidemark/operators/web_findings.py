@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import (
-    ECOMMERCE_KPIS, WEB_KPIS, WEB_MIN_KEY_EVENTS, WEB_MIN_SESSIONS,
+    AUTOMATIC_EVENTS, ECOMMERCE_KPIS, WEB_KPIS, WEB_MIN_KEY_EVENTS, WEB_MIN_SESSIONS,
 )
 from ..functions.display import delta_text, evidence_line, grouped, percent_text
 from .aggregate import attach
@@ -164,6 +164,7 @@ def event_findings(events: DataFrame, baselines: DataFrame) -> DataFrame:
              "AND d_count.availability = 'available')")
     line = evidence_line("d_count", "event_name", "int")
     common = {"entity": "event_name", "evidence": [line]}
+    automatic = ", ".join(f"'{e}'" for e in AUTOMATIC_EVENTS)
     return fire(attach(events, baselines, ["property_id"], ["event_name"], "inner"), [
         rule(f"NOT baseline_empty AND {stopped}", "concat('event_stopped:', event_name)",
              "'anomaly'", "if(is_key_event, 'high', 'medium')", "'medium'", "'tracking'", **common),
@@ -174,7 +175,9 @@ def event_findings(events: DataFrame, baselines: DataFrame) -> DataFrame:
              "concat('event_swing:', event_name)",
              "if(abs(d_count.percent_change) >= 150, 'anomaly', 'observation')",
              "if(is_key_event, 'high', 'low')", "'medium'",
-             "if(is_key_event, 'events', 'tracking')", **common),
+             "if(is_key_event, 'events', 'tracking')",
+             detail=f"CASE WHEN is_key_event THEN 'key event' WHEN event_name IN ({automatic}) "
+                    "THEN 'automatic' ELSE 'check the tag' END", **common),
     ])
 
 

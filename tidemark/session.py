@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 # Runtime SQL settings every plan relies on. Cluster sizing stays with the cluster.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,7 +56,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, in the innermost open scope of this thread."""
+    scopes = getattr(_open, "scopes", None)
+    parent = scopes[-1] if scopes else (
+        f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")
+    return f"{parent}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging_scope(spark: SparkSession):
+    """Tables staged inside are removed when the block ends; write the results before that."""
+    path = fresh_path(spark, "scope")
+    _open.scopes = [*getattr(_open, "scopes", []), path]
+    try:
+        yield path
+    finally:
+        _open.scopes = _open.scopes[:-1]
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is on."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import file_batch
+from ..session import staging_scope
 
 LEDGER = ("client string, merchant string, receipt_number string, purchase_date date, "
           "gross_amount decimal(18,2), line bigint, run_id string")
@@ -14,11 +16,12 @@ LEDGER = ("client string, merchant string, receipt_number string, purchase_date
 
 def read_ledger_table(spark: SparkSession, path: str) -> DataFrame:
     """The ledger table so far; empty before the first run."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(path)
 
 
 def file_arrivals(batch: DataFrame, batch_id: int, ledger_path: str) -> None:
@@ -29,13 +32,13 @@ def file_arrivals(batch: DataFrame, batch_id: int, ledger_path: str) -> None:
     spark = batch.sparkSession
     run_id = f"batch-{batch_id:09d}"
     booked = read_ledger_table(spark, ledger_path).filter(F.col("run_id") != run_id)
-    decided = file_batch(batch.withColumns({
-        "force": F.lit(False), "review_notes": F.lit("")}), booked)
-    written = decided.filter("state = 'written'").select(
-        "client", "merchant", "receipt_number", "purchase_date", "gross_amount",
-        F.col("seq").alias("line"), F.lit(run_id).alias("run_id"))
-    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "run_id").parquet(ledger_path)
+    arrived = batch.withColumns({"force": F.lit(False), "review_notes": F.lit("")})
+    with staging_scope(spark):
+        written = file_batch(arrived, booked).filter("state = 'written'").select(
+            "client", "merchant", "receipt_number", "purchase_date", "gross_amount",
+            F.col("seq").alias("line"), F.lit(run_id).alias("run_id"))
+        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "run_id").parquet(ledger_path)
 
 
 def start(
