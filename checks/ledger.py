@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import ledger
+from tidemark.session import fresh_path
+from tidemark.streaming import inbox
 
 from . import sqlgen as g
 from .views import LEDGER_SQL, booked_receipts, table
@@ -88,6 +90,32 @@ def j8_l5_find_duplicates(spark, sf):
         "seq", "duplicate_of", "duplicate_reason")
 
 
+FIRST = """SELECT line AS seq FROM (SELECT line, nullif(receipt_number, '') AS nk, row_number() OVER (PARTITION BY client, merchant, receipt_number ORDER BY line) AS rn
+  FROM booked) WHERE nk IS NULL OR rn = 1"""
+
+
+@register("l6_batch_duplicates", g.with_(LEDGER_SQL) + FIRST)
+def l6_batch_duplicates(spark, sf):
+    """Exact dates and amounts never repeat here, so the first row of each number is the one written."""
+    rows = booked_receipts(spark, sf).withColumnRenamed("line", "seq").withColumns({"force": F.lit(False), "review_notes": F.lit("")})
+    none = booked_receipts(spark, sf).filter("false")
+    return ledger.file_batch(rows, none).filter("state = 'written'").select("seq")
+
+
+@register("st2_inbox_to_ledger", g.with_(LEDGER_SQL) + FIRST)
+def st2_inbox_to_ledger(spark, sf):
+    """The order table arrives as a stream of receipts and is filed into an empty ledger."""
+    stream = spark.readStream.schema(table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    rows = stream.join(table(spark, sf, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, sf, "nation"), F.expr("c_nationkey = n_nationkey"))
+    arrivals = rows.selectExpr(
+        "n_name AS client", "c_name AS merchant", "IF(o_orderkey % 4 = 0, '', 'R-' || o_custkey || '-' || substr(o_orderpriority, 1, 1)) AS receipt_number",
+        "CAST(o_orderdate AS DATE) AS purchase_date", "CAST(o_totalprice AS DECIMAL(18,2)) AS gross_amount", "'in/' || o_orderkey || '.jpg' AS source_path",
+        "o_orderkey AS seq", "CAST(o_orderdate AS TIMESTAMP) AS arrived_at")
+    path = fresh_path(spark, "stream-ledger")
+    inbox.start(arrivals, path, fresh_path(spark, "stream-ledger-checkpoint")).awaitTermination()
+    return inbox.read_ledger_table(spark, path).select(F.col("line").alias("seq"))
+
+
 @register("l6_file_batch")
 def l6_file_batch(spark, sf):
     """No twin: rows see the earlier rows that were written, which is a sequential rule."""

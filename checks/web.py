@@ -58,6 +58,7 @@ SESS = [EVENT_SQL, """s0 AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >
   FROM s2 GROUP BY 1, 2, 3)""",
         f"""sess AS (SELECT *, duration_us > 10000000 OR key_events > 0 OR views >= 2 AS engaged,
     min(date) OVER (PARTITION BY property_id, user_id) AS first_seen,
+    first_value(channel) OVER (PARTITION BY property_id, user_id ORDER BY session_no) AS first_channel,
     min(CASE WHEN purchases > 0 THEN date END) OVER (PARTITION BY property_id, user_id) AS first_purchase, {WINDOW_COLS} FROM s3)"""]
 
 
@@ -175,6 +176,27 @@ def s3_s5_capped_segments(spark, sf):
         "property_id", "dataset", "key", F.col("cur_sessions").cast("double").alias("cur_sessions"), "rank", "hit_cap")
 
 
+@register("a11_first_user_channels", g.with_(*SESS, breakdown_sql("property_id, first_channel", "sess", "fu")) + """
+SELECT property_id, first_channel AS key, "cur_totalUsers", "cur_newUsers", "cur_engagementRate", row_number() OVER (PARTITION BY property_id
+  ORDER BY "cur_totalUsers" DESC NULLS LAST, first_channel) AS rank FROM fu QUALIFY rank <= 50""")
+def a11_first_user_channels(spark, sf):
+    c = web.capped(segments(spark, sf, {"first_user_channels": "first_channel"}))
+    return c.select("property_id", "key", *[F.col(f"cur_{m}").cast("double").alias(f"cur_{m}") for m in ("totalUsers", "newUsers", "engagementRate")], "rank")
+
+
+@register("a11_p17_pages", g.with_(EVENT_SQL, f"we AS (SELECT *, {WINDOW_COLS} FROM webd)", """pg AS (SELECT property_id, page || ' / ' || country AS key,
+    nullif(count(*) FILTER (in_current), 0) AS n, count(*) FILTER (in_current AND event_name = 'view') AS v, count(DISTINCT user_id) FILTER (in_current) AS u,
+    CAST(coalesce(sum(revenue) FILTER (in_current), 0) AS DOUBLE) AS r, nullif(count(*) FILTER (in_previous), 0) AS pn, count(*) FILTER (in_previous AND event_name = 'view') AS pv
+  FROM we WHERE in_current OR in_previous GROUP BY 1, 2)""") + """
+SELECT property_id, key, CASE WHEN n > 0 THEN v END::DOUBLE AS "cur_screenPageViews", CASE WHEN pn > 0 THEN pv END::DOUBLE AS "prev_screenPageViews",
+  CASE WHEN n > 0 THEN u END::DOUBLE AS "cur_totalUsers", CASE WHEN n > 0 THEN r END AS "cur_itemRevenue",
+  row_number() OVER (PARTITION BY property_id ORDER BY CASE WHEN n > 0 THEN v END DESC NULLS LAST, key) AS rank FROM pg QUALIFY rank <= 100""")
+def a11_p17_pages(spark, sf):
+    p = web.capped(web.event_breakdown(marked_events(spark, sf), {"path": "page", "title": "country"}, "pages"))
+    return p.select("property_id", "key", *[F.col(c).cast("double").alias(c) for c in (
+        "cur_screenPageViews", "prev_screenPageViews", "cur_totalUsers", "cur_itemRevenue")], "rank")
+
+
 def seg_change(source, name="schg"):
     return g.std_chg(f"(SELECT *, cur_sessions AS c, prev_sessions AS p, 50.0::DOUBLE AS floor, 'higher' AS better FROM {source})", name)
 

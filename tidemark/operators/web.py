@@ -15,6 +15,7 @@ from ..functions.catalog import (
 )
 from ..functions.compare import Change, kpi_changes, standard_changes
 from ..functions.nulls import rnd
+from ..functions.text import compound_key
 from .aggregate import attach, present_in, top_per
 
 SESSION_SUMS = ["duration_us", "events", "views", "clicks", "signups", "purchases", "key_events",
@@ -66,10 +67,14 @@ def sessionize(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 
 def with_first_seen(sessions: DataFrame) -> DataFrame:
-    """First day and first purchase day of each user; the session partitioning is reused."""
+    """First day, first channel and first purchase day of each user.
+
+    The partitioning of the sessions is reused.
+    """
     w = Window.partitionBy("property_id", "user_id")
     return sessions.withColumns({
         "first_seen": F.min("date").over(w),
+        "first_channel": F.min_by("channel", "session_no").over(w),
         "first_purchase": F.min(F.expr("if(purchases > 0, date, null)")).over(w),
     })
 
@@ -294,6 +299,39 @@ def event_table(events: DataFrame, definitions: DataFrame | None = None) -> Data
     }).drop("_defined", "declared")
 
 
+def event_breakdown(events: DataFrame, keys: dict[str, str], dataset: str) -> DataFrame:
+    """Event-level breakdown (pages, items): several dimensions joined to one key.
+
+    `keys` maps output columns to SQL text over marked events. Users are counted through one row
+    per key and user.
+    """
+    named = events.select("*", *[F.expr(sql).alias(name) for name, sql in keys.items()])
+    groups = ["property_id", *keys]
+    aggs = []
+    for p, f in (("cur_", "in_current"), ("prev_", "in_previous")):
+        aggs += [
+            F.count_if(f).alias(p + "eventCount"),
+            F.expr(f"count_if({f} AND event_name = 'view')").alias(p + "screenPageViews"),
+            F.expr(f"count_if({f} AND is_key)").alias(p + "keyEvents"),
+            F.expr(f"count_if({f} AND event_name = 'click')").alias(p + "itemsAddedToCart"),
+            F.expr(f"count_if({f} AND event_name = 'purchase')").alias(p + "itemsPurchased"),
+            F.expr(f"sum(if({f}, revenue, 0))").alias(p + "itemRevenue"),
+        ]
+    per_user = named.groupBy(*groups, "user_id").agg(*aggs)
+    names = ["eventCount", "screenPageViews", "keyEvents", "itemsAddedToCart", "itemsPurchased",
+             "itemRevenue"]
+    sums = per_user.groupBy(*groups).agg(*[
+        c for p in ("cur_", "prev_") for c in (
+            *[F.sum(p + n).alias(p + n) for n in names],
+            F.count_if(F.expr(f"{p}eventCount > 0")).alias(p + "totalUsers"))])
+    present = sums.filter("cur_eventCount > 0 OR prev_eventCount > 0")
+    return present.select(
+        "property_id", F.lit(dataset).alias("dataset"),
+        compound_key(*[F.col(k).cast("string") for k in keys]).alias("key"),
+        *[F.expr(f"if({p}eventCount > 0, {p}{n}, null)").alias(p + n)
+          for p in ("cur_", "prev_") for n in (*names, "totalUsers")])
+
+
 def daily(flagged: DataFrame) -> DataFrame:
     """Daily web figures per property and period, from sessions of either window."""
     tagged = flagged.filter("in_current OR in_previous").withColumn(
