@@ -121,3 +121,12 @@ def test_brand_terms(spark):
     df = spark.createDataFrame([("Acme shoes", ["ACME", " "]), ("shoes", ["acme"]), ("shoes", [])], "q string, t array<string>")
     got = [r[0] for r in df.select(text.matches_any_term(F.col("q"), F.col("t"))).collect()]
     assert got == [True, False, None]
+
+
+def test_styles(spark):
+    null = "CAST(NULL AS DOUBLE)"
+    row = spark.range(1).selectExpr(*[f"{sql} AS c{i}" for i, sql in enumerate([
+        display.value_text("54.25D", "rate", style=display.WEB_STYLE), display.value_text("12.0D", "decimal", style=display.WEB_STYLE),
+        display.value_text("12.345D", "decimal", style=display.SEARCH_STYLE), display.delta_text("-65.0D", "duration", style=display.WEB_STYLE),
+        display.percent_text(null, "'new'", display.WEB_STYLE), display.value_text("9.87D", "position", style=display.SEARCH_STYLE)])]).first()
+    assert list(row)[:2] == ["54.2%", "12"] and row["c3"] == "-1:05" and row["c4"] == "new (was zero)" and row["c5"] == "9.9"

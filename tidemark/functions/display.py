@@ -6,11 +6,26 @@ one projection; wrap a result in `F.expr` to use it as a column.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from .catalog import CURRENCY_SYMBOLS, LEDGER_SYMBOLS
 
 NOT_AVAILABLE = "'not available'"
 
 
+class Style(NamedTuple):
+    """How one report shows rates, decimals and a change from zero."""
+
+    rate_places: int
+    decimals_by_size: bool
+    from_zero: str
+
+
+ADS_STYLE = Style(2, True, "n/a (from zero)")
+WEB_STYLE = Style(1, False, "new (was zero)")
+SEARCH_STYLE = Style(2, False, "n/a")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -83,15 +98,23 @@ def duration(seconds: str) -> str:
             f"if({total} >= 3600, {long}, {short}))")
 
 
-def value_text(value: str, unit: str, currency: str = "''", rate_places: int = 2) -> str:
+def whole_or_two(value: str) -> str:
+    """No decimals for a whole figure, two for any other."""
+    return (f"format_number(CAST({value} AS DOUBLE), "
+            f"if(abs({value} - rint({value})) < 1e-6, 0, 2))")
+
+
+def value_text(
+    value: str, unit: str, currency: str = "''", style: Style = ADS_STYLE
+) -> str:
     """A KPI figure by its unit."""
     shown = {
         "currency": lambda: money(value, currency),
-        "rate": lambda: f"concat({grouped(value, rate_places)}, '%')",
+        "rate": lambda: f"concat({grouped(value, style.rate_places)}, '%')",
         "int": lambda: grouped(value, 0),
         "duration": lambda: duration(value),
         "position": lambda: plain(value, 1),
-    }.get(unit, lambda: by_size(value))()
+    }.get(unit, lambda: (by_size if style.decimals_by_size else whole_or_two)(value))()
     return f"if({value} IS NULL, {NOT_AVAILABLE}, {shown})"
 
 
@@ -99,34 +122,39 @@ def signed(value: str, text: str) -> str:
     return f"concat(if({value} > 0, '+', ''), {text})"
 
 
-def delta_text(change: str, unit: str, currency: str = "''") -> str:
+def delta_text(
+    change: str, unit: str, currency: str = "''", style: Style = ADS_STYLE
+) -> str:
     """An absolute change in the metric's own unit, with a sign."""
     shown = {
-        "rate": lambda: signed(change, f"concat({plain(change, 2)}, ' pp')"),
+        "rate": lambda: signed(change, f"concat({plain(change, style.rate_places)}, ' pp')"),
         "currency": lambda: (f"concat(if({change} > 0, '+', '-'), "
                              f"{money(f'abs({change})', currency)})"),
         "int": lambda: signed(change, grouped(change, 0)),
-        "duration": lambda: signed(change, duration(f"abs({change})")),
+        "duration": lambda: signed(change, duration(change)),
         "position": lambda: signed(change, plain(change, 1)),
-    }.get(unit, lambda: signed(change, grouped(change, 2)))()
+    }.get(unit, lambda: signed(
+        change, grouped(change, 2) if style.decimals_by_size else whole_or_two(change)))()
     return f"if({change} IS NULL, 'n/a', {shown})"
 
 
-def percent_text(percent: str, verdict: str = "''") -> str:
+def percent_text(percent: str, verdict: str = "''", style: Style = ADS_STYLE) -> str:
     shown = signed(percent, f"concat({plain(percent, 1)}, '%')")
-    return (f"if({percent} IS NULL, if({verdict} = 'new', 'n/a (from zero)', 'n/a'), {shown})")
+    return (f"if({percent} IS NULL, if({verdict} = 'new', '{style.from_zero}', 'n/a'), {shown})")
 
 
-def evidence_line(rec: str, label: str, unit: str, currency: str = "''") -> str:
+def evidence_line(
+    rec: str, label: str, unit: str, currency: str = "''", style: Style = ADS_STYLE
+) -> str:
     """One factual line for a change record; `label` is SQL text."""
     state = f"{rec}.availability"
     compared = (
-        f"concat(' vs ', {value_text(f'{rec}.previous', unit, currency)}, ' (', "
-        f"{delta_text(f'{rec}.absolute_change', unit, currency)}, ', ', "
-        f"{percent_text(f'{rec}.percent_change', f'{rec}.verdict')}, ')')"
+        f"concat(' vs ', {value_text(f'{rec}.previous', unit, currency, style)}, ' (', "
+        f"{delta_text(f'{rec}.absolute_change', unit, currency, style)}, ', ', "
+        f"{percent_text(f'{rec}.percent_change', f'{rec}.verdict', style)}, ')')"
     )
     return (
-        f"concat({label}, ': ', {value_text(f'{rec}.current', unit, currency)}, "
+        f"concat({label}, ': ', {value_text(f'{rec}.current', unit, currency, style)}, "
         f"CASE {state} WHEN 'unavailable' THEN '' "
         f"WHEN 'partial' THEN ' this period, no comparable figure last period' "
         f"ELSE {compared} END)"

@@ -43,10 +43,11 @@ def with_share_sums(facts: DataFrame) -> DataFrame:
         usable = f"{column} IS NOT NULL AND impressions <> 0"
         out[f"{column}_num"] = F.expr(f"CASE WHEN {usable} THEN {column} * impressions END")
         out[f"{column}_den"] = F.expr(f"CASE WHEN {usable} THEN impressions END")
+    out["share_seen"] = F.expr("CASE WHEN impression_share IS NOT NULL THEN 1L END")
     return facts.withColumns(out)
 
 
-SHARE_SUMS = [f"{c}_{part}" for c in SHARES.values() for part in ("num", "den")]
+SHARE_SUMS = [f"{c}_{part}" for c in SHARES.values() for part in ("num", "den")] + ["share_seen"]
 
 
 def rollup(facts: DataFrame, dims: list[str]) -> DataFrame:
@@ -139,7 +140,7 @@ def cross_checks(kpis: DataFrame, reported_ctr: DataFrame | None = None) -> Data
 
 def share_coverage(campaign_totals: DataFrame) -> DataFrame:
     """How much of the account the current impression share rests on."""
-    reports = F.col("cur_impression_share_den").isNotNull()
+    reports = F.col("cur_share_seen") > 0
     sums = campaign_totals.filter(F.col("cur_rows") > 0).groupBy("property_id").agg(
         F.coalesce(F.sum("cur_impression_share_den"), F.lit(0)).alias("impressions_covered"),
         F.sum("cur_impressions").alias("impressions_total"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import Kpi
-from ..functions.display import evidence_line, quoted
+from ..functions.display import ADS_STYLE, Style, evidence_line, quoted
 from .aggregate import ranked_all
 
 def rule(
@@ -43,10 +43,12 @@ def fire(df: DataFrame, rules: list[str], keys: tuple[str, ...] = ("property_id"
     return df.selectExpr(*keys, f"inline(array_compact(array({', '.join(rules)})))")
 
 
-def with_lines(kpis: DataFrame, specs: list[Kpi], currency: str = "''") -> DataFrame:
+def with_lines(
+    kpis: DataFrame, specs: list[Kpi], currency: str = "''", style: Style = ADS_STYLE
+) -> DataFrame:
     """One evidence line `e_<key>` per KPI, so that rules share it as a column."""
     return kpis.withColumns({
-        f"e_{s.key}": F.expr(evidence_line(f"k_{s.key}", quoted(s.label), s.unit, currency))
+        f"e_{s.key}": F.expr(evidence_line(f"k_{s.key}", quoted(s.label), s.unit, currency, style))
         for s in specs
     })
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import SEARCH_KPIS, SEARCH_SMALL_CLICKS, SEARCH_SMALL_IMPRESSIONS
-from ..functions.display import delta_text, grouped, percent_text, plain
+from ..functions.display import SEARCH_STYLE, delta_text, grouped, percent_text, plain
 from .findings import fire, ordered, priority_rank, rule, union_findings, with_lines
 from .search import dominant_loss_kind, with_loss_kind
 
@@ -71,7 +71,7 @@ def kpi_findings(kpis: DataFrame, attribution: DataFrame, shape: DataFrame) -> D
              evidence=[f"concat('Second half against first: ', {percent_text('change_pct')})"],
              **_in("strengths")),
     ]
-    joined = with_lines(kpis, SEARCH_KPIS).join(
+    joined = with_lines(kpis, SEARCH_KPIS, style=SEARCH_STYLE).join(
         attribution.drop("material"), "property_id", "left").join(shape, "property_id", "left")
     return fire(joined, rules)
 

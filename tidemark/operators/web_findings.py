@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.catalog import (
     AUTOMATIC_EVENTS, ECOMMERCE_KPIS, WEB_KPIS, WEB_MIN_KEY_EVENTS, WEB_MIN_SESSIONS,
 )
-from ..functions.display import delta_text, evidence_line, grouped, percent_text
+from ..functions.display import WEB_STYLE, delta_text, evidence_line, grouped, percent_text
 from .aggregate import attach
 from .findings import Rule, fire, recommend, rule, with_lines
 
 
-def kpi_findings(kpis: DataFrame, min_sessions: int = WEB_MIN_SESSIONS) -> DataFrame:
+def kpi_findings(
+    kpis: DataFrame, min_sessions: int = WEB_MIN_SESSIONS, currency: str = "''"
+) -> DataFrame:
     def has(key):
         return f"k_{key}.availability = 'available'"
 
@@ -78,7 +80,7 @@ def kpi_findings(kpis: DataFrame, min_sessions: int = WEB_MIN_SESSIONS) -> DataF
     thin = (f"(NOT baseline_empty AND (({has('sessions')} "
             f"AND k_sessions.current < {min_sessions * 10}) OR ({has('keyEvents')} "
             f"AND least(k_keyEvents.current, k_keyEvents.previous) < {WEB_MIN_KEY_EVENTS})))")
-    lined = with_lines(kpis, WEB_KPIS + ECOMMERCE_KPIS)
+    lined = with_lines(kpis, WEB_KPIS + ECOMMERCE_KPIS, currency, WEB_STYLE)
     found = fire(lined, rules, ("property_id", f"{thin} AS thin"))
     return found.withColumns({
         "severity": F.expr("if(thin, 'low', severity)"),
@@ -90,7 +92,7 @@ def _moved(label: str) -> str:
     return (f"concat({label}, ' sessions: ', coalesce({grouped('cur_sessions', 0)}, "
             f"'not available'), ' vs ', coalesce({grouped('prev_sessions', 0)}, 'not available'), "
             f"' (', {delta_text('d_sessions.absolute_change', 'int')}, ', ', "
-            f"{percent_text('d_sessions.percent_change', 'd_sessions.verdict')}, ')')")
+            f"{percent_text('d_sessions.percent_change', 'd_sessions.verdict', WEB_STYLE)}, ')')")
 
 
 _GAINING = "d_sessions.direction = 'up'"
@@ -162,7 +164,7 @@ def event_findings(events: DataFrame, baselines: DataFrame) -> DataFrame:
     fresh = "(coalesce(prev_eventCount, 0) = 0 AND cur_eventCount >= 50)"
     swing = ("(abs(d_count.percent_change) >= 60 AND prev_eventCount >= 100 "
              "AND d_count.availability = 'available')")
-    line = evidence_line("d_count", "event_name", "int")
+    line = evidence_line("d_count", "event_name", "int", style=WEB_STYLE)
     common = {"entity": "event_name", "evidence": [line]}
     automatic = ", ".join(f"'{e}'" for e in AUTOMATIC_EVENTS)
     return fire(attach(events, baselines, ["property_id"], ["event_name"], "inner"), [
@@ -233,8 +235,8 @@ def ecommerce_findings(funnel: DataFrame, kpis: DataFrame) -> DataFrame:
              f"AND {tx}.availability = 'available' AND {aov}.material AND {tx}.material "
              f"AND {aov}.direction <> {tx}.direction", "'ecom_aov_vs_volume'", "'observation'",
              "'medium'", scope="'ecommerce'",
-             evidence=[evidence_line(aov, "'Avg. Purchase Revenue'", "currency"),
-                       evidence_line(tx, "'Transactions'", "int")]),
+             evidence=[evidence_line(aov, "'Avg. Purchase Revenue'", "currency", style=WEB_STYLE),
+                       evidence_line(tx, "'Transactions'", "int", style=WEB_STYLE)]),
     ])
     return steps.unionByName(volume)
 
