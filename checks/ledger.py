@@ -131,7 +131,7 @@ NAMES = """nm AS (SELECT client, line, strftime(purchase_date, '%Y%m_%B') AS fol
 nn AS (SELECT *, row_number() OVER (PARTITION BY client, folder, stem ORDER BY line) + CASE WHEN length(stem) % 2 = 0 THEN 1 ELSE 0 END AS n FROM nm)"""
 
 
-@register("win9_p27_sink7_archive_names", g.with_(LEDGER_SQL, COARSE, NAMES) + """
+@register("win9_p27_snk7_archive_names", g.with_(LEDGER_SQL, COARSE, NAMES) + """
 SELECT line AS seq, folder, folder || '/' || stem || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.jpg' AS file_path FROM nn""")
 def win9_archive_names(spark, sf):
     rows = coarse(spark, sf).withColumnRenamed("line", "seq").withColumn(

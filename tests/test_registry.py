@@ -10,7 +10,7 @@ from checks.verify import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["c1_ads_kpis", "an20_campaign_flags", "c9_j1_query_records", "an8_ctr_opportunities", "a24_st3_sessions",
-          "c1_c5_web_kpis", "j8_l5_find_duplicates", "win9_p27_sink7_archive_names"]
+          "c1_c5_web_kpis", "j8_l5_find_duplicates", "win9_p27_snk7_archive_names"]
 
 
 def test_names():
