@@ -164,8 +164,10 @@ def ranked_all(df: DataFrame, keys: list[str], order: list[str], out: str) -> Da
     once, because a second evaluation could draw other range bounds.
     """
     columns = [F.col(c) for c in [*keys, *order]]
+    # Range partitioning samples its input first; a written input is not computed twice for that.
+    rows = stage(df, "unranked")
     ranged = stage(
-        df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ranked")
+        rows.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ranked")
     counts = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
