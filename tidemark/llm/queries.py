@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup, quality_rules
+from tidemark.llm import near_dedup, quality_rules, repeats
 from tidemark.llm.common import Scratch
 from tidemark.session import configure
 
@@ -21,11 +21,16 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "op8"), ["doc_id"])
+    return out.select("row.doc_id", *out.columns[1:])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality(
         _table(spark, sf_dir, "documents"), Scratch(spark, "op9"), ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("row.doc_id", *out.columns[1:])
 
 
-QUERIES = {"op6_minhash": op6_minhash, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op6_minhash": op6_minhash, "op8_suffix_array": op8_suffix_array, "op9_quality_rules": op9_quality_rules}
 ORACLE: dict[str, str] = {}
