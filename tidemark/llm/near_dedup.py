@@ -244,19 +244,21 @@ def _pairs(links) -> pa.RecordBatch:
 
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    num: int = 85, den: int = 100,
+    num: int = 85, den: int = 100, tie: str | None = None,
 ) -> DataFrame:
-    """One row per document: rid, id, n_shingles, component_id, first.
+    """One row per document: tie, id, n_shingles, component_id, first.
 
     Documents are linked if den * |intersection| >= num * |union| of their shingle sets.
     component_id is the smallest identifier of the component, `first` marks one row of it: the one
-    with that identifier, and the lowest row number if several rows carry it. A text without words
+    with that identifier, and the lowest `tie` (a column of row numbers, else the operator's own) if
+    several rows carry it. A text without words
     has an empty set and is linked with nothing. Null identifiers sort after all others; a component
     of null identifiers has a null component_id. Equal rows are linked like any equal texts.
     Other columns of `docs` are ignored, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = with_row_ids(docs, scratch, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    columns = F.col(id_col).alias("id"), F.col(text_col).alias("text")
+    rows = docs.select(F.col(tie).alias("rid"), *columns) if tie else with_row_ids(docs, scratch, *columns)
     signed = scratch.write(rows.mapInArrow(
         _signer(width), "rid long, id long, n_shingles long, h1 long, h2 long, regs binary, bands array<long>"), "signed")
     order = F.struct(F.col("id").isNull(), "id", "rid")
@@ -278,7 +280,7 @@ def near_duplicates(
     wanted = scratch.write(central.select("rid"), "wanted")
     sets = rows.join(wanted.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(_sets(width), "rid long, set binary")
     known = scratch.write(sets.join(signed.join(wanted, "rid", "left_semi").select("rid", "n_shingles", "regs", "bands"), "rid"), "known")
-    scratch.drop("rows", "wanted")
+    scratch.drop("wanted", *([] if tie else ["rows"]))
 
     pivot = known.select(F.col("rid").alias("pivot"), F.col("rid").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ka"), F.col("set").alias("sa"))
     member = known.select("rid", F.col("rid").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("kb"), F.col("set").alias("sb"))
@@ -316,6 +318,6 @@ def near_duplicates(
     named = scratch.write(named.join(lowest, "component").select("h1", "h2", "n_shingles", "component_id", "first_rid"), "named")
     # Documents of one class may be a third of all; adaptive execution splits them, as the class table is written.
     return signed.select("rid", "id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left").select(
-        "rid", "id", "n_shingles",
+        F.col("rid").alias("tie"), "id", "n_shingles",
         F.when(F.col("first_rid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("first_rid").isNull(), True).otherwise(F.col("rid") == F.col("first_rid")).alias("first"))

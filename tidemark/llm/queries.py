@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_dedup, packing, quality_rules, repeats
+from tidemark.llm import decontaminate, near_dedup, packing, quality_rules, repeats
 from tidemark.llm.common import Scratch
 from tidemark.session import configure
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return out.select("row.doc_id", *out.columns[1:])
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(
         _table(spark, sf_dir, "documents"), Scratch(spark, "op2"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
@@ -38,5 +43,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *out.columns[1:])
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op6_minhash": op6_minhash, "op8_suffix_array": op8_suffix_array, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_best_fit_packing": op2_best_fit_packing, "op6_minhash": op6_minhash, "op8_suffix_array": op8_suffix_array, "op9_quality_rules": op9_quality_rules}
 ORACLE: dict[str, str] = {}
