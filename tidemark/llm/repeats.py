@@ -1,17 +1,17 @@
 """Exact removal of byte strings that occur more than once in a corpus.
 
-Every 400-byte window has an anchor, the leftmost 32-byte gram of least hash in it; equal windows
+Every 400-byte window has an anchor, the leftmost gram of half its length of least hash in it; equal windows
 have equal anchors at equal places. The windows of one anchor are consecutive, so a document is a
 list of (anchor, stretch of text). Only stretches whose anchor occurs elsewhere can hold a repeat.
-If all stretches of an anchor are equal, they are repeats as a whole. The others are indexed in
-batches: a run-length compressed Burrows-Wheeler transform with the longest common prefixes sampled
+Equal stretches are repeats as a whole and count as one from then on. The different stretches of an
+anchor are indexed in batches: a run-length compressed Burrows-Wheeler transform with the longest common prefixes sampled
 at run ends. Between run ends the value falls by one from text position to text position, so
 streaming over the text gives the matching statistics of every position, and positions that match
 400 bytes elsewhere are marked.
 
 Hot passages. An anchor with more stretches than one task should hold is split by content: its
-windows are halved by their distance to the anchor, and each half is grouped again by the text that
-all its windows share. Halving ends at single windows, which are equal as a whole. No group is
+windows are dealt into four by their distance to the anchor, and each part is grouped again by the text that
+all its windows share. Dealing ends at single windows, which are equal as a whole. No group is
 capped, and a passage that a third of the documents share costs each of them a few rows.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import textnum
 from tidemark.llm.common import Scratch, partitions, with_row_ids
 
-WINDOW, GRAM = 400, 32
+WINDOW = 400
 GROUP = 2000  # stretches of one anchor that a task indexes; larger groups are split
 BATCH = 1 << 20  # bytes that one index covers, or one group if that is larger
 
@@ -222,11 +222,19 @@ def _index(window: int):
         rows, size, last = [], 0, None
 
         def flush():
-            index = RunLengthIndex([r[4] for r in rows])
+            # Equal stretches are repeats as a whole and are indexed once.
+            times: dict[bytes, int] = {}
+            for r in rows:
+                times[r[4]] = times.get(r[4], 0) + 1
+            index = RunLengthIndex(list(times))
             long = index.matching_statistics() >= window
+            place = dict(zip(times, index.first.tolist(), strict=True))
             out = []
-            for (_, rid, lo, n, _), start in zip(rows, index.first.tolist(), strict=True):
-                hit = np.flatnonzero(np.diff(np.concatenate([[0], long[start:start + n].view(np.int8), [0]])))
+            for _, rid, lo, n, text in rows:
+                if times[text] > 1:
+                    out.append((rid, lo, lo + n - 1 + window))
+                    continue
+                hit = np.flatnonzero(np.diff(np.concatenate([[0], long[place[text]:place[text] + n].view(np.int8), [0]])))
                 out += [(rid, lo + s, lo + e - 1 + window) for s, e in hit.reshape(-1, 2).tolist()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "s", "e"])
@@ -247,19 +255,21 @@ def _index(window: int):
 def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """(rid, s, e): byte ranges of `rows` (rid, text) whose every window occurs anywhere else."""
     spark = rows.sparkSession
-    found = scratch.write(rows.mapInArrow(_anchors(window, GRAM), "rid long, lo long, n int, a int, g long, c long"), "anchors")
-    shared = scratch.write(found.groupBy("g").agg(
-        F.count(F.lit(1)).alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("k > 1").selectExpr(
-            "g", "c1 = c2 as even"), "shared")
-    # A frequent anchor's rows are split by adaptive execution; the other side is a written table.
-    both = scratch.write(found.join(shared, "g").select("rid", "lo", "n", "a", "g", "even"), "both")
-    scratch.drop("anchors", "shared")
+    found = scratch.write(rows.mapInArrow(_anchors(window, window // 2), "rid long, lo long, n int, a int, g long, c long"), "anchors")
+    # Equal stretches become one row before anything else: they are repeats as a whole.
+    # Any row may stand for them; `first` takes its columns from one row and keeps the hash aggregate.
+    equal = scratch.write(found.groupBy("g", "c").agg(
+        F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in ("rid", "lo", "n", "a"))), "equal")
+    several = equal.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # A frequent stretch's rows are split by adaptive execution; the other side is a written table.
+    even = found.join(equal.where("k > 1").select("g", "c"), ["g", "c"])
     span = ["rid", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e")]
-    spans = [both.where("even").select(*span)]
-    wanted = both.where("not even").groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "a", "g")).alias("wanted"))
+    spans = [scratch.write(even.select(*span), "even")]
+    wanted = equal.join(several.select("g"), "g").groupBy("rid").agg(
+        F.collect_list(F.struct("lo", "n", "a", "g")).alias("wanted"))
     work = scratch.write(rows.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted").mapInArrow(
         _texts_of(window), "g long, rid long, lo long, n int, a int, ctx binary"), "stretches-0")
-    cell = 1 << (window - GRAM).bit_length()
+    cell = 1 << (window - window // 2).bit_length()
     level = 0
     while True:
         sizes = scratch.write(work.groupBy("g").agg(
@@ -269,9 +279,10 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW) -> D
         spans.append(joined.where("way = 'even'").select(*span))
         spans.append(joined.where("way = 'index'").select("g", "rid", "lo", "n", "ctx").repartition(partitions(spark), "g").sortWithinPartitions(
             "g", "rid", "lo").mapInArrow(_index(window), "rid long, s long, e long"))
+        scratch.drop(*(["anchors", "equal"] if level == 0 else []))
         if cell == 1 or sizes.where("way = 'split'").limit(1).count() == 0:
             break
-        cell //= 2
+        cell = max(1, cell // 4)
         level += 1
         # Windows by their distance d to the anchor, in cells; x to y are those of this row and cell.
         halves = joined.where("way = 'split'").withColumn("d1", F.explode(F.sequence(
