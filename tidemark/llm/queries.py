@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, near_dedup, packing, quality_rules, repeats
+from tidemark.llm import decontaminate, near_dedup, packing, quality_rules, repeats, sharding, url_filter, warc
 from tidemark.llm.common import Scratch
 from tidemark.session import configure
 
@@ -26,6 +26,28 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *out.columns[1:])
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law is `rows`: shard sizes differ by one row at most."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    columns = [F.col("doc_id"), (F.octet_length(text) + F.lit(1).cast("long")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    out = sharding.shuffle(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"), columns)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.match(_table(spark, sf_dir, "pages"), rules, Scratch(spark, "op4"), ["page_id"])
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages"), Scratch(spark, "op5")).drop("bundle", "frame", "offset")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
     return out.select(
@@ -43,5 +65,42 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *out.columns[1:])
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_best_fit_packing": op2_best_fit_packing, "op6_minhash": op6_minhash, "op8_suffix_array": op8_suffix_array, "op9_quality_rules": op9_quality_rules}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sharding": op3_sharding,
+    "op4_url_filters": op4_url_filters,
+    "op5_warc": op5_warc,
+    "op6_minhash": op6_minhash,
+    "op8_suffix_array": op8_suffix_array,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLE: dict[str, str] = {
+    "op4_url_filters": """
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+),
+rules(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+  ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+judged AS (
+  SELECT page_id, host, path,
+    (SELECT arg_max(rh || rp, length(rh || rp)) FROM rules
+     WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict
+FROM judged LEFT JOIN rules ON rule = rh || rp
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+""",
+}
