@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, near_dedup, packing, quality_rules, repeats, sharding, url_filter, warc
+from tidemark.llm import classifier, decontaminate, html_text, near_dedup, packing, quality_rules, repeats, sharding, url_filter, warc
 from tidemark.llm.common import Scratch
 from tidemark.session import configure
 
@@ -54,6 +54,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "op8"), ["doc_id"])
     return out.select("row.doc_id", *out.columns[1:])
@@ -65,6 +69,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *out.columns[1:])
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry no URL: their source is the host, source and language the path below it."""
+    out = classifier.classify(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op10"), ["doc_id"],
+        F.col("source"), F.concat_ws("/", "source", "lang"))
+    return out.select("row.doc_id", *out.columns[1:])
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -72,8 +84,10 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
+    "op7_html_extraction": op7_html_extraction,
     "op8_suffix_array": op8_suffix_array,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {
     "op4_url_filters": """

@@ -92,15 +92,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray, is_break: np.ndarray) -> Itera
 
 def word_hashes(
     data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray | None = None,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end byte of every word, and how many words each document has.
+    heads: tuple[int, ...] = (),
+) -> tuple[np.ndarray, ...]:
+    """Hash, start and end byte of every word, and how many words each document has; then, for each
+    number in `heads`, the hash of so many first bytes of every word (0 for a shorter word).
 
     `separators` says which bytes end words, `fold` maps bytes before hashing. Words do not cross
     documents.
     """
     value = _VALUE if fold is None else _VALUE[fold]
     counts = np.zeros(len(offsets) - 1, np.int64)
-    hashes, starts, ends = [], [], []
+    hashes, starts, ends, begins = [], [], [], [[] for _ in heads]
     for first, last, start, end in pieces(data, offsets, separators):
         part = data[start:end]
         inside = np.zeros(len(part) + 2, np.int8)
@@ -116,6 +118,9 @@ def word_hashes(
         prefix = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(value[part] * up[:len(part)], out=prefix[1:])
         hashes.append(mix((prefix[e] - prefix[s]) * down[s]))
+        for k, n in enumerate(heads):
+            h = mix((prefix[np.minimum(s + n, e)] - prefix[s]) * down[s] + _SPOT[20 + n % 20])
+            begins[k].append(np.where(e - s > n, h, np.uint64(0)))
         starts.append(s + start)
         ends.append(e + start)
         if last - first == 1:
@@ -125,8 +130,8 @@ def word_hashes(
             counts[first:last] += np.diff(at)
     if not hashes:
         empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, counts
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), counts
+        return np.zeros(0, np.uint64), empty, empty, counts, *(np.zeros(0, np.uint64) for _ in heads)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), counts, *map(np.concatenate, begins)
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
