@@ -72,6 +72,9 @@ class Blocks(HTMLParser):
         self.tags = 0
         self.parts: list[str] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not used
+
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())

@@ -4,8 +4,8 @@ A public vocabulary splits every word. Characters per token, tokens per word, th
 fallback tokens, the entropy of the tokens and the share of the most frequent one (min-entropy) tell
 prose from symbol noise, shouting, hashes and loops. Normal values differ between languages and,
 entropy above all, with the length of a text. So the rejection bands come from the corpus itself:
-median and median absolute deviation per language and size (half powers of two of the number of
-tokens), over all documents.
+median and quartiles per language and size (half powers of two of the number of tokens), over all
+documents.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ SCRIPTS = (  # first code point, name: the script of letters from there on
 
 @dataclass(frozen=True)
 class Rules:
-    """The limits of the verdict; widths are in scaled median absolute deviations from the median."""
+    """The limits of the verdict; widths are in deviations (quartile distance / 0.6745) from the median."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -190,38 +190,39 @@ def measure(
     return source.mapInArrow(_measurer(vocabulary), f"row {row}, {METRICS}")
 
 
-def _center_and_spread(measured: DataFrame, keys: list[str]) -> DataFrame:
-    center = measured.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("docs"), *(F.percentile(n, F.lit(0.5)).alias(f"{n}_mid") for n in SCALES))
-    mids = [f"{n}_mid" for n in SCALES]
-    return measured.join(center, keys).groupBy(*keys, "docs", *mids).agg(*(
-        F.greatest(F.percentile(F.round(F.abs(F.col(n) - F.col(f"{n}_mid")), 3), F.lit(0.5)) * 1.4826,
-                   F.lit(least)).alias(f"{n}_dev") for n, least in SCALES.items()))
-
-
 def bands(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rejection band of every language and size, one row for each that occurs.
 
-    Documents that fail the base rules do not count. With fewer than `min_docs` documents of a
-    language and size, the band of the language holds, then that of the size, then that of all
-    documents. Measures are rounded to a thousandth, so an exact percentile holds a few thousand
-    values.
+    Median and quartiles come from one aggregation; the deviation is that of the half away from the
+    noise, so that noise in the corpus does not widen the band. Documents that fail the base rules do
+    not count. With fewer than `min_docs` documents of a language and size, the band of the language
+    holds, then that of the size, then that of all documents. Measures are rounded to a thousandth,
+    so an exact percentile holds a few thousand values.
     """
-    plain = measured.where(~base_failed(rules)).select("band", "size", F.lit(0).alias("every"), *SCALES)
+    # A key that is the same for all rows, and not a constant, which would make the join a cross join.
+    every = (F.col("size") < -9).cast("int")
+    plain = measured.where(~base_failed(rules)).select("band", "size", every.alias("every"), *SCALES)
+
+    def limit(name, at, width, side):
+        low, mid, high = (F.col(f"{name}_q")[k] for k in range(3))
+        spread = F.greatest(((high - mid) if at < 0 else (mid - low)) / 0.6745, F.lit(SCALES[name]))
+        return (mid + at * width * spread).alias(side)
+
     limits = F.struct(
-        (F.col("chars_per_token_mid") - rules.width * F.col("chars_per_token_dev")).alias("cpt_low"),
-        (F.col("chars_per_token_mid") + rules.other_width * F.col("chars_per_token_dev")).alias("cpt_high"),
-        (F.col("tokens_per_word_mid") + rules.width * F.col("tokens_per_word_dev")).alias("tpw_high"),
-        (F.col("byte_share_mid") + rules.width * F.col("byte_share_dev")).alias("byte_high"),
-        (F.col("entropy_mid") - rules.width * F.col("entropy_dev")).alias("entropy_low"),
-        (F.col("top_share_mid") + rules.top_width * F.col("top_share_dev")).alias("top_high"),
+        limit("chars_per_token", -1, rules.width, "cpt_low"),
+        limit("chars_per_token", 1, rules.other_width, "cpt_high"),
+        limit("tokens_per_word", 1, rules.width, "tpw_high"),
+        limit("byte_share", 1, rules.width, "byte_high"),
+        limit("entropy", -1, rules.width, "entropy_low"),
+        limit("top_share", 1, rules.top_width, "top_high"),
     )
 
     def level(keys, name):
-        return _center_and_spread(plain, keys).where((F.col("docs") >= rules.min_docs) | F.lit(name == "l4")).select(
-            *keys, limits.alias(name))
+        quartiles = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"), *(
+            F.percentile(n, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"{n}_q") for n in SCALES))
+        return quartiles.where((F.col("docs") >= rules.min_docs) | F.lit(name == "l4")).select(*keys, limits.alias(name))
 
-    out = measured.groupBy("band", "size").agg(F.lit(0).alias("every"))
+    out = measured.groupBy("band", "size").agg(F.count(F.lit(1)).alias("docs")).withColumn("every", every)
     for keys, name in ((["band", "size"], "l1"), (["band"], "l2"), (["size"], "l3"), (["every"], "l4")):
         out = out.join(level(keys, name), keys, "left")
     return out.select("band", "size", F.coalesce("l1", "l2", "l3", "l4").alias("limits"))
