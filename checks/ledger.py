@@ -32,21 +32,23 @@ RAW_SQL = """raw AS (SELECT o_orderkey AS seq,
     CASE WHEN o_orderkey % 13 = 0 THEN 'n/a' ELSE '£' || printf('%.2f', o_totalprice) END AS gross_text,
     CAST(o_totalprice AS DECIMAL(18,2)) AS g0,
     CASE o_orderkey % 11 WHEN 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) + 1 ELSE CAST(floor(o_totalprice / 6) AS DECIMAL(18,2)) END AS tax0,
-    CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS net_off, 0.55 + (o_orderkey % 60) / 100.0 AS conf0, o_orderkey % 5 = 0 AS has_note
+    CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS net_off, o_orderkey % 19 = 0 AS tax_off, o_orderkey % 23 = 0 AS net_bad, o_orderkey % 29 = 0 AND o_orderkey % 11 <> 0 AS tie, 0.55 + (o_orderkey % 60) / 100.0 AS conf0, o_orderkey % 5 = 0 AS has_note
   FROM orders)"""
 
 
 @register("l1_l2_p24_p35_row_checks", g.with_(RAW_SQL) + """
 SELECT seq, CASE WHEN seq % 17 = 0 THEN 'date is not ISO' WHEN seq % 13 = 0 THEN 'gross is not a number'
-    WHEN net_off = 1 THEN 'arithmetic does not reconcile' WHEN tax0 > g0 THEN 'tax exceeds gross'
+    WHEN tax_off THEN 'tax is not a number' WHEN net_bad THEN 'net is not a number' WHEN net_off = 1 THEN 'arithmetic does not reconcile' WHEN tax0 > g0 THEN 'tax exceeds gross'
     WHEN conf0 > 1 THEN 'confidence outside 0..1' WHEN conf0 < 0.70 AND NOT has_note THEN 'flag without a note' END AS reject_reason,
-  CASE WHEN seq % 13 <> 0 THEN g0::DOUBLE END AS gross, tax0::DOUBLE AS tax, conf0 < 0.70 AS needs_review FROM raw""")
+  CASE WHEN seq % 13 <> 0 THEN g0::DOUBLE END AS gross, CASE WHEN NOT tax_off THEN tax0 + CASE WHEN tie THEN 0.02 ELSE 0 END END::DOUBLE AS tax, conf0 < 0.70 AS needs_review FROM raw""")
 def l1_l2_row_checks(spark, sf):
     raw = table(spark, sf, "orders").selectExpr(
         "o_orderkey AS seq", "IF(o_orderkey % 17 = 0, '03/04/2026', date_format(o_orderdate, 'yyyy-MM-dd')) AS purchase_date",
         "IF(o_orderkey % 13 = 0, 'n/a', '£' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING)) AS gross_amount",
-        """CAST(IF(o_orderkey % 11 = 0, CAST(o_totalprice AS DECIMAL(18,2)) + 1, CAST(floor(o_totalprice / 6) AS DECIMAL(18,2))) AS STRING) AS tax_amount""",
-        """IF(o_orderkey % 7 = 0, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 5 AS STRING), NULL) AS net_amount""",
+        # A tie of half a cent goes to the even cent: tax + 0.015 is tax + 0.02, and + 0.025 is too.
+        """IF(o_orderkey % 19 = 0, 'eight', CAST(IF(o_orderkey % 11 = 0, CAST(o_totalprice AS DECIMAL(18,2)) + 1, CAST(floor(o_totalprice / 6) AS DECIMAL(18,2)))
+            + IF(o_orderkey % 29 = 0 AND o_orderkey % 11 <> 0, IF(o_orderkey % 2 = 0, 0.015, 0.025), 0) AS STRING)) AS tax_amount""",
+        """IF(o_orderkey % 23 = 0, 'forty', IF(o_orderkey % 7 = 0, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 5 AS STRING), NULL)) AS net_amount""",
         "CAST(0.55 + (o_orderkey % 60) / 100.0 AS STRING) AS confidence", "false AS needs_review",
         "IF(o_orderkey % 5 = 0, 'checked', '') AS review_notes", "'gbp ' AS currency")
     return ledger.check_rows(raw).select("seq", "reject_reason", F.col("gross_amount").cast("double").alias("gross"),
@@ -116,9 +118,38 @@ def st2_inbox_to_ledger(spark, sf):
     return inbox.read_ledger_table(spark, path).select(F.col("line").alias("seq"))
 
 
-@register("l6_file_batch")
+FILED = """
+old AS (SELECT * FROM coarse WHERE purchase_date < DATE '2000-01-01'),
+a AS (SELECT client, mk, nk, min(line) AS np FROM old WHERE nk IS NOT NULL GROUP BY ALL),
+b AS (SELECT client, mk, purchase_date, gross_amount, min(line) AS ap FROM old GROUP BY ALL),
+r AS (SELECT client, mk, nk, purchase_date || '|' || gross_amount AS ak, line AS seq, np, ap,
+    row_number() OVER (PARTITION BY client, mk ORDER BY line) AS rn
+  FROM coarse LEFT JOIN a USING (client, mk, nk) LEFT JOIN b USING (client, mk, purchase_date, gross_amount)
+  WHERE purchase_date >= DATE '2000-01-01'),
+step AS (
+  SELECT client, mk, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS state,
+    CAST(NULL AS BIGINT) AS duplicate_of, CAST(NULL AS VARCHAR) AS duplicate_reason, CAST(NULL AS BOOLEAN) AS duplicate_in_batch,
+    CAST([] AS VARCHAR[]) AS numbers, CAST([] AS VARCHAR[]) AS amounts, CAST([] AS BIGINT[]) AS seqs
+  FROM (SELECT DISTINCT client, mk FROM r)
+  UNION ALL
+  SELECT client, mk, rn, seq, CASE WHEN old_hit IS NULL AND new_hit IS NULL THEN 'written' ELSE 'duplicate' END,
+    coalesce(old_hit, new_hit),
+    CASE WHEN old_hit IS NOT NULL THEN CASE WHEN np <= coalesce(ap, np) THEN 'same receipt number' ELSE 'same date and gross amount' END
+         WHEN new_hit IS NOT NULL THEN CASE WHEN nb <= coalesce(ab, nb) THEN 'same receipt number' ELSE 'same date and gross amount' END END,
+    CASE WHEN old_hit IS NOT NULL THEN false WHEN new_hit IS NOT NULL THEN true END,
+    CASE WHEN old_hit IS NULL AND new_hit IS NULL THEN list_append(numbers, coalesce(nk, '')) ELSE numbers END,
+    CASE WHEN old_hit IS NULL AND new_hit IS NULL THEN list_append(amounts, ak) ELSE amounts END,
+    CASE WHEN old_hit IS NULL AND new_hit IS NULL THEN list_append(seqs, seq) ELSE seqs END
+  FROM (
+    SELECT r.*, s.numbers, s.amounts, s.seqs, least(np, ap) AS old_hit, s.seqs[list_position(s.numbers, nk)] AS nb,
+      s.seqs[list_position(s.amounts, ak)] AS ab, least(s.seqs[list_position(s.numbers, nk)], s.seqs[list_position(s.amounts, ak)]) AS new_hit
+    FROM step s JOIN r ON r.client = s.client AND r.mk = s.mk AND r.rn = s.rn + 1))"""
+
+
+@register("l6_file_batch", g.with_(LEDGER_SQL, COARSE, FILED).replace("WITH", "WITH RECURSIVE", 1) + """
+SELECT seq, state, duplicate_of, duplicate_reason, duplicate_in_batch FROM step WHERE rn > 0""")
 def l6_file_batch(spark, sf):
-    """No twin: rows see the earlier rows that were written, which is a sequential rule."""
+    """The twin files one row of every client and merchant per step, and carries what was written."""
     rows = coarse(spark, sf)
     batch = rows.filter("purchase_date >= DATE '2000-01-01'").withColumnRenamed("line", "seq").withColumns({
         "force": F.lit(False), "review_notes": F.lit("")})
@@ -128,7 +159,8 @@ def l6_file_batch(spark, sf):
 
 NAMES = """nm AS (SELECT client, line, strftime(purchase_date, '%Y%m_%B') AS folder, strftime(purchase_date, '%Y-%m-%d') || '_' ||
     rtrim(left(trim(regexp_replace(lower(merchant), '[^a-z0-9]+', '-', 'g'), '-'), 40), '-') || '_' || CAST(gross_amount AS VARCHAR) AS stem FROM coarse),
-nn AS (SELECT *, row_number() OVER (PARTITION BY client, folder, stem ORDER BY line) + CASE WHEN length(stem) % 2 = 0 THEN 1 ELSE 0 END AS n FROM nm)"""
+nn AS (SELECT * REPLACE (CASE length(stem) % 4 WHEN 0 THEN n + 1 WHEN 2 THEN CASE WHEN n = 1 THEN 2 ELSE n + 2 END WHEN 1 THEN CASE WHEN n = 1 THEN 1 ELSE n + 1 END ELSE n END AS n)
+  FROM (SELECT *, row_number() OVER (PARTITION BY client, folder, stem ORDER BY line) AS n FROM nm))"""
 
 
 @register("win9_p27_snk7_archive_names", g.with_(LEDGER_SQL, COARSE, NAMES) + """
@@ -139,7 +171,9 @@ def win9_archive_names(spark, sf):
     keys = rows.select("client", text.archive_folder(F.col("purchase_date")).alias("folder"),
                        text.archive_stem(F.col("purchase_date"), F.col("merchant"), F.col("gross_amount")).alias("stem"),
                        F.lit("jpg").alias("ext")).distinct()
-    taken = keys.filter("length(stem) % 2 = 0").withColumn("taken", F.lit(1))
+    # Taken are stem; stem and stem-3; or stem-2 alone: names have gaps.
+    taken = keys.withColumn("n", F.explode(F.expr(
+        "CASE length(stem) % 4 WHEN 0 THEN array(1) WHEN 2 THEN array(3, 1) WHEN 1 THEN array(2) ELSE array() END")))
     return ledger.archive_names(rows, taken).select("seq", "folder", "file_path")
 
 
@@ -226,7 +260,9 @@ def j15_client_guard(spark, sf):
 
 # --- audit and run --------------------------------------------------------------------------
 
-FILES = """files AS (SELECT DISTINCT n_name AS client, 'receipts/' || l_orderkey || '-' || l_linenumber || '.jpg' AS path FROM lineitem
+# Clients share paths: every client counts its receipts anew.
+SHARED = """filed AS (SELECT * REPLACE ('receipts/' || (line % 500) || '-' || (line % 3) || '.jpg' AS file_path) FROM booked)"""
+FILES = SHARED + """, files AS (SELECT DISTINCT n_name AS client, 'receipts/' || (l_orderkey % 500) || '-' || l_linenumber || '.jpg' AS path FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
@@ -234,33 +270,37 @@ def files(spark, sf):
     t = lambda n: table(spark, sf, n)
     return (t("lineitem").join(t("orders"), F.expr("l_orderkey = o_orderkey"))
             .join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey"))
-            .selectExpr("n_name AS client", "'receipts/' || l_orderkey || '-' || l_linenumber || '.jpg' AS path").distinct())
+            .selectExpr("n_name AS client", "'receipts/' || (l_orderkey % 500) || '-' || l_linenumber || '.jpg' AS path").distinct())
+
+
+def filed_receipts(spark, sf):
+    return booked_receipts(spark, sf).withColumn("file_path", F.expr("'receipts/' || (line % 500) || '-' || (line % 3) || '.jpg'"))
 
 
-@register("j9_missing_files", g.with_(LEDGER_SQL, FILES) + "SELECT line, file_path FROM booked WHERE file_path NOT IN (SELECT path FROM files)")
+@register("j9_missing_files", g.with_(LEDGER_SQL, FILES) + "SELECT line, file_path FROM filed WHERE (client, file_path) NOT IN (SELECT (client, path) FROM files)")
 def j9_missing_files(spark, sf):
-    return ledger.missing_files(booked_receipts(spark, sf), files(spark, sf)).select("line", "file_path")
+    return ledger.missing_files(filed_receipts(spark, sf), files(spark, sf)).select("line", "file_path")
 
 
-@register("j10_u6_orphan_files", g.with_(LEDGER_SQL, FILES) + "SELECT path FROM files WHERE path NOT IN (SELECT file_path FROM booked)")
+@register("j10_u6_orphan_files", g.with_(LEDGER_SQL, FILES) + "SELECT client, path FROM files WHERE (client, path) NOT IN (SELECT (client, file_path) FROM filed)")
 def j10_u6_orphan_files(spark, sf):
-    return ledger.orphan_files(files(spark, sf), booked_receipts(spark, sf)).select("path")
+    return ledger.orphan_files(files(spark, sf), filed_receipts(spark, sf)).select("client", "path")
 
 
-@register("l7_audit", g.with_(LEDGER_SQL, FILES) + """, r AS (SELECT client, count(*) AS rows FROM booked GROUP BY 1),
-m AS (SELECT client, count(*) AS missing FROM booked WHERE file_path NOT IN (SELECT path FROM files) GROUP BY 1),
-o AS (SELECT client, count(*) AS orphans FROM files WHERE path NOT IN (SELECT file_path FROM booked) GROUP BY 1)
+@register("l7_audit", g.with_(LEDGER_SQL, FILES) + """, r AS (SELECT client, count(*) AS rows FROM filed GROUP BY 1),
+m AS (SELECT client, count(*) AS missing FROM filed WHERE (client, file_path) NOT IN (SELECT (client, path) FROM files) GROUP BY 1),
+o AS (SELECT client, count(*) AS orphans FROM files WHERE (client, path) NOT IN (SELECT (client, file_path) FROM filed) GROUP BY 1)
 SELECT client, coalesce(rows, 0) AS rows, coalesce(missing, 0) AS missing, coalesce(orphans, 0) AS orphans,
   coalesce(missing, 0) = 0 AND coalesce(orphans, 0) = 0 AS clean FROM r FULL JOIN m USING (client) FULL JOIN o USING (client)""")
 def l7_audit(spark, sf):
-    return ledger.audit(booked_receipts(spark, sf), files(spark, sf))
+    return ledger.audit(filed_receipts(spark, sf), files(spark, sf))
 
 
-@register("j16_pending", g.with_(LEDGER_SQL, FILES) + """SELECT path FROM files WHERE path NOT IN (SELECT file_path FROM booked) AND path NOT LIKE '%-2.jpg'""")
+@register("j16_pending", g.with_(LEDGER_SQL, FILES) + """SELECT client, path FROM files WHERE (client, path) NOT IN (SELECT (client, file_path) FROM filed) AND path NOT LIKE '%-2.jpg'""")
 def j16_pending(spark, sf):
     inbox = files(spark, sf)
-    booked = booked_receipts(spark, sf).select(F.col("file_path").alias("path"))
-    return ledger.pending(inbox, booked, inbox.filter("path LIKE '%-2.jpg'")).select("path")
+    booked = filed_receipts(spark, sf).select("client", F.col("file_path").alias("path"))
+    return ledger.pending(inbox, booked, inbox.filter("path LIKE '%-2.jpg'")).select("client", "path")
 
 
 @register("a16_p32_totals_by_currency", g.with_(LEDGER_SQL) + """SELECT client, CASE WHEN trim(currency) = '' THEN '???' ELSE upper(trim(currency)) END AS currency,

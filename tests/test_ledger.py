@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.catalog import LEDGER_COLUMNS
-from tidemark.operators import ledger
+from tidemark.operators import aggregate, ledger
 from tidemark.plans import ledger_run
 from tidemark.sources import exports, files
 
@@ -19,8 +19,8 @@ def key(m):
 
 
 def brute(batch, old):
-    """File rows one at a time, the way a person with the ledger open would."""
-    books = [(line, c, key(m), (n or "").strip().lower(), d, g) for c, line, m, n, d, g in old]
+    """File rows one at a time, the way a person with the ledger open would. Batch rows are (1, seq)."""
+    books = [((0, line), c, key(m), (n or "").strip().lower(), d, g) for c, line, m, n, d, g in old]
     out = {}
     for c, seq, m, n, d, g, force, _ in batch:
         number, hit = (n or "").strip().lower(), None
@@ -35,27 +35,59 @@ def brute(batch, old):
                 break
         state = "duplicate" if hit and not force else "written"
         if state == "written":
-            books.append((seq + ledger.BATCH_OFFSET, c, key(m), number, d, g))
-        out[seq] = (state, *(hit or (None, None)))
+            books.append(((1, seq), c, key(m), number, d, g))
+        out[seq] = (state, *((hit[0][1], hit[1], hit[0][0] == 1) if hit else (None, None, None)))
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batch_is_filed_like_one_at_a_time(spark, seed):
+def filed(spark, batch, old, **options):
+    got = ledger.file_batch(spark.createDataFrame(batch, ROW), spark.createDataFrame(old, OLD), **options).collect()
+    return {r["seq"]: (r["state"], r["duplicate_of"], r["duplicate_reason"], r["duplicate_in_batch"]) for r in got}
+
+
+@pytest.mark.parametrize(("seed", "rounds"), [(1, 6), (2, 1), (3, 0)])
+def test_batch_is_filed_like_one_at_a_time(spark, seed, rounds):
     rng = random.Random(seed)
 
     def row():
         return (rng.choice(["Shell", "SHELL ", "Tesco"]), rng.choice(["", None, "A1", "a1 ", "B2", "C3"]),
                 date(2026, 3, rng.randint(1, 3)), Decimal(rng.randint(1, 4)))
 
-    old = [("c1", line, *row()) for line in range(2, 5)]
+    # Lines of any size come before the batch, epoch milliseconds too.
+    old = [("c1", line, *row()) for line in (2, 5, 1_767_600_000_000)]
     batch = [(rng.choice(["c1", "c2"]), s, *row(), rng.random() < 0.1, "seen") for s in range(80)]
+    assert filed(spark, batch, old, rounds=rounds) == brute(batch, old)
     got = ledger.file_batch(spark.createDataFrame(batch, ROW), spark.createDataFrame(old, OLD)).collect()
-    assert {r["seq"]: (r["state"], r["duplicate_of"], r["duplicate_reason"]) for r in got} == brute(batch, old)
     forced = [r for r in got if r["force"] and r["duplicate_of"]]
     assert all("forced past" in r["review_notes"] for r in forced)
 
 
+def test_long_chain_of_look_alikes(spark):
+    # Row i shares its number with row i - 1 or its date and amount with it, by turns.
+    batch = [("c", i, "Shell", f"n{(i + 1) // 2}", date(2026, 3, 1), Decimal(i // 2), False, "") for i in range(1200)]
+    assert filed(spark, batch, [], rounds=2) == brute(batch, [])
+
+
+def test_a_hot_key_is_split(spark):
+    """One key with nine rows of ten: adaptive execution splits it, as the other side is a table."""
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(400_000, numPartitions=8).selectExpr("if(id % 10 < 9, 0, id) AS k", "id", "uuid() AS pad")
+        unique = rows.groupBy("k").agg(F.min("id").alias("first"))
+        joined = aggregate.join_unique(rows, unique, ["k"])
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_row_checks(spark):
     raw = spark.createDataFrame([
         (1, "2026-03-14", "£48.20", "8.03", "40.17", "0.96", False, "", "gbp"),
@@ -65,11 +97,15 @@ def test_row_checks(spark):
         (5, "2026-03-14", "-48.20", "-8.03", None, "0.96", True, "refund", "GBP"),
         (6, "2026-03-14", "48.20", "", None, "1.20", False, "", ""),
         (7, "2026-03-14", "48.20", None, None, "0.60", False, " ", "GBP"),
+        (8, "2026-03-14", "48.20", "eight", None, "0.96", False, "", "GBP"),
+        (9, "2026-03-14", "48.20", "8.03", "forty", "0.96", False, "", "GBP"),
+        (10, "2026-03-14", "1.005", "0.015", None, "0.96", False, "", "GBP"),
     ], "seq int, purchase_date string, gross_amount string, tax_amount string, net_amount string, confidence string, needs_review boolean, review_notes string, currency string")
     got = {r["seq"]: r for r in ledger.check_rows(raw).collect()}
-    assert [got[i]["reject_reason"] for i in range(1, 8)] == [
+    assert [got[i]["reject_reason"] for i in range(1, 11)] == [
         None, "date is not ISO", "arithmetic does not reconcile", "tax exceeds gross", None,
-        "confidence outside 0..1", "flag without a note"]
+        "confidence outside 0..1", "flag without a note", "tax is not a number", "net is not a number", None]
+    assert (got[10]["gross_amount"], got[10]["tax_amount"]) == (Decimal("1.00"), Decimal("0.02"))
     assert got[1]["net_amount"] == Decimal("40.17") and got[1]["currency"] == "GBP"
     assert got[5]["net_amount"] == Decimal("-40.17") and got[6]["currency"] == "???"
 
@@ -101,9 +137,9 @@ def test_archive_names(spark):
     rows = spark.createDataFrame([("c", i, "Shell Service", date(2026, 3, 14), Decimal("48.20"), p) for i, p in enumerate(
         ["in/a.JPG", "in/b.jpg", "in/c.pdf", "202603_March/2026-03-14_shell-service_48.20.jpg"])],
         "client string, seq bigint, merchant string, purchase_date date, gross_amount decimal(18,2), source_path string")
-    taken = spark.createDataFrame([("c", "202603_March", "2026-03-14_shell-service_48.20", "jpg", 1)], "client string, folder string, stem string, ext string, taken int")
+    taken = spark.createDataFrame([("c", "202603_March", "2026-03-14_shell-service_48.20", "jpg", n) for n in (3, 1)], "client string, folder string, stem string, ext string, n int")
     got = {r["seq"]: r["file_path"].split("/")[-1] for r in ledger.archive_names(rows, taken).collect()}
-    assert got == {0: "2026-03-14_shell-service_48.20-2.jpg", 1: "2026-03-14_shell-service_48.20-3.jpg",
+    assert got == {0: "2026-03-14_shell-service_48.20-2.jpg", 1: "2026-03-14_shell-service_48.20-4.jpg",
                    2: "2026-03-14_shell-service_48.20.pdf", 3: "2026-03-14_shell-service_48.20.jpg"}
 
 
@@ -141,11 +177,13 @@ def test_reference_lists(spark):
 
 
 def test_audit(spark):
-    books = spark.createDataFrame([("c", "r/a.jpg"), ("c", "r/b.jpg"), ("c", None), ("d", "r/x.jpg")], "client string, file_path string")
+    # Both clients book r/a.jpg, and only c has it.
+    books = spark.createDataFrame([("c", "r/a.jpg"), ("c", "r/b.jpg"), ("c", None), ("d", "r/x.jpg"), ("d", "r/a.jpg")], "client string, file_path string")
     archive = spark.createDataFrame([("c", "r/a.jpg", False), ("c", "r/z.jpg", False), ("c", "r/.hidden", False), ("c", "needs-review.md", True),
                                      ("c", "r/needs-review.md", False), ("d", "r/x.jpg", False)], "client string, path string, top_level boolean")
     got = {r["client"]: (r["rows"], r["missing"], r["orphans"], r["clean"]) for r in ledger.audit(books, archive).collect()}
-    assert got == {"c": (3, 2, 2, False), "d": (1, 0, 0, True)}
+    assert got == {"c": (3, 2, 2, False), "d": (2, 1, 0, False)}
+    assert [(r["client"], r["file_path"]) for r in ledger.missing_files(books, archive).filter("file_path = 'r/a.jpg'").collect()] == [("d", "r/a.jpg")]
 
 
 def test_summary_message(spark):

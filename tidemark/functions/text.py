@@ -51,9 +51,9 @@ def merchant_key(text: Column) -> Column:
 
 
 def money(text: Column) -> Column:
-    """'£1,234.56' to decimal(18,2); anything without a number is null."""
+    """'£1,234.56' to decimal(18,2), half to even; anything without a number is null."""
     stripped = F.regexp_replace(text, r"[^0-9.\-]", "")
-    return stripped.try_cast("decimal(18,2)")
+    return F.bround(stripped.try_cast("decimal(38,18)"), 2).try_cast("decimal(18,2)")
 
 
 def currency_code(text: Column) -> Column:
@@ -131,7 +131,7 @@ def site_url(text: Column) -> Column:
     raw = F.regexp_replace(F.trim(text), "^[\"']+|[\"']+$", "")
     is_domain = F.lower(raw).startswith("sc-domain:")
     domain = F.regexp_replace(
-        F.regexp_replace(F.lower(F.trim(F.substring(raw, 11, 4096))), "/+$", ""),
+        F.regexp_replace(F.lower(F.trim(raw.substr(F.lit(11), F.length(raw)))), "/+$", ""),
         "^https?://([^/?#]*).*$", "$1",
     )
     scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))

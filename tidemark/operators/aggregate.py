@@ -132,10 +132,10 @@ def rollup_merge(parts: list[DataFrame], keys: list[str]) -> tuple[DataFrame, Da
 def join_unique(rows: DataFrame, unique: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a frame with one row per key, whose size is that of the data.
 
-    The explicit exchange on the unique side puts a shuffle directly under the join, which is the
-    shape AQE needs to split a partition of `rows` that one key has filled.
+    The unique side is written first. An aggregate directly under the join would keep adaptive
+    execution from splitting a partition of `rows` that one key has filled; a table does not.
     """
-    return rows.join(unique.repartition(*[F.col(c) for c in on]), on, how)
+    return rows.join(stage(unique, "unique"), on, how)
 
 
 def numbered(df: DataFrame, keys: list[str], seq: str, out: str, width: int = 1_000_000) -> DataFrame:

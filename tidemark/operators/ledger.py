@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import (
@@ -14,22 +18,21 @@ from ..functions.text import (
     archive_folder, archive_stem, currency_code, extension, merchant_key, money,
 )
 from ..session import stage
-from .aggregate import join_unique, numbered, top_per
-
-# Batch rows come after every ledger line.
-BATCH_OFFSET = 1 << 40
+from .aggregate import attach, join_unique, numbered, top_per
 
 
 def check_rows(raw: DataFrame) -> DataFrame:
     """Typed receipts from text columns, with the reason when a row is refused.
 
     Net is gross minus tax; a given net must agree within a cent, tax may not exceed a
-    non-negative gross, confidence lies in 0..1 and a flagged row needs a note.
+    non-negative gross, confidence lies in 0..1 and a flagged row needs a note. An empty tax is
+    zero and an empty net follows from the others; one that cannot be read refuses the row.
     """
     typed = raw.withColumns({
         "purchase_date": iso_date(F.col("purchase_date")),
         "gross": money(F.col("gross_amount")),
-        "tax": F.coalesce(money(F.col("tax_amount")), F.lit(0).cast("decimal(18,2)")),
+        "tax": F.when(_blank("tax_amount"), F.lit(0).cast("decimal(18,2)")).otherwise(money(F.col("tax_amount"))),
+        "bad_net": ~_blank("net_amount") & money(F.col("net_amount")).isNull(),
         "given_net": money(F.col("net_amount")),
         "conf": F.expr("CAST(bround(try_cast(confidence AS DECIMAL(10,6)), 2) AS DECIMAL(10,2))"),
         "currency": currency_code(F.col("currency")),
@@ -40,6 +43,8 @@ def check_rows(raw: DataFrame) -> DataFrame:
     reason = F.expr(
         "CASE WHEN purchase_date IS NULL THEN 'date is not ISO' "
         "WHEN gross IS NULL THEN 'gross is not a number' "
+        "WHEN tax IS NULL THEN 'tax is not a number' "
+        "WHEN bad_net THEN 'net is not a number' "
         f"WHEN given_net IS NOT NULL AND abs((gross - tax) - given_net) > {NET_TOLERANCE} "
         "THEN 'arithmetic does not reconcile' "
         "WHEN gross >= 0 AND tax > gross THEN 'tax exceeds gross' "
@@ -47,13 +52,17 @@ def check_rows(raw: DataFrame) -> DataFrame:
         "WHEN conf < 0 OR conf > 1 THEN 'confidence outside 0..1' "
         "WHEN flagged AND trim(coalesce(review_notes, '')) = '' THEN 'flag without a note' END")
     return typed.withColumn("reject_reason", reason).drop(
-        "gross_amount", "tax_amount", "net_amount", "given_net", "confidence", "needs_review"
+        "gross_amount", "tax_amount", "net_amount", "given_net", "bad_net", "confidence", "needs_review"
     ).withColumnsRenamed({
         "gross": "gross_amount", "tax": "tax_amount", "net": "net_amount", "conf": "confidence",
         "flagged": "needs_review",
     })
 
 
+def _blank(name: str) -> Column:
+    return F.trim(F.coalesce(F.col(name), F.lit(""))) == ""
+
+
 def tax_from_rate(gross_or_net, rate, inclusive):
     """Tax contained in a printed total, from a printed rate; columns of decimals."""
     inside = gross_or_net * rate / (F.lit(100) + rate)
@@ -72,27 +81,40 @@ NUMBER_KEY = ["client", "merchant_key", "number_key"]
 AMOUNT_KEY = ["client", "merchant_key", "purchase_date", "gross_amount"]
 
 
-def _first_hits(rows: DataFrame, written: DataFrame, earlier_only: bool) -> DataFrame:
+# Rounds in which independent rows of a batch settle at once; what is left is filed in order.
+PARALLEL_ROUNDS = 6
+
+
+def _position(rank: int, at: str) -> Column:
+    """Ledger lines (rank 0) come before batch rows (rank 1), whatever their numbers."""
+    return F.struct(F.lit(rank).alias("rank"), F.col(at).cast("bigint").alias("at")).alias("pos")
+
+
+def _firsts(written: DataFrame, suffix: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """The first position per receipt number, and per date and gross amount."""
+    by_number = written.filter("number_key IS NOT NULL").groupBy(*NUMBER_KEY).agg(
+        F.min("pos").alias(f"number_{suffix}"))
+    return by_number, written.groupBy(*AMOUNT_KEY).agg(F.min("pos").alias(f"amount_{suffix}"))
+
+
+def _first_hits(rows: DataFrame, by_number: DataFrame, by_amount: DataFrame) -> DataFrame:
     """Earliest written row with the same number, or the same date and gross.
 
     Written rows shrink to one per key before they are joined, so neither a repeated ledger entry
-    nor a repeated batch row multiplies. Two equality joins replace the OR of the two rules.
+    nor a repeated batch row multiplies. Two equality joins replace the OR of the two rules. Rows
+    without a number match none and stay out of the number join, where they would fill one task.
     """
-    by_number = written.filter("number_key IS NOT NULL").groupBy(*NUMBER_KEY).agg(
-        F.min("pos").alias("number_pos"))
-    by_amount = written.groupBy(*AMOUNT_KEY).agg(F.min("pos").alias("amount_pos"))
-    hit = join_unique(join_unique(rows, by_number, NUMBER_KEY), by_amount, AMOUNT_KEY)
-    if earlier_only:
-        hit = hit.withColumns({
-            "number_pos": F.expr("if(number_pos < pos, number_pos, null)"),
-            "amount_pos": F.expr("if(amount_pos < pos, amount_pos, null)"),
-        })
-    return hit
+    numbered_rows = join_unique(rows.filter("number_key IS NOT NULL"), by_number, NUMBER_KEY)
+    bare = rows.filter("number_key IS NULL").withColumn(
+        "number_pos", F.lit(None).cast(by_number.schema["number_pos"].dataType))
+    return join_unique(numbered_rows.unionByName(bare), by_amount, AMOUNT_KEY)
 
 
 def _described(hit: DataFrame) -> DataFrame:
+    first = F.least("number_pos", "amount_pos")
     return hit.withColumns({
-        "duplicate_of": F.least("number_pos", "amount_pos"),
+        "duplicate_of": first["at"],
+        "duplicate_in_batch": first["rank"] == 1,
         "duplicate_reason": F.expr(
             "CASE WHEN number_pos <= coalesce(amount_pos, number_pos) THEN 'same receipt number' "
             "WHEN amount_pos IS NOT NULL THEN 'same date and gross amount' END"),
@@ -105,58 +127,89 @@ def find_duplicates(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     Both need client, merchant, receipt_number, purchase_date and gross_amount; the ledger has
     `line`. On the same line a number match counts before a match of date and amount.
     """
-    booked = with_match_keys(ledger).withColumn("pos", F.col("line"))
-    return _described(_first_hits(with_match_keys(batch), booked, earlier_only=False))
-
-
-def file_batch(batch: DataFrame, ledger: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    booked = with_match_keys(ledger).withColumn("pos", _position(0, "line"))
+    return _described(_first_hits(with_match_keys(batch), *_firsts(booked))).drop("duplicate_in_batch")
+
+
+def _file_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """File rows one after the other; they come by client and merchant, in the order of the batch."""
+    group, numbers, amounts = None, set(), set()
+    for df in batches:
+        states = []
+        for client, merchant, number, day, gross, force, dup in zip(
+                df.client, df.merchant_key, df.number_key, df.purchase_date, df.gross_amount, df.force, df.dup, strict=True):
+            if (client, merchant) != group:
+                group, numbers, amounts = (client, merchant), set(), set()
+            # As in a join, a missing date or amount matches nothing.
+            amount = (day, gross) if day is not None and gross is not None and client is not None else None
+            if dup or (number and number in numbers) or (amount and amount in amounts):
+                states.append("written" if force else "duplicate")
+            else:
+                states.append("written")
+            if states[-1] == "written":
+                numbers.add(number)
+                amounts.add(amount)
+        yield pd.DataFrame({"seq": df.seq, "state": states})
+
+
+def file_batch(batch: DataFrame, ledger: DataFrame, rounds: int = PARALLEL_ROUNDS) -> DataFrame:
     """Decide every row of a batch as if rows were filed one at a time in the order of `seq`.
 
     A row is a duplicate when an earlier row that was itself written looks like it; a stopped row
-    is not in the ledger and stops nobody. Each round settles all rows whose earlier look-alikes
-    are settled, so the rounds number the longest chain of such rows and not the rows. `force`
-    files a duplicate all the same, with a note.
+    is not in the ledger and stops nobody. `force` files a duplicate all the same, with a note.
+
+    The ledger shrinks once to the keys of the batch. A round then settles all rows whose earlier
+    look-alikes are settled and carries on with the others only. Chains of look-alikes that are
+    longer than the rounds are filed in order, by client and merchant, in one streaming pass that
+    keeps the keys written so far. `seq` is unique in the batch.
     """
-    columns = ["client", "merchant_key", "number_key", "purchase_date", "gross_amount", "pos"]
-    booked = with_match_keys(ledger).withColumn("pos", F.col("line").cast("bigint")).select(*columns)
-    rows = with_match_keys(batch).withColumn("pos", F.col("seq") + F.lit(BATCH_OFFSET))
-    rows = rows.withColumn("state", F.lit("open"))
-    rows = stage(rows, "batch")
-    for _ in range(max_rounds):
-        written = booked.unionByName(rows.filter("state = 'written'").select(*columns))
-        waiting = rows.filter("state = 'open'")
-        hit = _first_hits(waiting, written, earlier_only=True).withColumn(
-            "dup", F.expr("number_pos IS NOT NULL OR amount_pos IS NOT NULL")
-        ).drop("number_pos", "amount_pos")
-        open_number = waiting.filter("number_key IS NOT NULL").groupBy(*NUMBER_KEY).agg(
-            F.min("pos").alias("first_number"))
-        open_amount = waiting.groupBy(*AMOUNT_KEY).agg(F.min("pos").alias("first_amount"))
-        judged = join_unique(join_unique(hit, open_number, NUMBER_KEY), open_amount, AMOUNT_KEY)
-        decided = judged.withColumn("state", F.expr(
-            "CASE WHEN dup AND NOT coalesce(force, false) THEN 'duplicate' "
-            "WHEN dup THEN 'written' "
-            "WHEN coalesce(force, false) OR (coalesce(first_number, pos) = pos "
-            "AND first_amount = pos) THEN 'written' ELSE 'open' END"
-        )).drop("dup", "first_number", "first_amount")
-        settled = rows.filter("state <> 'open'")
-        rows = stage(settled.unionByName(decided), "batch")
-        if rows.filter("state = 'open'").isEmpty():
+    keys = ["client", "merchant_key", "number_key", "purchase_date", "gross_amount"]
+    rows = stage(with_match_keys(batch), "batch")
+    booked = with_match_keys(ledger).withColumn("pos", _position(0, "line")).select(*keys, "pos")
+    wanted_numbers = rows.filter("number_key IS NOT NULL").select(*NUMBER_KEY).distinct()
+    old_number, old_amount = (stage(first, "ledger-keys") for first in (
+        _firsts(booked.join(wanted_numbers, NUMBER_KEY, "left_semi"))[0],
+        _firsts(booked.join(rows.select(*AMOUNT_KEY).distinct(), AMOUNT_KEY, "left_semi"))[1]))
+    waiting = rows.select("seq", *keys, F.coalesce("force", F.lit(False)).alias("force"), _position(1, "seq"))
+    waiting = _first_hits(waiting, old_number, old_amount).withColumn(
+        "dup", F.expr("number_pos IS NOT NULL OR amount_pos IS NOT NULL")).drop("number_pos", "amount_pos")
+    waiting, settled = stage(waiting, "batch-open"), []
+    for _ in range(rounds):
+        first_number, first_amount = _firsts(waiting, "first")
+        judged = attach(attach(waiting, first_number, NUMBER_KEY, ["seq"], salts=8), first_amount, AMOUNT_KEY, ["seq"], salts=8)
+        judged = stage(judged.withColumn("state", F.expr(
+            "CASE WHEN dup AND NOT force THEN 'duplicate' WHEN force THEN 'written' "
+            "WHEN coalesce(number_first, pos) = pos AND coalesce(amount_first, pos) = pos THEN 'written' "
+            "ELSE 'open' END")).drop("number_first", "amount_first"), "batch-judged")
+        settled.append(judged.filter("state <> 'open'").select("seq", "state"))
+        new_number, new_amount = _firsts(judged.filter("state = 'written'"), "new")
+        still = attach(attach(judged.filter("state = 'open'").drop("state"), new_number, NUMBER_KEY, ["seq"], salts=8),
+                       new_amount, AMOUNT_KEY, ["seq"], salts=8)
+        waiting = stage(still.withColumn("dup", F.expr(
+            "dup OR coalesce(number_new < pos, false) OR coalesce(amount_new < pos, false)")).drop("number_new", "amount_new"), "batch-open")
+        if waiting.isEmpty():
             break
     else:
-        raise RuntimeError("batch did not settle")
-    written = booked.unionByName(rows.filter("state = 'written'").select(*columns))
-    described = _described(_first_hits(rows, written, earlier_only=True))
+        settled.append(waiting.repartition("client", "merchant_key").sortWithinPartitions(
+            "client", "merchant_key", "seq").mapInPandas(_file_in_order, "seq bigint, state string"))
+    states = stage(reduce(DataFrame.unionByName, settled), "batch-states")
+    rows = rows.withColumn("seq", F.col("seq").cast("bigint")).join(states, "seq").withColumn("pos", _position(1, "seq"))
+    written = rows.filter("state = 'written'").select(*keys, "pos")
+    number, amount = _firsts(written)
+    firsts = (old.unionByName(new).groupBy(*key).agg(F.min(name).alias(name)) for old, new, key, name in (
+        (old_number, number, NUMBER_KEY, "number_pos"), (old_amount, amount, AMOUNT_KEY, "amount_pos")))
+    hit = _first_hits(rows, *firsts).withColumns({
+        c: F.expr(f"if({c} < pos, {c}, null)") for c in ("number_pos", "amount_pos")})
     note = F.when(F.col("duplicate_of").isNotNull() & (F.col("state") == "written"), F.trim(F.concat(
         F.coalesce("review_notes", F.lit("")), F.lit(" [forced past a suspected duplicate]"))))
-    return described.withColumn("review_notes", F.coalesce(note, F.col("review_notes"))).withColumn(
-        "duplicate_in_batch", F.col("duplicate_of") >= BATCH_OFFSET).drop("pos")
+    return _described(hit).withColumn("review_notes", F.coalesce(note, F.col("review_notes"))).drop("pos")
 
 
 def archive_names(rows: DataFrame, archived: DataFrame | None = None) -> DataFrame:
-    """Folder and collision-free name per row; `archived` counts names already taken.
+    """Folder and collision-free name per row: the first name that is free, `stem`, `stem-2`, ...
 
-    A file already in its folder under its stem keeps its name. `archived` has folder, stem, ext
-    and `taken`.
+    A file already in its folder under its stem keeps its name. `archived` has client, folder, stem,
+    ext and `n`, the number of each name that is taken (1 without a suffix).
     """
     keys = ["client", "folder", "stem", "ext"]
     named = rows.withColumns({
@@ -168,8 +221,15 @@ def archive_names(rows: DataFrame, archived: DataFrame | None = None) -> DataFra
         "AND startswith(regexp_extract(source_path, '([^/]+)$', 1), stem)"))
     moving = numbered(named.filter("NOT already_in_place"), keys, "seq", "n")
     if archived is not None:
-        moving = join_unique(moving, archived, keys).withColumn(
-            "n", F.expr("n + coalesce(taken, 0)")).drop("taken")
+        # Before the j-th taken number t lie t - j free ones; the k-th new file skips all that come
+        # before it, the j with t - j < k. A running count over both gives their number.
+        taken = archived.select(*keys, "n").distinct().withColumn(
+            "at", F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n")))
+        places = moving.select(*keys, F.col("n").cast("bigint").alias("at"), "seq").unionByName(
+            taken.select(*keys, F.col("at").cast("bigint").alias("at"), F.lit(None).cast(moving.schema["seq"].dataType).alias("seq")))
+        order = Window.partitionBy(*keys).orderBy("at", F.col("seq").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        skipped = places.withColumn("skip", F.count_if(F.col("seq").isNull()).over(order)).filter("seq IS NOT NULL")
+        moving = moving.join(skipped.select("seq", "skip"), "seq").withColumn("n", F.col("n") + F.col("skip")).drop("skip")
     placed = moving.withColumn("file_path", F.expr(
         "concat(folder, '/', stem, if(n > 1, concat('-', n), ''), '.', ext)")).drop("n")
     kept = named.filter("already_in_place").withColumn("file_path", F.col("source_path"))
@@ -218,8 +278,10 @@ def whitelist_matches(rows: DataFrame, whitelist: DataFrame) -> DataFrame:
     ).filter("run <> ''").distinct()
     merchants = rows.select("client", "merchant").distinct().withColumn(
         "w", F.expr(f"split({words.format('merchant')}, ' ')"))
-    runs = merchants.select("client", "merchant", F.explode(F.expr(
-        "flatten(transform(sequence(1, size(w)), i -> transform(sequence(i, size(w)), "
+    # No run is longer than the longest vendor name, so a page of text gives a run per word and length.
+    longest = vendors.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(0)))
+    runs = merchants.withColumn("longest", longest.scalar()).select("client", "merchant", F.explode(F.expr(
+        "flatten(transform(sequence(1, size(w)), i -> transform(sequence(i, least(size(w), i + greatest(longest, 1) - 1)), "
         "j -> array_join(slice(w, i, j - i + 1), ' '))))")).alias("run"))
     return runs.join(vendors, ["client", "run"], "left_semi").select("client", "merchant").distinct()
 
@@ -249,38 +311,49 @@ def category_deviations(rows: DataFrame) -> DataFrame:
         "category <> usual_category")
 
 
+def _counts_as_receipt(files: DataFrame) -> str:
+    """SQL text: hidden files and the run's own files are no receipts."""
+    artefacts = ", ".join(f"'{a}'" for a in RUN_ARTEFACTS)
+    name = "regexp_extract(path, '([^/]+)$', 1)"
+    own = f"{name} IN ({artefacts})"
+    if "top_level" in files.columns:
+        own = f"coalesce(top_level, false) AND {own}"
+    return f"NOT startswith({name}, '.') AND NOT ({own})"
+
+
 def missing_files(ledger: DataFrame, files: DataFrame) -> DataFrame:
-    """Ledger rows whose file is absent or not named."""
-    named = ledger.withColumn("path", F.col("file_path"))
-    return named.join(files.select("path"), "path", "left_anti").drop("path")
+    """Ledger rows whose file is absent from their client's archive, or not named."""
+    return ledger.withColumn("path", F.col("file_path")).join(
+        files.select("client", "path"), ["client", "path"], "left_anti").drop("path")
 
 
 def orphan_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Archived files without a ledger row; hidden files and the run's own files do not count."""
-    artefacts = ", ".join(f"'{a}'" for a in RUN_ARTEFACTS)
-    name = "regexp_extract(path, '([^/]+)$', 1)"
-    receipts = files.filter(
-        f"NOT startswith({name}, '.') AND NOT (coalesce(top_level, false) AND {name} IN ({artefacts}))"
-        if "top_level" in files.columns else f"NOT startswith({name}, '.') AND {name} NOT IN ({artefacts})")
-    return receipts.join(
-        ledger.select(F.col("file_path").alias("path")), "path", "left_anti")
+    """Archived files without a ledger row of their client; hidden files and the run's own files do
+    not count."""
+    return files.filter(_counts_as_receipt(files)).join(
+        ledger.select("client", F.col("file_path").alias("path")), ["client", "path"], "left_anti")
 
 
 def audit(ledger: DataFrame, files: DataFrame) -> DataFrame:
-    """Per client: rows, missing and orphan counts, and whether all agree."""
-    rows = ledger.groupBy("client").agg(F.count("*").alias("rows"))
-    missing = missing_files(ledger, files).groupBy("client").agg(F.count("*").alias("missing"))
-    orphans = orphan_files(files, ledger).groupBy("client").agg(F.count("*").alias("orphans"))
-    joined = rows.join(missing, "client", "full_outer").join(orphans, "client", "full_outer")
-    counts = ["rows", "missing", "orphans"]
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumn(
-        "clean", (F.col("missing") == 0) & (F.col("orphans") == 0))
+    """Per client: rows, missing and orphan counts, and whether all agree.
+
+    Paths are resolved inside one client's archive. Both sides shrink to one row per client and path
+    and meet in one outer join; a row without a path matches nothing.
+    """
+    booked = ledger.groupBy("client", F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
+    archived = files.groupBy("client", "path").agg(
+        F.count_if(F.expr(_counts_as_receipt(files))).alias("receipts"), F.lit(True).alias("there"))
+    return booked.join(archived, ["client", "path"], "full_outer").groupBy("client").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("there").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("receipts"))), F.lit(0)).alias("orphans"),
+    ).withColumn("clean", (F.col("missing") == 0) & (F.col("orphans") == 0))
 
 
 def pending(inbox: DataFrame, booked: DataFrame, reported: DataFrame) -> DataFrame:
-    """Inbox files neither booked nor reported in this run."""
-    done = booked.select("path").unionByName(reported.select("path"))
-    return inbox.join(done, "path", "left_anti")
+    """Inbox files of a client neither booked nor reported in this run."""
+    done = booked.select("client", "path").unionByName(reported.select("client", "path"))
+    return inbox.join(done, ["client", "path"], "left_anti")
 
 
 def client_of(path: str) -> str:
