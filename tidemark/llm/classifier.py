@@ -228,7 +228,7 @@ def site_posteriors(scored: DataFrame, task: str) -> DataFrame:
     paths = scored.groupBy("host", "path").agg(F.sum(p).alias("s"), F.sum(p * p).alias("q"), F.count(F.lit(1)).alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.sum("n").alias("hn"), F.count(F.lit(1)).alias("k"))
 
-    def strength(groups, s, q, n, mid):
+    def strength(s, q, n, mid):
         # Weighted between-group variance, less the part that documents within groups explain.
         within = F.sum(q - s * s / n) / F.greatest(F.lit(1), F.sum(n) - F.count(F.lit(1)))
         between = F.sum(n * F.pow(s / n - mid, 2)) / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)
@@ -236,15 +236,15 @@ def site_posteriors(scored: DataFrame, task: str) -> DataFrame:
         spread = F.greatest((between - within) / typical, F.lit(1e-9))
         return F.least(F.lit(1e6), F.greatest(F.lit(1.0), within / spread))
 
-    everything = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mid"))
-    with_mid = hosts.crossJoin(F.broadcast(everything))  # one row
-    host_strength = with_mid.agg(strength(with_mid, F.col("hs"), F.col("hq"), F.col("hn"), F.col("mid")).alias("hk"))
-    posterior = with_mid.crossJoin(F.broadcast(host_strength)).select(  # one row
+    # Scalar subqueries: one figure each.
+    with_mid = hosts.withColumn("mid", hosts.agg(F.sum("hs") / F.sum("hn")).scalar())
+    host_strength = with_mid.agg(strength(F.col("hs"), F.col("hq"), F.col("hn"), F.col("mid")))
+    posterior = with_mid.withColumn("hk", host_strength.scalar()).select(
         "host", "mid", ((F.col("hk") * F.col("mid") + F.col("hs")) / (F.col("hk") + F.col("hn"))).alias("mean"))
     joined = paths.alias("p").join(
         posterior.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.*", "h.mid", "h.mean")
-    path_strength = joined.agg(strength(joined, F.col("s"), F.col("q"), F.col("n"), F.col("mean")).alias("strength"))
-    return joined.crossJoin(F.broadcast(path_strength)).select(  # one row
+    path_strength = joined.agg(strength(F.col("s"), F.col("q"), F.col("n"), F.col("mean")))
+    return joined.withColumn("strength", path_strength.scalar()).select(
         "host", "path", *(F.col(c).alias(f"{task}_{c}") for c in ("mid", "mean", "strength", "s", "n")))
 
 
