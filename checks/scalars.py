@@ -453,8 +453,8 @@ def snk1_kpi_documents(spark, sf):
     found = ads_checks_.all_findings(spark, sf)
     actions = ads_findings.recommendations(found)
     exports.write_analysis(exports.analysis_documents(kpis, found, actions, "1999-12-31"), path)
-    back = spark.read.schema("kpis array<struct<key:string,current:double,verdict:string,material:boolean>>, property_id string").json(path)
-    return back.select("property_id", F.inline("kpis"))
+    back = spark.read.schema("property_id string, kind string, item string").json(path).filter("kind = 'kpi'")
+    return back.select("property_id", F.from_json("item", "key string, current double, verdict string, material boolean").alias("i")).select("property_id", "i.*")
 
 
 @register("snk6_ledger_append", g.with_(LEDGER_SQL) + "SELECT client, line, gross_amount::DOUBLE AS gross_amount, CASE WHEN purchase_date < DATE '2000-01-01' THEN 'run-1' ELSE 'run-2' END AS run_id FROM booked")

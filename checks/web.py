@@ -151,8 +151,7 @@ SEG_METRICS = SEGMENT_CSV_METRICS
 SEG_OUT = ", ".join(f"{p}{m}" for m in SEG_METRICS for p in ("cur_", "prev_"))
 CAPPED = """capd AS (SELECT *, count(*) OVER (PARTITION BY property_id, dataset) >= cap AS hit_cap FROM (
   SELECT *, row_number() OVER (PARTITION BY property_id, dataset ORDER BY cur_sessions DESC NULLS LAST, key) AS rank,
-    CASE dataset WHEN 'channels' THEN 50 WHEN 'devices' THEN 10 WHEN 'landing_pages' THEN 100 WHEN 'geo_country' THEN 30 ELSE 50 END AS cap FROM seg)
-  WHERE rank <= cap)"""
+    CASE dataset WHEN 'channels' THEN 50 WHEN 'devices' THEN 10 WHEN 'landing_pages' THEN 100 WHEN 'geo_country' THEN 30 ELSE 50 END AS cap FROM seg))"""
 
 
 def segments(spark, sf, dims=None):
@@ -160,7 +159,7 @@ def segments(spark, sf, dims=None):
 
 
 def one_dataset(spark, sf, dataset):
-    return web.capped(segments(spark, sf, {dataset: DIMS[dataset]}))
+    return segments(spark, sf, {dataset: DIMS[dataset]})
 
 
 @register("a11_p17_breakdowns", g.with_(*SEGS) + f"SELECT property_id, dataset, key, {SEG_OUT} FROM seg")
@@ -172,15 +171,15 @@ def a11_p17_breakdowns(spark, sf):
 
 @register("s3_s5_capped_segments", g.with_(*SEGS, CAPPED) + "SELECT property_id, dataset, key, cur_sessions, rank, hit_cap FROM capd")
 def s3_s5_capped_segments(spark, sf):
-    return web.capped(segments(spark, sf)).select(
+    return web.ranked(segments(spark, sf)).select(
         "property_id", "dataset", "key", F.col("cur_sessions").cast("double").alias("cur_sessions"), "rank", "hit_cap")
 
 
 @register("a11_first_user_channels", g.with_(*SESS, breakdown_sql("property_id, first_channel", "sess", "fu")) + """
 SELECT property_id, first_channel AS key, "cur_totalUsers", "cur_newUsers", "cur_engagementRate", row_number() OVER (PARTITION BY property_id
-  ORDER BY "cur_totalUsers" DESC NULLS LAST, first_channel) AS rank FROM fu QUALIFY rank <= 50""")
+  ORDER BY "cur_totalUsers" DESC NULLS LAST, first_channel) AS rank FROM fu""")
 def a11_first_user_channels(spark, sf):
-    c = web.capped(segments(spark, sf, {"first_user_channels": "first_channel"}))
+    c = web.ranked(segments(spark, sf, {"first_user_channels": "first_channel"}))
     return c.select("property_id", "key", *[F.col(f"cur_{m}").cast("double").alias(f"cur_{m}") for m in ("totalUsers", "newUsers", "engagementRate")], "rank")
 
 
@@ -190,9 +189,9 @@ def a11_first_user_channels(spark, sf):
   FROM we WHERE in_current OR in_previous GROUP BY 1, 2)""") + """
 SELECT property_id, key, CASE WHEN n > 0 THEN v END::DOUBLE AS "cur_screenPageViews", CASE WHEN pn > 0 THEN pv END::DOUBLE AS "prev_screenPageViews",
   CASE WHEN n > 0 THEN u END::DOUBLE AS "cur_totalUsers", CASE WHEN n > 0 THEN r END AS "cur_itemRevenue",
-  row_number() OVER (PARTITION BY property_id ORDER BY CASE WHEN n > 0 THEN v END DESC NULLS LAST, key) AS rank FROM pg QUALIFY rank <= 100""")
+  row_number() OVER (PARTITION BY property_id ORDER BY CASE WHEN n > 0 THEN v END DESC NULLS LAST, key) AS rank FROM pg""")
 def a11_p17_pages(spark, sf):
-    p = web.capped(web.event_breakdown(marked_events(spark, sf), {"path": "page", "title": "country"}, "pages"))
+    p = web.ranked(web.event_breakdown(marked_events(spark, sf), {"path": "page", "title": "country"}, "pages"))
     return p.select("property_id", "key", *[F.col(c).cast("double").alias(c) for c in (
         "cur_screenPageViews", "prev_screenPageViews", "cur_totalUsers", "cur_itemRevenue")], "rank")
 
@@ -216,12 +215,12 @@ def an26_segment_movers(spark, sf):
         F.col("d_sessions.verdict").alias("verdict"), "rank")
 
 
-JUDGED = """jud AS (SELECT *, median(cur_engagementRate) OVER (PARTITION BY property_id) AS med, row_number() OVER (PARTITION BY property_id ORDER BY rank) AS jr
+JUDGED = """jud AS (SELECT *, median(round(cur_engagementRate, 6)) OVER (PARTITION BY property_id) AS med, row_number() OVER (PARTITION BY property_id ORDER BY rank) AS jr
   FROM capd WHERE dataset = 'landing_pages' AND cur_sessions >= 100)"""
 
 
 @register("a21_an23_judged_landing_pages", g.with_(*SEGS, CAPPED, JUDGED) + f"""
-SELECT property_id, key, cur_sessions, cur_engagementRate, {g.rnd('med', 6)} AS median_engagement, jr AS judged_rank FROM jud""")
+SELECT property_id, key, cur_sessions, cur_engagementRate, {g.rnd('med', 6)} AS median_engagement, CASE WHEN jr <= 15 THEN jr END AS judged_rank FROM jud""")
 def a21_an23_judged_landing_pages(spark, sf):
     j = web.judged_landing_pages(one_dataset(spark, sf, "landing_pages"))
     from tidemark.functions.nulls import rnd
@@ -450,7 +449,7 @@ ACQ = f"""acq AS (SELECT property_id, 'acquisition_move:' || key AS id, CASE WHE
 def fw11_acquisition_findings(spark, sf):
     s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
-    top = web.movers(web.capped(web.all_breakdowns(s, {"channels": "channel"})), 5)
+    top = web.movers(web.all_breakdowns(s, {"channels": "channel"}), 5)
     return web_findings.segment_findings(web.with_property_sessions(top, kpis)).select(*OUT)
 
 
@@ -469,7 +468,7 @@ LAND = [JUDGED.replace(">= 100", ">= 10"),
 def fw12_fw14_landing_findings(spark, sf):
     s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
-    pages = web.capped(web.all_breakdowns(s, {"landing_pages": "landing_page"}))
+    pages = web.all_breakdowns(s, {"landing_pages": "landing_page"})
     moved = web.movers(pages.filter("coalesce(cur_sessions, 0) >= 10 OR coalesce(prev_sessions, 0) >= 10"), 6)
     return web_findings.landing_findings(
         web.judged_landing_pages(pages, 10), web.with_property_sessions(moved, kpis), pages, 10).select(*OUT)
@@ -542,7 +541,7 @@ FROM schg JOIN bs USING (property_id) WHERE NOT base0 AND material AND abs(absol
 def fw22_geo_findings(spark, sf):
     s = staged(spark, sf)
     kpis = web.kpis_wide(web.totals(s))
-    top = web.geo_movers(web.capped(web.all_breakdowns(s, {"geo_country": "country"})), 20)
+    top = web.geo_movers(web.all_breakdowns(s, {"geo_country": "country"}), 20)
     return web_findings.geo_findings(web.with_property_sessions(top, kpis)).select(*OUT)
 
 
@@ -551,7 +550,7 @@ def all_findings(spark, sf):
     kpis = stage(web.kpis_wide(web.totals(s)), "kpis")
     cur = stage(web.daily(s).filter("period = 'current'"), "daily")
     gaps = timeseries.missing_days(days(spark, sf), cur)
-    top = web.movers(web.capped(web.all_breakdowns(s, {"channels": "channel"})), 5)
+    top = web.movers(web.all_breakdowns(s, {"channels": "channel"}), 5)
     found = union_findings([
         web_findings.kpi_findings(kpis),
         web_findings.segment_findings(web.with_property_sessions(top, kpis)),

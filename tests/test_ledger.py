@@ -200,6 +200,9 @@ def test_append_is_idempotent(spark, tmp_path):
     for run, part in (("r1", rows.filter("line = 1")), ("r2", rows.filter("line = 2")), ("r2", rows.filter("line = 2"))):
         exports.append_ledger(part, path, run)
     assert sorted((r["line"], r["run_id"]) for r in spark.read.parquet(path).collect()) == [(1, "r1"), (2, "r2")]
+    # A client that drops out of a repeated run leaves no rows of that run.
+    exports.append_ledger(spark.createDataFrame([("d", 9)], "client string, line int"), path, "r2")
+    assert sorted((r["client"], r["line"]) for r in spark.read.parquet(path).collect()) == [("c", 1), ("d", 9)]
 
 
 def test_whole_run(spark):

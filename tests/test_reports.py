@@ -33,8 +33,9 @@ def test_ads_report(spark, tmp_path):
     invariants(report)
     write.write_report(report, str(tmp_path), "1999-12-31")
     documents = spark.read.json(f"{tmp_path}/documents")
-    assert documents.count() == report["kpis"].select("property_id").distinct().count()
-    assert documents.select(F.size("kpis")).distinct().collect()[0][0] == 13
+    assert {r["kind"]: r["count"] for r in documents.groupBy("kind").count().collect()} == {
+        "kpi": report["kpis"].count(), "finding": report["findings"].count(), "recommended_action": report["recommendations"].count()}
+    assert documents.filter("kind = 'kpi'").groupBy("property_id").count().select("count").distinct().collect()[0][0] == 13
 
 
 def test_search_report(spark):

@@ -134,10 +134,6 @@ def flag(facts: DataFrame, windows: Windows, on: str = "date") -> DataFrame:
     })
 
 
-# Windows of a million properties take some 60 MB on every executor.
-BROADCAST_ROWS = 1_000_000
-
-
 def mark(facts: DataFrame, windows: Windows | DataFrame, on: str = "date") -> DataFrame:
     """Keep the rows of either window and flag which one they are in.
 
@@ -152,14 +148,11 @@ def mark(facts: DataFrame, windows: Windows | DataFrame, on: str = "date") -> Da
     bounds = stage(
         windows.select("property_id", "cur_start", "cur_end", "prev_start", "prev_end"), "windows")
     outer = bounds.agg(
-        F.count("*").alias("n"), F.least(F.min("cur_start"), F.min("prev_start")).alias("lo"),
+        F.least(F.min("cur_start"), F.min("prev_start")).alias("lo"),
         F.greatest(F.max("cur_end"), F.max("prev_end")).alias("hi")).first()
     rows = facts.filter(F.col(on).between(F.lit(outer["lo"]), F.lit(outer["hi"])))
-    if outer["n"] <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(bounds), "property_id")
-    else:
-        spread = [c for c, t in facts.dtypes if not t.startswith(("map", "struct", "array"))]
-        joined = attach(rows, bounds, ["property_id"], spread, "inner")
+    spread = [c for c, t in facts.dtypes if not t.startswith(("map", "struct", "array"))]
+    joined = attach(rows, bounds, ["property_id"], spread, "inner")
     return joined.withColumns({
         "in_current": F.expr(f"{on} BETWEEN cur_start AND cur_end"),
         "in_previous": F.expr(f"{on} BETWEEN prev_start AND prev_end"),

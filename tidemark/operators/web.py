@@ -16,7 +16,7 @@ from ..functions.catalog import (
 from ..functions.compare import Change, kpi_changes, standard_changes
 from ..functions.nulls import rnd
 from ..functions.text import compound_key
-from .aggregate import attach, present_in, top_per
+from .aggregate import attach, exact_median, present_in, ranked_all, top_per
 
 SESSION_SUMS = ["duration_us", "events", "views", "clicks", "signups", "purchases", "key_events",
                 "revenue"]
@@ -222,22 +222,19 @@ def all_breakdowns(flagged: DataFrame, dimensions: dict[str, str]) -> DataFrame:
                      ["property_id", "dataset", "key"])
 
 
-def capped(segments: DataFrame) -> DataFrame:
-    """The rows each dataset keeps, ranked by its own metric; null and zero come last."""
+def ranked(segments: DataFrame) -> DataFrame:
+    """All rows with their rank in the dataset's own metric, null and zero last, and whether the
+    source's list would have been full. For lists that are shown; figures use the full breakdown."""
     metric = " ".join(f"WHEN '{d}' THEN CAST(cur_{m} AS DOUBLE)" for d, (_, m) in WEB_CAPS.items()
                       if f"cur_{m}" in segments.columns)
     cap = " ".join(f"WHEN '{d}' THEN {k}" for d, (k, _) in WEB_CAPS.items())
-    sized = segments.withColumns({
-        "sort_value": F.expr(f"CASE dataset {metric} END"),
-        "cap": F.expr(f"CASE dataset {cap} ELSE 100 END"),
-    })
-    # The common bound is a literal, so it limits the rows before the shuffle.
-    top = top_per(sized, ["property_id", "dataset"],
-                  [F.col("sort_value").desc_nulls_last(), F.col("key").asc()],
-                  max(k for k, _ in WEB_CAPS.values()))
-    w = Window.partitionBy("property_id", "dataset")
-    return top.filter("rank <= cap").withColumn(
-        "hit_cap", F.count("*").over(w) >= F.col("cap")).drop("cap")
+    # Descending, and nulls last, as one ascending number.
+    sized = segments.withColumn("sort_value", F.expr(f"CASE dataset {metric} END")).withColumn(
+        "_down", F.coalesce(-F.col("sort_value"), F.lit(float("inf"))))
+    placed = ranked_all(sized, ["property_id", "dataset"], ["_down", "key"], "rank").drop("_down")
+    sizes = segments.groupBy("property_id", "dataset").agg(F.count("*").alias("_rows"))
+    return attach(placed, sizes, ["property_id", "dataset"], ["key"]).withColumn(
+        "hit_cap", F.expr(f"_rows >= CASE dataset {cap} END")).drop("_rows")
 
 
 def segment_changes(segments: DataFrame) -> DataFrame:
@@ -258,17 +255,18 @@ def movers(segments: DataFrame, k: int) -> DataFrame:
     return top_per(moving, ["property_id"], order, k)
 
 
-def judged_landing_pages(pages: DataFrame, min_sessions: int = WEB_MIN_SESSIONS) -> DataFrame:
-    """Landing pages of the capped list with enough sessions, with their median engagement.
+def judged_landing_pages(pages: DataFrame, min_sessions: int = WEB_MIN_SESSIONS, first: int = 15) -> DataFrame:
+    """Landing pages with enough sessions, with their property's median engagement.
 
-    The list holds at most a hundred pages per property, which bounds the exact median.
+    The median is exact over rates rounded to six places, whose domain bounds it for any number of
+    pages. `judged_rank` numbers the first pages by sessions and is null for the rest.
     """
-    w = Window.partitionBy("property_id")
-    judged = pages.filter(F.col("cur_sessions") >= min_sessions)
-    return judged.withColumns({
-        "median_engagement": F.median("cur_engagementRate").over(w),
-        "judged_rank": F.row_number().over(w.orderBy("rank")),
-    })
+    judged = pages.filter(F.col("cur_sessions") >= min_sessions).drop("rank").withColumn("_rate", F.round("cur_engagementRate", 6))
+    median = exact_median(judged, ["property_id"], "_rate", "median_engagement").drop("rows")
+    order = [F.col("cur_sessions").desc_nulls_last(), F.col("key").asc()]
+    leading = top_per(judged, ["property_id"], order, first, "judged_rank").select("property_id", "key", "judged_rank")
+    with_median = attach(judged.drop("_rate"), median, ["property_id"], ["key"])
+    return with_median.join(leading, ["property_id", "key"], "left")
 
 
 def event_table(events: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
@@ -409,9 +407,9 @@ def new_user_share(property_totals: DataFrame) -> DataFrame:
 
 def geo_movers(countries: DataFrame, min_sessions: int = WEB_MIN_SESSIONS) -> DataFrame:
     """Second to fourth big market of the first eight, when it moved materially."""
-    first = countries.filter(f"rank <= 8 AND cur_sessions >= {min_sessions}")
-    w = Window.partitionBy("property_id").orderBy("rank")
-    placed = segment_changes(first.withColumn("n", F.row_number().over(w))).filter("n BETWEEN 2 AND 4")
+    order = [F.col("cur_sessions").desc_nulls_last(), F.col("key").asc()]
+    big = top_per(countries.drop("rank"), ["property_id"], order, 8, "n").filter(f"cur_sessions >= {min_sessions}")
+    placed = segment_changes(big).filter("n BETWEEN 2 AND 4")
     return placed.filter(
         f"d_sessions.material AND abs(d_sessions.absolute_change) >= {min_sessions}")
 

@@ -29,8 +29,7 @@ def build(
     marked = flag(events, windows).filter("in_current OR in_previous")
     totals = stage(web.totals(sessions), "web-totals")
     kpis = stage(web.kpis_wide(totals), "web-kpis")
-    segments = stage(web.capped(web.all_breakdowns(sessions, dimensions or DIMENSIONS)),
-                     "web-segments")
+    segments = stage(web.all_breakdowns(sessions, dimensions or DIMENSIONS), "web-segments")
 
     def of(dataset):
         return segments.filter(segments["dataset"] == dataset)
@@ -68,7 +67,7 @@ def build(
     return {
         "kpis": long,
         "headlines": quality.headline_kpis(long.drop("position"), HEADLINES["web"]),
-        "segments": segments, "events": events_table, "funnel": funnel,
+        "segments": web.ranked(segments), "events": events_table, "funnel": funnel,
         "daily": timeseries.on_calendar(days, daily), "missing_days": missing,
         "anomalies": anomalies, "drift": drift, "findings": findings,
         "recommendations": ordered(web_findings.recommendations(findings)),

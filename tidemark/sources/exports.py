@@ -2,44 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import csv_cell
-from ..operators.aggregate import top_per
 from ..operators.findings import priority_rank
 
 
-DOCUMENT_ROWS = 100
+BUCKETS = 64
 
 
 def analysis_documents(
     kpis: DataFrame, findings: DataFrame, recommendations: DataFrame, period_end: str,
-    limit: int = DOCUMENT_ROWS,
 ) -> DataFrame:
-    """One document per property: KPIs, and the gravest findings and first recommendations.
+    """The analysis of every property as items: kind (kpi, finding or recommended_action), its place in
+    the reading order, and the item as JSON.
 
-    The KPIs are a fixed set. Findings of very many campaigns stay complete in the findings table;
-    the document lists the first `limit`, cut before anything is gathered.
+    An item is a line of its own, so a property with very many findings keeps all of them and nothing
+    is gathered. `priority`, then `name`, is the reading order within a kind.
     """
-    def nested(df: DataFrame, name: str) -> DataFrame:
+    def items(df: DataFrame, kind: str, priority: Column, name: str) -> DataFrame:
         columns = [c for c in df.columns if c != "property_id"]
-        return df.groupBy("property_id").agg(
-            F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+        return df.select(
+            "property_id", F.lit(kind).alias("kind"), priority.cast("int").alias("priority"),
+            F.col(name).cast("string").alias("name"), F.to_json(F.struct(*columns)).alias("item"))
 
-    gravity = priority_rank(F.initcap("severity")).asc()
-    found = top_per(findings, ["property_id"], [gravity, F.col("id").asc()], limit)
-    actions = top_per(recommendations, ["property_id"], [
-        F.col("priority_rank").asc(), F.col("from_finding").asc(), F.col("action").asc()], limit)
-    documents = nested(kpis, "kpis")
-    for df, name in ((found, "findings"), (actions, "recommended_actions")):
-        documents = documents.join(nested(df, name), "property_id", "left")
-    return documents.withColumn("period_end", F.lit(period_end))
+    position = F.col("position") if "position" in kpis.columns else F.lit(0)
+    parts = [
+        items(kpis, "kpi", position, "key"),
+        items(findings, "finding", priority_rank(F.initcap("severity")), "id"),
+        items(recommendations, "recommended_action", F.col("priority_rank"), "from_finding"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("period_end", F.lit(period_end))
 
 
-def write_analysis(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "property_id", "period_end").json(path)
+def write_analysis(documents: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """JSON lines by period and hash bucket; the items of a property lie in one bucket."""
+    documents.withColumn("bucket", F.pmod(F.xxhash64("property_id"), F.lit(buckets))).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("period_end", "bucket").json(path)
 
 
 def write_kpis(kpis: DataFrame, path: str, period_end: str) -> None:
@@ -55,9 +55,9 @@ def segment_csv(segments: DataFrame, label: str, metrics: list[str]) -> DataFram
     return segments.selectExpr("property_id", f"key AS {label}", *cells)
 
 
-def events_csv(events: DataFrame, limit: int = 60) -> DataFrame:
-    """Events with key-event mark and counts; the first sixty of a ranked table."""
-    return events.filter(F.col("rank") <= limit).selectExpr(
+def events_csv(events: DataFrame) -> DataFrame:
+    """Every event with key-event mark and counts."""
+    return events.selectExpr(
         "property_id", "event_name", "if(is_key_event, 'yes', 'no') AS is_key_event",
         f"{csv_cell('cur_eventCount')} AS current_event_count",
         f"{csv_cell('prev_eventCount')} AS previous_event_count",
@@ -100,20 +100,34 @@ def write_csv(df: DataFrame, path: str) -> bool:
 
 
 def append_ledger(rows: DataFrame, path: str, run_id: str) -> None:
-    """Append a run to the ledger table. A repeated run replaces its own partition only."""
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("client", "run_id").parquet(path)
+    """Append a run to the ledger table. A repeated run replaces all that it wrote before."""
+    _replace_run(rows, path, run_id, ["client"], "parquet")
 
 
-def append_archive(rows: DataFrame, path: str) -> None:
-    """Archive partition by purchase month, `YYYYMM_MonthName`."""
-    rows.write.mode("append").partitionBy("client", "folder").parquet(path)
+def _replace_run(df: DataFrame, path: str, run_id: str, partitions: list[str], kind: str) -> None:
+    """Write the rows of a run in place of what an earlier attempt of it wrote, other runs untouched.
+
+    The run has a folder of its own that is replaced as a whole, so a key that drops out of a repeated
+    run leaves nothing behind.
+    """
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partitions) if partitions else writer).format(kind).save(f"{path}/run_id={run_id}")
+
+
+def append_archive(rows: DataFrame, path: str, run_id: str) -> None:
+    """Archive entries of a run by client and purchase month, `YYYYMM_MonthName`."""
+    _replace_run(rows, path, run_id, ["client", "folder"], "parquet")
 
 
 def append_run_log(summary: DataFrame, path: str, run_id: str, channel: str = "",
                    posted: bool = False) -> None:
     """One JSON line per client and run."""
-    run_log(summary, run_id, channel, posted).write.mode("append").json(path)
+    _replace_run(run_log(summary, run_id, channel, posted).drop("run_id"), path, run_id, [], "json")
+
+
+def append_review_list(rows: DataFrame, path: str, run_id: str) -> None:
+    """The open questions of a run, one JSON line each."""
+    _replace_run(rows, path, run_id, [], "json")
 
 
 def run_log(summary: DataFrame, run_id: str, channel: str = "", posted: bool = False) -> DataFrame:
