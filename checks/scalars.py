@@ -473,6 +473,86 @@ def snk9_run_log(spark, sf):
     return exports.run_log(run_summary(rows), "run-1").drop("message")
 
 
+@register("snk9_run_log_message", g.with_(LEDGER_SQL) + """, s AS (SELECT client, count(*) AS n, sum(gross_amount) AS total, any_value(CASE WHEN trim(currency) = '' THEN '???' ELSE upper(trim(currency)) END) AS cur
+  FROM booked GROUP BY client)
+SELECT client, run_id, n || ' receipts processed and logged — ' || CASE cur WHEN 'GBP' THEN '£' WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' ELSE '' END
+  || format('{:,.2f}', total::DOUBLE) || CASE cur WHEN '???' THEN ' ???' ELSE '' END || ' total.' AS message FROM s, (VALUES ('run-1'), ('run-2')) AS r(run_id)""")
+def snk9_run_log_message(spark, sf):
+    """Two runs, the second written twice."""
+    from tidemark.operators.ledger import run_summary
+    path = fresh_path(spark, "run-log")
+    summary = run_summary(booked_receipts(spark, sf).withColumn("needs_review", F.expr("confidence < 0.70")))
+    for run in ("run-1", "run-2", "run-2"):
+        exports.append_run_log(summary, path, run)
+    return spark.read.json(path).select("client", "run_id", "message")
+
+
+@register("snk7_archive_append", g.with_(LEDGER_SQL) + """SELECT client, strftime(purchase_date, '%Y%m_%B') AS folder, count(*) AS files, min(file_path) AS first_path FROM booked GROUP BY 1, 2""")
+def snk7_archive_append(spark, sf):
+    path = fresh_path(spark, "archive")
+    rows = booked_receipts(spark, sf).select("client", "file_path", text.archive_folder(F.col("purchase_date")).alias("folder"), "line")
+    for run, cond in (("run-1", "line % 2 = 0"), ("run-2", "line % 2 = 1"), ("run-2", "line % 2 = 1")):
+        exports.append_archive(rows.filter(cond), path, run)
+    return spark.read.parquet(path).groupBy("client", "folder").agg(F.count("*").alias("files"), F.min("file_path").alias("first_path"))
+
+
+@register("snk8_review_list_append", g.with_(LEDGER_SQL) + """SELECT client, count(*) AS open_items, min(file_path) AS first_path FROM booked WHERE confidence < 0.70 GROUP BY client""")
+def snk8_review_list_append(spark, sf):
+    from tidemark.operators.ledger import review_list
+    path = fresh_path(spark, "review-list")
+    rows = booked_receipts(spark, sf).withColumns({"needs_review": F.expr("confidence < 0.70"), "review_notes": F.lit("")})
+    for run, cond in (("run-1", "line % 2 = 0"), ("run-2", "line % 2 = 1"), ("run-1", "line % 2 = 0")):
+        exports.append_review_list(review_list(rows.filter(cond)), path, run)
+    return spark.read.json(path).groupBy("client").agg(F.count("*").alias("open_items"), F.min("file_path").alias("first_path"))
+
+
+@register("snk2_kpi_export", ads_checks_.ORACLE["c1_ads_kpis"].replace("SELECT property_id, position, key, label, unit, better AS better_when, c AS current, p AS previous,\n  absolute_change, percent_change, availability, direction, verdict, material FROM chg",
+                                                                       "SELECT property_id, key, c AS current, p AS previous, verdict FROM chg"))
+def snk2_kpi_export(spark, sf):
+    path = fresh_path(spark, "kpis")
+    kpis = long_kpis(ads_checks_.kpi_row(spark, sf), ADS_KPIS, ["property_id"]).select("property_id", "key", "current", "previous", "verdict")
+    for _ in range(2):
+        exports.write_kpis(kpis, path, "1999-12-31")
+    return spark.read.schema("property_id string, key string, current double, previous double, verdict string").json(path).drop("period_end")
+
+
+@register("snk5_events_csv", g.with_(*web_checks_.EVT) + f"""SELECT property_id, event_name, CASE WHEN is_key_event THEN 'yes' ELSE 'no' END AS is_key_event,
+  {_cell('c')} AS current_event_count, {_cell('p')} AS previous_event_count, {_cell('cur_key::DOUBLE')} AS current_key_events, {_cell('cur_users::DOUBLE')} AS current_total_users FROM evt""")
+def snk5_events_csv(spark, sf):
+    path = fresh_path(spark, "events-csv")
+    exports.write_csv(exports.events_csv(web_checks_.events_table(spark, sf)), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).na.fill("")
+
+
+@register("src9_src10_ledger_csv", g.with_(LEDGER_SQL) + """SELECT merchant, CAST(purchase_date AS VARCHAR) AS purchase_date, gross_amount::DOUBLE AS gross_amount, receipt_number, confidence < 0.70 AS needs_review,
+  CASE WHEN line % 2 = 0 THEN 'a, "b"' ELSE 'plain' END AS review_notes, file_path, strftime(processed_at, '%Y-%m-%d %H:%M:%S') AS processed_at FROM booked""")
+def src9_src10_ledger_csv(spark, sf):
+    """The ledger as a CSV file with its fixed header: the header is checked, then the rows are read."""
+    path = fresh_path(spark, "ledger-csv")
+    booked_receipts(spark, sf).selectExpr(
+        "merchant", "purchase_date", "currency", "gross_amount", "CAST(0 AS DECIMAL(18,2)) AS tax_amount", "gross_amount AS net_amount", "receipt_number", "category",
+        "confidence", "IF(confidence < 0.70, 'yes', 'no') AS needs_review", "IF(line % 2 = 0, 'a, \"b\"', 'plain') AS review_notes", "file_path",
+        "date_format(processed_at, \"yyyy-MM-dd'T'HH:mm:ss\") AS processed_at").write.option("header", True).option("escape", '"').csv(path)
+    return files.read_ledger(spark, path).select(
+        "merchant", F.col("purchase_date").cast("string").alias("purchase_date"), F.col("gross_amount").cast("double").alias("gross_amount"),
+        F.coalesce("receipt_number", F.lit("")).alias("receipt_number"), "needs_review", "review_notes", "file_path", F.col("processed_at").cast("string").alias("processed_at"))
+
+
+@register("src11_inventory", """SELECT c_mktsegment AS segment, 'unrecognised format' AS open_as, false AS hidden FROM customer GROUP BY 1""")
+def src11_inventory(spark, sf):
+    """Files that Spark wrote, one folder per market segment, listed without opening them."""
+    path = fresh_path(spark, "inventory")
+    table(spark, sf, "customer").select("c_mktsegment", "c_name").repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(path)
+    listed = files.inventory(spark, path).filter("length > 0")
+    return listed.select(F.url_decode(F.regexp_extract("path", "c_mktsegment=([^/]+)/", 1)).alias("segment"), "open_as", "hidden").distinct()
+
+
+@register("src12_vendor_list", "SELECT s_name AS vendor FROM supplier WHERE s_suppkey % 3 <> 2")
+def src12_vendor_list(spark, sf):
+    lines = table(spark, sf, "supplier").selectExpr("CASE s_suppkey % 3 WHEN 0 THEN '- ' || s_name WHEN 1 THEN '  ' || s_name || ' ' ELSE '# ' || s_name END AS value")
+    return files.vendor_list(lines)
+
+
 # --- quality --------------------------------------------------------------------------------
 
 @register("d01_d02_d03_d05_d19_ads_checks", g.with_(*ads_checks_.CAMP, f"t0 AS (SELECT property_id, {g.two(ads_checks_.BASE)} FROM adw GROUP BY property_id)", """

@@ -61,31 +61,28 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
 # confidence (None: the finding's own), action
 Rule = tuple[str, str | None, str | None, str | None, str | None, str | None, str]
 
-RULE_SCHEMA = (
-    "prefix string, need_type string, need_severity string, need_confidence string, "
-    "rule_priority string, rule_confidence string, template string"
-)
+def _text(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def recommend(findings: DataFrame, rules: list[Rule], dedupe: bool = False) -> DataFrame:
     """Recommendations for findings that a rule covers. No finding, no recommendation.
 
-    The rule table is a fixed list of a few rows, so the planner broadcasts it by its own size.
+    The rules become SQL text, as those of findings do: one pass over the findings, no join.
     """
-    table = findings.sparkSession.createDataFrame(rules, RULE_SCHEMA)
-    matched = findings.withColumn("prefix", F.substring_index("id", ":", 1)).join(
-        table, "prefix"
-    ).filter(
-        "(need_type IS NULL OR need_type = type) "
-        "AND (need_severity IS NULL OR need_severity = severity) "
-        "AND (need_confidence IS NULL OR need_confidence = confidence)"
-    )
-    out = matched.selectExpr(
-        "property_id",
-        "id AS from_finding",
-        "replace(template, '{entity}', coalesce(entity, '')) AS action",
-        "coalesce(rule_priority, initcap(severity)) AS priority",
-        "coalesce(rule_confidence, confidence) AS confidence",
+    cases = []
+    for prefix, kind, severity, confidence, priority, own_confidence, template in rules:
+        needs = [("prefix", prefix), ("type", kind), ("severity", severity), ("confidence", confidence)]
+        when = " AND ".join(f"{column} = {_text(value)}" for column, value in needs if value is not None)
+        cases.append(
+            f"CASE WHEN {when} THEN named_struct('action', replace({_text(template)}, '{{entity}}', coalesce(entity, '')), "
+            f"'priority', coalesce({_text(priority)}, initcap(severity)), "
+            f"'own', coalesce({_text(own_confidence)}, confidence)) END")
+    # Rules that share a finding each give their own recommendation.
+    out = findings.withColumn("prefix", F.substring_index("id", ":", 1)).select(
+        "*", F.explode(F.expr(f"array_compact(array({', '.join(cases)}))")).alias("r"),
+    ).selectExpr(
+        "property_id", "id AS from_finding", "r.action AS action", "r.priority AS priority", "r.own AS confidence",
         "entity", "amount", "detail", "evidence",
     ).withColumn("priority_rank", priority_rank(F.col("priority")))
     return first_per_action(out) if dedupe else out

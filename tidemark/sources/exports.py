@@ -115,8 +115,8 @@ def _replace_run(df: DataFrame, path: str, run_id: str, partitions: list[str], k
 
 
 def append_archive(rows: DataFrame, path: str, run_id: str) -> None:
-    """Archive entries of a run by client and purchase month, `YYYYMM_MonthName`."""
-    _replace_run(rows, path, run_id, ["client", "folder"], "parquet")
+    """Archive entries of a run by purchase month, `YYYYMM_MonthName`; the client stays a column."""
+    _replace_run(rows.hint("rebalance", "folder"), path, run_id, ["folder"], "parquet")
 
 
 def append_run_log(summary: DataFrame, path: str, run_id: str, channel: str = "",
