@@ -606,14 +606,16 @@ SELECT property_id, 'equal periods' AS check, 'pass' AS status FROM tot UNION AL
 UNION ALL SELECT property_id, 'fresh data excluded', 'pass' FROM fr WHERE la > lf UNION ALL SELECT property_id, 'query coverage of property clicks', 'pass' FROM tot UNION ALL SELECT property_id, 'page coverage of property clicks', 'pass' FROM tot
 UNION ALL SELECT property_id, 'sample size', CASE WHEN coalesce(cur_clicks, 0) < 30 THEN 'warn' ELSE 'pass' END FROM tot UNION ALL SELECT DISTINCT property_id, 'zero baseline', 'warn' FROM chg WHERE verdict = 'new'
 UNION ALL SELECT DISTINCT property_id, 'partial metrics', 'warn' FROM chg WHERE availability <> 'available' AND verdict <> 'new'
-UNION ALL SELECT property_id, 'branded split', 'skipped' FROM tot WHERE property_id IN ('AFRICA', 'ASIA')""")
+UNION ALL SELECT property_id, 'branded split', 'skipped' FROM tot WHERE property_id IN ('AFRICA', 'ASIA')
+UNION ALL SELECT property_id, 'search appearance', 'skipped' FROM tot WHERE property_id <> 'EUROPE'""")
 def d14_search_checks(spark, sf):
     rows = search_checks_.web_only(spark, sf)
     t = search_checks_.totals(rows)
     cover = [search.reconciliation(search.records(rows, [d]), t).select("property_id", F.lit(d).alias("dimension"), "coverage_pct") for d in ("query", "page")]
     fresh = periods.freshness(search_checks_.search_stats(spark, sf), F.lit("1999-07-15").cast("date"))
     brands = table(spark, sf, "region").selectExpr("r_name AS property_id").filter("property_id NOT IN ('AFRICA', 'ASIA')")
-    return quality.search_checks(search.kpis_wide(t), fresh, cover[0].unionByName(cover[1]), brands, YEAR_WINDOWS).select("property_id", "check", "status")
+    return quality.search_checks(search.kpis_wide(t), fresh, cover[0].unionByName(cover[1]), brands, YEAR_WINDOWS,
+                                 appearances=table(spark, sf, "region").selectExpr("r_name AS property_id").filter("property_id = 'EUROPE'")).select("property_id", "check", "status")
 
 
 @register("d15_s8_extract_checks", """SELECT c_name AS property_id, 'queries' AS dataset, CASE WHEN c_custkey % 4 = 0 THEN 'fail' WHEN n >= 10 THEN 'warn' ELSE 'pass' END AS status,

@@ -175,6 +175,25 @@ def s3_s5_capped_segments(spark, sf):
         "property_id", "dataset", "key", F.col("cur_sessions").cast("double").alias("cur_sessions"), "rank", "hit_cap")
 
 
+# Columns the stand-in events lack; a session has them from its first event.
+MORE = {"hostname": "concat('www.', channel, '.example')", "browser": "concat('b', CAST(user_id % 3 AS STRING))", "os": "concat('os', CAST(user_id % 2 AS STRING))",
+        "platform": "concat(device, '-web')", "region": "concat(country, '-', device)", "city": "concat(country, '/', page)",
+        "campaign": "concat(channel, '-', CAST(user_id % 4 AS STRING))"}
+MORE_SQL = {k: v.replace("page", "landing_page").replace("AS STRING", "AS VARCHAR") for k, v in MORE.items()} | {
+    "revenue_by_channel": "channel", "revenue_by_device": "device"}
+MORE_LONG = "ml AS (" + " UNION ALL ".join(f"SELECT *, '{d}' AS dataset, {c} AS key FROM sess" for d, c in MORE_SQL.items()) + ")"
+
+
+@register("a11_more_breakdowns", g.with_(*SESS, MORE_LONG, breakdown_sql("property_id, dataset, key", "ml", "seg")) + f"SELECT property_id, dataset, key, {SEG_OUT} FROM seg")
+def a11_more_breakdowns(spark, sf):
+    """Host, browser, system, platform, region, city, campaign, and revenue by channel and device."""
+    events = web_events(spark, sf).withColumns({k: F.expr(v) for k, v in MORE.items()})
+    sess = flag(web.with_first_seen(web.sessionize(events, dimensions=tuple(MORE))), EVENT_WINDOWS)
+    s = web.all_breakdowns(sess, {k: k for k in MORE} | {"revenue_by_channel": "channel", "revenue_by_device": "device"})
+    return s.select("property_id", "dataset", "key", *[
+        F.col(f"{p}{m}").cast("double").alias(f"{p}{m}") for m in SEG_METRICS for p in ("cur_", "prev_")])
+
+
 @register("a11_first_user_channels", g.with_(*SESS, breakdown_sql("property_id, first_channel", "sess", "fu")) + """
 SELECT property_id, first_channel AS key, "cur_totalUsers", "cur_newUsers", "cur_engagementRate", row_number() OVER (PARTITION BY property_id
   ORDER BY "cur_totalUsers" DESC NULLS LAST, first_channel) AS rank FROM fu""")

@@ -161,12 +161,12 @@ def definition_checks(properties: DataFrame) -> DataFrame:
 
 def search_checks(
     kpis: DataFrame, freshness: DataFrame, coverage: DataFrame, brands: DataFrame,
-    windows: Windows, data_state: str = "final",
+    windows: Windows, data_state: str = "final", appearances: DataFrame | None = None,
 ) -> DataFrame:
     """Finalised data, coverage of each dimension, sample size, baselines and skipped splits.
 
     `coverage` is long: property_id, dimension, coverage_pct. `brands` has one row per property
-    with configured terms.
+    with configured terms, `appearances` the properties with rows by search appearance.
     """
     wide = coverage.groupBy("property_id").agg(*[
         F.max(F.expr(f"if(dimension = '{d}', coverage_pct, null)")).alias(f"{d}_coverage")
@@ -176,6 +176,11 @@ def search_checks(
         .join(wide, "property_id", "left")
         .join(brands.select("property_id", F.lit(True).alias("has_brand")), "property_id", "left")
     )
+    if appearances is None:
+        joined = joined.withColumn("has_appearance", F.lit(None).cast("boolean"))
+    else:
+        joined = joined.join(
+            appearances.select("property_id").distinct().withColumn("has_appearance", F.lit(True)), "property_id", "left")
 
     def covered(d: str) -> str:
         c = f"{d}_coverage"
@@ -199,6 +204,7 @@ def search_checks(
         check("zero baseline", f"CASE WHEN {' OR '.join(new)} THEN 'warn' END"),
         check("partial metrics", f"CASE WHEN {' OR '.join(partial)} THEN 'warn' END"),
         check("branded split", "CASE WHEN has_brand IS NULL THEN 'skipped' END"),
+        check("search appearance", "CASE WHEN has_appearance IS NULL THEN 'skipped' END"),
     ])
 
 

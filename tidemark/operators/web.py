@@ -22,9 +22,12 @@ SESSION_SUMS = ["duration_us", "events", "views", "clicks", "signups", "purchase
                 "revenue"]
 
 
-def sessionize(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+def sessionize(events: DataFrame, gap_minutes: int = 30, dimensions: tuple[str, ...] = ()) -> DataFrame:
     """Sessions per property and user, split where nothing happens for longer than the gap.
 
+    A session takes its dimensions from its first event: channel, device, landing page, country and
+    the columns named in `dimensions`.
+
     The source delivers sessions ready-made, so the gap is a parameter of ours. Events collapse to
     one row per user and gap-wide time bucket before the shuffle: all events of a bucket belong to
     one session, so this is exact, and a user who owns a third of all events arrives as a few
@@ -34,7 +37,7 @@ def sessionize(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     buckets = events.withColumn(
         "bucket", F.expr(f"unix_micros(CAST(ts AS TIMESTAMP)) div {width}")
     ).groupBy("property_id", "user_id", "bucket").agg(
-        F.min(F.struct("ts", "event_id", "channel", "device", "page", "country")).alias("first"),
+        F.min(F.struct("ts", "event_id", "channel", "device", "page", "country", *dimensions)).alias("first"),
         F.max("ts").alias("last_ts"),
         F.count("*").alias("events"),
         F.count_if(F.col("event_name") == "view").alias("views"),
@@ -58,7 +61,7 @@ def sessionize(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     timed = sessions.selectExpr(
         "property_id", "user_id", "session_no", "first.ts AS started", "ended",
         "CAST(first.ts AS DATE) AS date", "first.channel AS channel", "first.device AS device",
-        "first.page AS landing_page", "first.country AS country", *sums,
+        "first.page AS landing_page", "first.country AS country", *[f"first.{d} AS {d}" for d in dimensions], *sums,
         "unix_micros(CAST(ended AS TIMESTAMP)) - unix_micros(CAST(first.ts AS TIMESTAMP)) "
         "AS duration_us",
     )

@@ -9,7 +9,7 @@ from ..functions.catalog import (
     AUTOMATIC_EVENTS, ECOMMERCE_KPIS, WEB_KPIS, WEB_MIN_KEY_EVENTS, WEB_MIN_SESSIONS,
 )
 from ..functions.display import WEB_STYLE, delta_text, evidence_line, grouped, percent_text
-from .aggregate import attach
+from .aggregate import attach, ranked_all
 from .findings import Rule, fire, recommend, rule, with_lines
 
 
@@ -259,9 +259,9 @@ def with_gap_caveat(findings: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def quality_findings(warnings: DataFrame) -> DataFrame:
-    """One risk per data-quality warning; `warnings` has property_id, seq and text."""
-    w = Window.partitionBy("property_id").orderBy("seq")
-    return fire(warnings.withColumn("n", F.row_number().over(w)), [
+    """One risk per data-quality warning; `warnings` has property_id, seq and text, and any number of
+    warnings for a property."""
+    return fire(ranked_all(warnings, ["property_id"], ["seq"], "n"), [
         rule("true", "concat('data_quality:', lpad(CAST(n AS STRING), 2, '0'))", "'risk'",
              "'medium'", scope="'tracking'", evidence=["text"]),
     ])

@@ -94,7 +94,8 @@ def build(
             query_lists, page_lists, findings, owners),
         "checks": quality.search_checks(
             kpis, freshness, coverage[0].unionByName(coverage[1]),
-            settings.filter("size(brand_terms) > 0"), windows),
+            settings.filter("size(brand_terms) > 0"), windows,
+            appearances=main.filter("appearance IS NOT NULL")),
         "page_scatter": search.page_scatter(pages),
     }
     report |= {f"query_{name}": df for name, df in query_lists.items()}

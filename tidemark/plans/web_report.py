@@ -22,10 +22,18 @@ def build(
     dimensions: dict[str, str] | None = None,
     min_sessions: int = WEB_MIN_SESSIONS,
     gap_minutes: int = 30,
+    warnings: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All parts of the report by name. `definitions` are the key events of each property."""
+    """All parts of the report by name. `definitions` are the key events of each property.
+
+    `dimensions` names a breakdown for each column of the sessions; columns of the events are carried
+    over to the sessions as needed. `warnings` (property_id, seq, text) are data-quality notes of the
+    source; each distinct one becomes a finding.
+    """
+    own = set(DIMENSIONS.values()) | {"first_channel"}
+    carried = tuple(sorted({c for c in (dimensions or {}).values() if c in events.columns} - own))
     sessions = stage(
-        flag(web.with_first_seen(web.sessionize(events, gap_minutes)), windows), "web-sessions")
+        flag(web.with_first_seen(web.sessionize(events, gap_minutes, carried)), windows), "web-sessions")
     marked = flag(events, windows).filter("in_current OR in_previous")
     totals = stage(web.totals(sessions), "web-totals")
     kpis = stage(web.kpis_wide(totals), "web-kpis")
@@ -49,7 +57,9 @@ def build(
     page_movers = web.movers(pages.filter(
         f"coalesce(cur_sessions, 0) >= {min_sessions} OR coalesce(prev_sessions, 0) >= {min_sessions}"), 6)
     funnel = web.funnel(kpis)
+    notes = [] if warnings is None else [web_findings.quality_findings(quality.distinct_warnings(warnings))]
     found = union_findings([
+        *notes,
         web_findings.kpi_findings(kpis, min_sessions),
         web_findings.segment_findings(
             with_property(web.movers(of("channels"), 5)), "acquisition", min_sessions),

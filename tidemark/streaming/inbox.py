@@ -33,6 +33,8 @@ def file_arrivals(batch: DataFrame, batch_id: int, ledger_path: str) -> None:
     run_id = f"batch-{batch_id:09d}"
     booked = read_ledger_table(spark, ledger_path).filter(F.col("run_id") != run_id)
     arrived = batch.withColumns({"force": F.lit(False), "review_notes": F.lit("")})
+    # Receipts of other clients cannot be duplicates of these.
+    booked = booked.join(arrived.select("client").distinct(), "client", "left_semi")
     with staging_scope(spark):
         written = file_batch(arrived, booked).filter("state = 'written'").select(
             "client", "merchant", "receipt_number", "purchase_date", "gross_amount",
@@ -43,16 +45,17 @@ def file_arrivals(batch: DataFrame, batch_id: int, ledger_path: str) -> None:
 
 def start(
     arrivals: DataFrame, ledger_path: str, checkpoint: str, event_time: str = "arrived_at",
-    keep: str = "30 days",
+    keep: str = "30 days", trigger: dict | None = None,
 ) -> StreamingQuery:
     """Drop rows seen within the watermark, then file what is left.
 
     `arrivals` has client, merchant, receipt_number, purchase_date, gross_amount, source_path, a
-    unique rising `seq` and an event time.
+    unique rising `seq` and an event time. `trigger` is as for `DataStreamWriter.trigger`; by default
+    what has arrived is filed and the query ends.
     """
     unseen = arrivals.withWatermark(event_time, keep).dropDuplicatesWithinWatermark(
         ["client", "source_path"])
     return (
         unseen.writeStream.foreachBatch(lambda df, n: file_arrivals(df, n, ledger_path))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
