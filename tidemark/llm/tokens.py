@@ -1,23 +1,25 @@
-"""Token ids of whole texts by a public tokenizers file whose tokens end at white space.
+"""Token ids of whole texts by a public tokenizers file whose tokens end at word ends.
 
-Words repeat, so each worker remembers the ids of white-space-delimited chunks. That is exact for a
-vocabulary with word ends that drops white space: no token crosses it. Texts with characters that
-count as white space in only one of the two libraries are encoded as a whole.
+Words repeat, so each worker remembers the ids of the pieces that the vocabulary's own pattern cuts a
+text into. That is exact, as no token crosses pieces. It is done for texts of ASCII and Latin letters,
+where lower case and composed forms leave no choice; other texts are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 
 import numpy as np
-import regex
 
-from tidemark.llm.quality_rules import OTHER_SPACE
+REMEMBERED = 400_000  # pieces a worker remembers at a time; bounds its memory only
 
-REMEMBERED = 500_000  # chunks a worker remembers at a time; bounds its memory only
-_LETTERS = regex.compile(r"\p{L}+")
-_PLAIN = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}'<|]*)")
+# Latin letters whose lower case is one letter: up to U+017E without the dotted capital I.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_OTHER = re.compile(f"[^\t-\r -~{_LETTERS}]")
+# The pattern of the vocabulary file, for such texts.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class WordTokenizer:
@@ -26,75 +28,51 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         spec = json.loads(self.model.to_str())
-        self.by_space = (
-            spec["model"].get("end_of_word_suffix") == "</w>" and spec["normalizer"]["normalizers"][-1]["type"] == "Lowercase")
+        first = (spec["pre_tokenizer"].get("pretokenizers") or [{}])[0]
+        self.by_piece = (
+            spec["model"].get("end_of_word_suffix") == "</w>" and first.get("pattern", {}).get("Regex") == _PATTERN
+            and [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"])
         self.ends = np.zeros(self.model.get_vocab_size() + 1, bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.by_space or OTHER_SPACE.search(text):
+        # A special token in a text is found before it is cut into pieces.
+        if not self.by_piece or "<|" in text or _OTHER.search(text):
             return self.whole(text)
-        words, known = text.split(), self.chunks
+        pieces, known = _PIECES.findall(text.lower()), self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[p] for p in pieces])
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
+        new = self._learn([p for p in set(pieces) if p not in known])
+        ids = b"".join([known[p] if p in known else new[p] for p in pieces])
+        if len(known) + len(new) > REMEMBERED:
             known.clear()
-            self.parts.clear()
-        out = []
-        for start in range(0, len(words), REMEMBERED):
-            part = words[start:start + REMEMBERED]
-            local = self._learn([w for w in dict.fromkeys(part) if w not in known])
-            out.append(b"".join([known[w] if w in known else local[w] for w in part]))
-            if len(known) + len(local) <= 2 * REMEMBERED:
-                known.update(local)
-        return b"".join(out)
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks; letters with punctuation after them are encoded in one go."""
-        plain: dict[str, tuple[str, str]] = {}
-        local: dict[str, bytes] = {}
-        missing: dict[str, None] = {}
-        for c in chunks:
-            m = _PLAIN.fullmatch(c)
-            # The library lower-cases letter by letter, so a final sigma has no form of its own.
-            if m is None or "Σ" in c or not unicodedata.is_normalized("NFC", c):
-                local[c] = self.whole(c)
-                continue
-            word, rest = m[1].lower(), m[2]
-            if not _LETTERS.fullmatch(word) or not unicodedata.is_normalized("NFC", word):
-                local[c] = self.whole(c)
-                continue
-            plain[c] = word, rest
-            for x in (word, rest):
-                if x and x not in self.parts:
-                    missing[x] = None
-        new = list(missing)
+        if len(new) <= REMEMBERED:
+            known.update(new)
+        return ids
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, encoded many at a time with spaces between them."""
         found: dict[str, bytes] = {}
-        for start in range(0, len(new), 2000):
-            some = new[start:start + 2000]
+        for start in range(0, len(pieces), 2000):
+            some = pieces[start:start + 2000]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids])
-            if len(cuts) == len(some):
-                at = 0
-                for x, end in zip(some, (cuts + 1).tolist(), strict=True):
-                    found[x] = ids[at:end].tobytes()
-                    at = end
-            else:
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(some):
                 found.update((x, self.whole(x)) for x in some)
-        if len(self.parts) + len(found) <= 2 * REMEMBERED:
-            self.parts.update(found)
-        for c, (word, rest) in plain.items():
-            local[c] = b"".join(found[x] if x in found else self.parts[x] for x in (word, rest) if x)
-        return local
+                continue
+            at = 0
+            for x, end in zip(some, cuts, strict=True):
+                found[x] = ids[at:end].tobytes()
+                at = end
+        return found
 
 
 _loaded: dict[str, WordTokenizer] = {}
