@@ -41,6 +41,7 @@ OUT_WORDS = frozenset(
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo "
     "promoted related share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -138,6 +139,9 @@ class Blocks(HTMLParser):
             self.parts.append(data)
 
     def finish(self) -> None:
+        # A tag or comment that the end of the page cuts off is no text.
+        if _CUT_OFF.match(self.rawdata):
+            self.rawdata = ""
         self.close()
         self._end_line()
 

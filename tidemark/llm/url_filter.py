@@ -64,7 +64,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
             for _, rules in reversed(stack):
                 fit = next((r for r in rules if path.startswith(r[1])), None)
-                if fit and (best is None or fit[0] > best[0]):
+                if fit and (best is None or fit > best):
                     best = fit
             take.append(i)
             found.append((best[2] + best[1], best[3]) if best else (None, None))
@@ -81,7 +81,7 @@ def match(
 
     `rules` has host, path and verdict (allow or block). A rule fits its host and all subdomains if the
     URL's path starts with the rule's; of several the longest wins (host and path together, then the
-    longer path, then the host). A rule with an empty host fits every URL whose path starts with its
+    later path, then the later host in order). A rule with an empty host fits every URL whose path starts with its
     path. A null URL, or one without ://, has empty host and path. Repeated rows are judged one by one;
     of equal rules `block` wins. Other columns are ignored, whatever their names.
     """
