@@ -26,7 +26,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # White space to str.split() that does not end a word here.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 SYMBOLS = "#*$%&|<>"
-CACHE_WORDS = 600_000  # words a worker remembers at a time; bounds its memory only
+CACHE_WORDS = 250_000  # words a worker remembers at a time; bounds its memory only
 SCRIPTS = (  # first code point, name: the script of letters from there on
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"),
     (0x0600, "arabic"), (0x0780, "other"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x1E00, "latin"),

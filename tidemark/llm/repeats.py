@@ -30,8 +30,8 @@ from tidemark.llm import textnum
 from tidemark.llm.common import Scratch, partitions, with_row_ids
 
 WINDOW = 400
-GROUP = 2000  # stretches of one anchor that a task indexes; larger groups are split
-BATCH = 1 << 20  # bytes that one index covers, or one group if that is larger
+GROUP = 1000  # stretches of one anchor that a task indexes; larger groups are split
+BATCH = 1 << 19  # bytes that one index covers, or one group if that is larger
 
 
 def least_positions(h: np.ndarray, width: int) -> np.ndarray:
