@@ -55,9 +55,15 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(k: np.ndarray) -> np.ndarray:
-    h = textnum.mix((k.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64))
-    return h
+def bands_of(band_rows: int) -> int:
+    """How many bands of so many registers there are; registers that fill no band are in none."""
+    return REGISTERS // band_rows
+
+
+def band_keys(k: np.ndarray, band_rows: int = ROWS) -> np.ndarray:
+    shape = bands_of(band_rows), band_rows
+    factor = _BAND if band_rows == ROWS else _BAND.ravel()[:shape[0] * band_rows].reshape(shape)
+    return textnum.mix((k[:factor.size].reshape(shape).astype(np.uint64) * factor).sum(axis=1, dtype=np.uint64))
 
 
 def estimate(k1: np.ndarray, k2: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -93,7 +99,7 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
-def _signer(width: int):
+def _signer(width: int, band_rows: int = ROWS):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             sizes, h1, h2, regs, bands = [], [], [], [], []
@@ -103,7 +109,7 @@ def _signer(width: int):
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 h2.append(int(textnum.mix(s * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 regs.append(k.tobytes())
-                bands.append(band_keys(k).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                bands.append(band_keys(k, band_rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column("rid"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()),
                 pa.array(h2, pa.int64()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
@@ -203,7 +209,7 @@ def block_links(left, right, same: bool, num: int, den: int) -> list[tuple[int,
     return out
 
 
-def _block_check(num: int, den: int):
+def _block_check(num: int, den: int, band_rows: int = ROWS):
     """Rows of one (key, block pair) follow each other; compare its two sides."""
     def run(batches):
         import pandas as pd
@@ -217,7 +223,7 @@ def _block_check(num: int, den: int):
                 sides.append((
                     part.rid.to_numpy(np.int64), part.comp.to_numpy(np.int64),
                     np.frombuffer(b"".join(part.regs), np.uint16).reshape(-1, REGISTERS),
-                    np.array(part.bands.tolist(), np.int64).reshape(-1, BANDS),
+                    np.array(part.bands.tolist(), np.int64).reshape(-1, bands_of(band_rows)),
                     [np.frombuffer(x, np.uint64) for x in part.set], int(df.band.iloc[0])))
             same = df.ba.iloc[0] == df.bb.iloc[0]
             if same:
@@ -244,11 +250,12 @@ def _pairs(links) -> pa.RecordBatch:
 
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-    num: int = 85, den: int = 100, tie: str | None = None,
+    num: int = 85, den: int = 100, tie: str | None = None, band_rows: int = ROWS,
 ) -> DataFrame:
     """One row per document: tie, id, n_shingles, component_id, first.
 
-    Documents are linked if den * |intersection| >= num * |union| of their shingle sets.
+    Documents are linked if den * |intersection| >= num * |union| of their shingle sets. A lower
+    limit needs fewer registers in a band (`band_rows`) to lose as few pairs.
     component_id is the smallest identifier of the component, `first` marks one row of it: the one
     with that identifier, and the lowest `tie` (a column of row numbers, else the operator's own) if
     several rows carry it. A text without words
@@ -260,7 +267,7 @@ def near_duplicates(
     columns = F.col(id_col).alias("id"), F.col(text_col).alias("text")
     rows = docs.select(F.col(tie).alias("rid"), *columns) if tie else with_row_ids(docs, scratch, *columns)
     signed = scratch.write(rows.mapInArrow(
-        _signer(width), "rid long, id long, n_shingles long, h1 long, h2 long, regs binary, bands array<long>"), "signed")
+        _signer(width, band_rows), "rid long, id long, n_shingles long, h1 long, h2 long, regs binary, bands array<long>"), "signed")
     order = F.struct(F.col("id").isNull(), "id", "rid")
     classes = scratch.write(signed.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(
         F.min(order).alias("lowest")).selectExpr("h1", "h2", "n_shingles", "lowest.rid as rep", "lowest.id as low"), "classes")
@@ -308,7 +315,7 @@ def near_duplicates(
         (F.col("block") > F.col("other")).cast("int").alias("side"))
     paired = paired.join(known.select("rid", "regs", "bands", "set"), "rid").repartition(
         partitions(spark), "key", "ba", "bb").sortWithinPartitions("key", "ba", "bb")
-    more = scratch.write(paired.mapInArrow(_block_check(num, den), "a long, b long"), "block-links")
+    more = scratch.write(paired.mapInArrow(_block_check(num, den, band_rows), "a long, b long"), "block-links")
     scratch.drop("members", "central", "pivots", "stars", "known", "placed", "split")
 
     comps = scratch.write(components(links.unionByName(more), scratch, "all"), "comps")
