@@ -46,9 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that occur more than once; what is left of its text."""
+    """Every document without the passages of over 50 words, or of 400 bytes and more, that occur more
+    than once; what is left of its text."""
     carry = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = repeats.remove_repeats(docs, _scratch(spark, "repeats"), [*carry, "n_chars"], with_text=True)
+    out = repeats.remove_repeats(docs, _scratch(spark, "repeats"), [*carry, "n_chars"], with_text=True, words=51)
     text = F.col("kept_text")
     return out.select(*(
         text.alias(c) if c == "text" else F.when(F.col("n_spans") > 0, F.length(text)).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars"

@@ -300,6 +300,83 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW) -> D
     return scratch.write(out, "spans")
 
 
+def _word_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, first word, anchor hash, window hash, start byte, end byte) of every window of
+    `width` words, in parts of bounded size. As with bytes, the anchor is the leftmost run of half
+    the width with the least hash, so equal windows have equal anchors."""
+    i, gram = 0, width // 2
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + textnum.PIECE, side="right")) - 1)
+        bounds = offsets[i:j + 1] - offsets[i]
+        hashes, starts, ends, counts = textnum.word_hashes(data[offsets[i]:offsets[j]], bounds)
+        doc, first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+        for s in range(0, len(hashes) - width + 1, textnum.PIECE // 4):  # parts overlap by all but one word
+            part = hashes[s:s + textnum.PIECE // 4 + width - 1]
+            grams = textnum.shingles(part, gram)
+            at = least_positions((grams >> np.uint64(32)).astype(np.uint32), width - gram + 1)
+            w = np.arange(s, s + len(at))
+            ok = np.flatnonzero(doc[w] == doc[w + width - 1])
+            w, d = w[ok], doc[w[ok]]
+            yield d + i, w - first[d], grams[at[ok]], textnum.shingles(part, width)[ok], starts[w] - bounds[d], ends[w + width - 1] - bounds[d]
+        i = j
+
+
+def _word_anchors(width: int):
+    """Stretches of windows with one anchor hash, and a hash of all their windows."""
+    def run(batches):
+        for batch in batches:
+            rid = batch.column("rid").to_numpy()
+            for d, lo, g, h, s, e in _word_runs(*textnum.buffer(batch.column("text")), width):
+                if not len(d):
+                    continue
+                new = np.concatenate([[True], (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (lo[1:] != lo[:-1] + 1)])
+                a = np.flatnonzero(new)
+                b = np.concatenate([a[1:], [len(d)]])
+                up, down = textnum.powers(len(d))
+                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:len(d)])])
+                c = textnum.mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (rid[d[a]], lo[a], b - a, g[a].view(np.int64), c.view(np.int64), s[a], e[b - 1])],
+                    ["rid", "lo", "n", "g", "c", "s", "e"])
+    return run
+
+
+def _word_windows(width: int):
+    """The windows of the wanted stretches of a text, one by one."""
+    def run(batches):
+        for batch in batches:
+            rid, wanted = batch.column("rid").to_numpy(), batch.column("wanted").to_pylist()
+            marks = [np.array(sorted((x["lo"], x["lo"] + x["n"]) for x in spans)).T for spans in wanted]
+            for d, lo, g, h, s, e in _word_runs(*textnum.buffer(batch.column("text")), width):
+                keep = np.zeros(len(d), bool)
+                for i in np.unique(d):
+                    own = slice(*np.searchsorted(d, [i, i + 1]))
+                    at = np.searchsorted(marks[i][0], lo[own], side="right") - 1
+                    keep[own] = (at >= 0) & (lo[own] < marks[i][1][at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x[keep]) for x in (rid[d], g.view(np.int64), h.view(np.int64), s, e)], ["rid", "g", "h", "s", "e"])
+    return run
+
+
+def repeated_word_spans(rows: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """(rid, s, e): byte ranges of `rows` (rid, text) whose every run of `width` words occurs anywhere
+    else. Words end at white space, the amount of which does not count; exact up to 128-bit hash collisions."""
+    found = scratch.write(rows.mapInArrow(
+        _word_anchors(width), "rid long, lo long, n long, g long, c long, s long, e long"), "word-anchors")
+    # As with bytes: equal stretches count as one, and only anchors of several kinds need a closer look.
+    equal = scratch.write(found.groupBy("g", "c").agg(
+        F.count(F.lit(1)).alias("k"), *(F.first(x).alias(x) for x in ("rid", "lo", "n"))), "word-equal")
+    even = scratch.write(found.join(equal.where("k > 1").select("g", "c"), ["g", "c"]).select("rid", "s", "e"), "word-even")
+    several = equal.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    wanted = equal.join(several.select("g"), "g").groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("wanted"))
+    windows = scratch.write(rows.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted").mapInArrow(
+        _word_windows(width), "rid long, g long, h long, s long, e long"), "word-windows")
+    twice = scratch.write(windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "h"), "word-twice")
+    other = scratch.write(windows.join(twice, ["g", "h"]).select("rid", "s", "e"), "word-other")
+    scratch.drop("word-anchors", "word-equal", "word-windows", "word-twice")
+    return even.unionByName(other)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs: overlapping and touching spans joined, in text order."""
     out: list[list[int]] = []
@@ -349,17 +426,21 @@ def _cutter(with_text: bool):
 
 def remove_repeats(
     docs: DataFrame, scratch: Scratch, carry: list[str], text_col: str = "text", window: int = WINDOW, with_text: bool = False,
+    words: int | None = None,
 ) -> DataFrame:
     """`row`, a struct of the columns in `carry`, and what is left of every text.
 
     A byte goes if it lies in a string of `window` bytes that also starts anywhere else in the
-    corpus, in the same text too; strings are judged on the input. kept_text (with `with_text`) keeps
+    corpus, in the same text too; strings are judged on the input. With `words`, runs of so many words
+    that also start anywhere else go as well, however few bytes they have. kept_text (with `with_text`) keeps
     a character as a whole if any of its bytes stays. A null text is empty (its kept_text is null); a
     text shorter than the window stays as it is; equal long texts lose all their bytes. Columns not
     carried are ignored, whatever their names. An empty table gives no rows.
     """
     rows = with_row_ids(docs, scratch, F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
     spans = repeated_spans(rows.select("rid", "text"), scratch, window)
+    if words:
+        spans = spans.unionByName(repeated_word_spans(rows.select("rid", "text"), scratch, words))
     per_text = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = rows.join(per_text.hint("shuffle_hash"), "rid", "left").select("row", "text", "spans")
     row = joined.schema["row"].dataType.simpleString()
