@@ -103,3 +103,23 @@ def test_folding_keeps_positions():
     out = d.folded(np.frombuffer(text.encode(), np.uint8)).tobytes()
     assert len(out) == len(text.encode()) and out.decode().split() == ["ärger", "ω", "жи", "àþ", "x"]
     assert len(d.words(pa.array([None, "", "a-b"]))[0]) == 2
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = ["Blue Whale", "Paris", "to be or not"]
+    docs = [
+        (0, "The blue, whale sings"), (1, "blue old whale"), (2, "Comparison of parishes"), (3, "In PARIS."), (4, "be or not to be"),
+        (5, "whale blue"), (6, "To be, or not")]
+    assert sorted((r.row.doc_id, r.item_id, r.edits) for r in find(spark, items, docs)) == [(0, 0, 0), (3, 1, 0), (6, 2, 0)]
+
+
+def test_scripts_without_word_spaces(spark):
+    items = ["水在标准大气压下的沸点是多少摄氏度", "富士山の高さは何メートルですか", "ประเทศไทยมีกี่จังหวัด", "北京"]
+    changed = items[0].replace("沸点", "冰点")
+    docs = [
+        (0, f"我们想知道，{items[0]}？请回答。"), (1, f"前文里说{changed}就这样"), (2, f"問題「{items[1]}」です"), (3, f"ก่อน{items[2]}หลัง"),
+        (4, "我住在北京市"), (5, "完全不同的一段中文文字没有题目"), (6, "水在标准，大气压下的沸点是多少摄氏度abc")]
+    rows = find(spark, items, docs)
+    assert sorted((r.row.doc_id, r.item_id, r.edits) for r in rows) == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 2, 0), (4, 3, 0), (6, 0, 0)]
+    hit = next(r for r in rows if r.row.doc_id == 2)
+    assert docs[2][1].encode()[hit.start:hit.end].decode() == items[1]

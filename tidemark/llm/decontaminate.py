@@ -30,7 +30,6 @@ SIMILARITY = 0.8  # an item of n words may differ by n * (1 - SIMILARITY) word e
 RECALL = 0.98
 SAMPLED = 4  # places of the walk in one key
 STRETCH = 3  # steps of the walk for each word
-MIN_WORDS = 5  # shorter items cannot be told from ordinary text and are not searched
 BLOCK_BYTES = 4 << 20  # benchmark text compared in one pass over the corpus
 BLOOM_BITS = 24
 
@@ -65,10 +64,43 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: First and last code points of scripts that put no space between words, and of full-width punctuation.
+_UNSEGMENTED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+_WIDE_SIGNS = ((0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def unsegmented(data: np.ndarray) -> np.ndarray | None:
+    """The borders around every letter of a script without word spaces: such a letter is a word.
+    Full-width punctuation in `data` becomes spaces, byte for byte."""
+    if not len(data) or data.max() < 0xE0:
+        return None
+    lead = np.flatnonzero(data >= 0xE0)
+    tail = [data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    head = data[lead].astype(np.int64)
+    size = np.where(head >= 0xF0, 4, 3)
+    three = (head & 0x0F) << 12 | tail[0] << 6 | tail[1]
+    point = np.where(size == 4, (head & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2], three)
+
+    def among(ranges):
+        return np.any([(point >= a) & (point <= b) for a, b in ranges], axis=0)
+    signs, letters = among(_WIDE_SIGNS), among(_UNSEGMENTED)
+    for k in range(3):
+        data[lead[signs] + k] = 0x20
+    letters &= ~signs
+    if not letters.any():
+        return None
+    borders = np.zeros(len(data) + 4, bool)
+    borders[lead[letters]] = True
+    borders[lead[letters] + size[letters]] = True
+    return borders[:len(data)]
+
+
 def words(column: pa.Array):
     data, offsets = textnum.buffer(column)
     data, offsets = folded(data[offsets[0]:offsets[-1]]), offsets - offsets[0]
-    return (*textnum.word_hashes(data, offsets, _SEPARATOR), offsets)
+    return (*textnum.word_hashes(data, offsets, _SEPARATOR, borders=unsegmented(data)), offsets)
 
 
 # --- the walk ---------------------------------------------------------------------------------
@@ -308,7 +340,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
     ids, texts, size = [], [], 0
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         w = words(pa.array([r["t"]]))[0]
-        if len(w) >= MIN_WORDS:
+        if len(w):
             ids.append(r["i"])
             texts.append(w)
             size += len(r["t"])
@@ -326,7 +358,9 @@ def leaks(
     and the bytes (start, end) of the passage.
 
     Case, punctuation and white space do not count. Texts and items that are null or empty hold
-    nothing and are found nowhere, and items of fewer than MIN_WORDS words are not searched. Repeated
+    nothing and are found nowhere. An item of fewer than five words may have no edit: it is found where
+    its words stand in a row. A letter of a script without word spaces (Chinese, Japanese, Thai, Lao,
+    Burmese, Khmer) is a word. Repeated
     documents and repeated items each give their rows. Columns not carried are ignored, whatever their
     names. Empty tables give no rows.
     """

@@ -92,13 +92,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray, is_break: np.ndarray) -> Itera
 
 def word_hashes(
     data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray | None = None,
-    heads: tuple[int, ...] = (),
+    heads: tuple[int, ...] = (), borders: np.ndarray | None = None,
 ) -> tuple[np.ndarray, ...]:
     """Hash, start and end byte of every word, and how many words each document has; then, for each
     number in `heads`, the hash of so many first bytes of every word (0 for a shorter word).
 
     `separators` says which bytes end words, `fold` maps bytes before hashing. Words do not cross
-    documents.
+    documents, nor the places before the bytes marked in `borders`.
     """
     value = _VALUE if fold is None else _VALUE[fold]
     counts = np.zeros(len(offsets) - 1, np.int64)
@@ -109,6 +109,8 @@ def word_hashes(
         inside[1:-1] = ~separators[part]
         edge = inside[1:] - inside[:-1]
         cuts = offsets[first + 1:last] - start  # a word ends where its document does
+        if borders is not None:
+            cuts = np.concatenate([cuts, np.flatnonzero(borders[start:end])])
         cuts = cuts[(cuts > 0) & (cuts < len(part))]
         cuts = np.unique(cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)])
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
