@@ -38,3 +38,35 @@ def test_rows(spark):
     got = sorted(map(tuple, h.extract(df, ["page_id", "url"]).collect()), key=repr)
     assert got == sorted([(1, "u", WANT, len(WANT))] * 2 + [(2, None, "", 0), (None, "", "", 0)], key=repr)
     assert h.extract(df.limit(0), ["page_id"]).count() == 0
+
+
+LINES = [f"Sentence number {i} of the story, with enough words in it to count as content." for i in range(4)]
+BODY, STORY = "".join(f"<p>{x}</p>" for x in LINES), "\n".join(LINES)
+
+
+def test_wrappers_with_marked_names_stay():
+    for wrap in ("layout with-sidebar", "hentry comments-open", "page has-banner"):
+        assert h.main_text(f'<div class="{wrap}"><article>{BODY}</article><div class="sidebar">Links</div></div>') == STORY
+        assert h.main_text(f'<div class="{wrap}">{BODY}</div><footer>us</footer>') == STORY
+    assert h.main_text(f"<form><main>{BODY}</main></form>") == STORY
+    cards = '<div class="related"><article>Another story to read after this one.</article></div>'
+    assert h.main_text(f"<main>{BODY}{cards}</main>") == STORY
+    comments = f'<section class="comments">{"<article>A reader writes.</article>" * 3}</section>'
+    assert h.main_text(f"<article>{BODY}</article>{comments}") == STORY
+
+
+def test_omitted_end_tags_end_what_is_marked():
+    text = "".join(f"<p>{x}" for x in LINES)
+    assert h.main_text(f"<article><p class='ad'>Buy{text}</article>") == STORY
+    assert h.main_text(f"<article><p>{LINES[0]}<p class='ad'>Buy<h2>Next</h2>{text}</article>") == f"{LINES[0]}\nNext\n{STORY}"
+    items = "".join(f"<li>{x}" for x in LINES)
+    assert h.main_text(f"<article><ul><li class='share'>Send{items}</ul></article>") == STORY
+    assert h.main_text(f"<article><dl><dt class='ad'>Buy<dd>{LINES[0]}<dt>{LINES[1]}</dl></article>") == "\n".join(LINES[:2])
+    rows = "".join(f"<tr><td>{x}" for x in LINES)
+    assert h.main_text(f"<article><table><tr class='ad'><td>Buy<td>now{rows}</table></article>") == STORY
+    assert h.main_text(f"<article><table><tr><td class='ad'>Buy<td>{LINES[0]}{rows}</table></article>") == f"{LINES[0]}\n{STORY}"
+
+
+def test_region_grows_to_unmarked_parents():
+    page = f"<body><nav>Menu</nav><div><h1>Head</h1><p>Lead.</p><div>{BODY}</div><p>End.</p></div><footer>us</footer></body>"
+    assert h.main_text(page) == f"Head\nLead.\n{STORY}\nEnd."

@@ -5,12 +5,17 @@ its text and the number of tags around it. Blocks inside menus, page headers, fo
 notices, adverts, forms, reader comments and the like are marked by their elements. The ratio of
 characters to tags of the remaining lines is smoothed with a Gaussian, and lines above a standard
 deviation are content. The region that holds most of the content, grown to the article or main
-element around it, is the text: every unmarked block of it, short ones too.
+element around it, or else to its parents while these add nothing marked, is the text: every
+unmarked block of it, short ones too.
+
+What is marked is decided after parsing: a marked element around the article, or around most of the
+text of a page without one, is a wrapper and stays.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -34,6 +39,26 @@ REGIONS = frozenset("article body blockquote details div figure main section tab
 OUT = frozenset(
     "aside audio button canvas datalist dialog footer form head iframe input label menu nav noscript object script select style "
     "svg template textarea title video".split())
+#: Those of them that are no text of the page, so that nothing of them is kept for the decision.
+SILENT = OUT - frozenset("aside dialog footer form menu nav".split())
+#: Elements whose start ends an open p; what other starts end, and the elements that this does not reach beyond.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr main menu nav ol p pre section summary table ul".split())
+_CELL = frozenset("table td th".split())
+_WALLS = _CELL | frozenset("article aside blockquote dialog figure footer form main nav section".split())
+IMPLIED = (
+    {"li": (frozenset(["li"]), _WALLS | {"ul", "ol", "menu"})}
+    | dict.fromkeys(("dd", "dt"), (frozenset(("dd", "dt")), _WALLS | {"dl"}))
+    | dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(["table"])))
+    | {"tr": (frozenset(("td", "th", "tr")), frozenset(["table"]))}
+    | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("td", "th", "tr")), frozenset(["table"]))))
+P_WALLS = _CELL | frozenset("button caption object".split())
+#: How far an end tag looks for its element.
+REACH = {"p": P_WALLS, "li": IMPLIED["li"][1], "dd": IMPLIED["dd"][1], "dt": IMPLIED["dt"][1]} | dict.fromkeys(
+    ("td", "th", "tr"), frozenset(["table"]))
+TRACKED = REGIONS | REACH.keys() | frozenset("header ul ol dl".split())
+
 #: Roles and words in class or id of what is left out.
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OUT_WORDS = frozenset(
@@ -42,23 +67,29 @@ OUT_WORDS = frozenset(
     "promoted related share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
+_P = frozenset(["p"])
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
 class Block:
-    """A line of the page: its text, the tags met since the last one, the regions around it."""
+    """A line of the page: its text, the tags met since the last one, the regions and the marked
+    elements around it, and whether it is in an article or main within the innermost of these."""
 
     text: str
     tags: int
     regions: tuple[int, ...]
+    marks: tuple[int, ...] = ()
+    article: bool = False
 
 
 @dataclass
 class _Open:
     tag: str
-    out: bool
+    silent: bool = False
     region: int | None = None
+    mark: int | None = None
+    article: bool = False
 
 
 class Blocks(HTMLParser):
@@ -68,6 +99,8 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.kinds: list[str] = []  # element of each region
+        self.wrapper: list[bool] = []  # of each marked element, whether it may turn out to be a wrapper
+        self.open: Counter[str] = Counter()
         self.stack: list[_Open] = []
         self.out = 0
         self.tags = 0
@@ -80,42 +113,78 @@ class Blocks(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.tags, tuple(o.region for o in self.stack if o.region is not None)))
+                article = False
+                for o in self.stack:
+                    article = (article or o.article) and o.mark is None
+                self.blocks.append(Block(
+                    text, self.tags, tuple(o.region for o in self.stack if o.region is not None),
+                    tuple(o.mark for o in self.stack if o.mark is not None), article))
                 self.tags = 0
             self.parts = []
 
-    def _left_out(self, tag: str, attrs: dict[str, str | None]) -> bool:
+    def _named_out(self, attrs: dict[str, str | None]) -> bool:
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+        return bool(names.strip()) and not OUT_WORDS.isdisjoint(_SPLIT.split(names))
+
+    def _marked(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in OUT:
             return True
         if tag in ("html", "body", "main", "article"):
             return False
         if tag == "header":  # of the page; an article's own holds its title
             return not any(o.tag in ("article", "main") for o in self.stack)
-        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
-        if (attrs.get("role") or "").lower() in OUT_ROLES:
-            return True
-        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-        return bool(names.strip()) and not OUT_WORDS.isdisjoint(_SPLIT.split(names))
+        return self._hidden(attrs) or (attrs.get("role") or "").lower() in OUT_ROLES or self._named_out(attrs)
+
+    def _hidden(self, attrs: dict[str, str | None]) -> bool:
+        return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+
+    def _pop(self, i: int) -> None:
+        self._end_line()
+        for o in self.stack[i:]:
+            self.open[o.tag] -= 1
+            self.out -= o.silent
+        del self.stack[i:]
+
+    def _end_implied(self, tags: frozenset[str], walls: frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
+        first = None
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i].tag in tags:
+                first = i
+            elif self.stack[i].tag in walls:
+                break
+        if first is not None:
+            self._pop(first)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._end_line()
+        if tag in ENDS_P:
+            self._end_implied(_P, P_WALLS)
+        if tag in IMPLIED:
+            self._end_implied(*IMPLIED[tag])
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        out = self._left_out(tag, dict(attrs))
-        if out or tag in REGIONS or tag in ("header", "ul", "ol", "dl"):
-            region = None
-            if not out and tag in REGIONS:
-                region = len(self.kinds)
+        attrs = dict(attrs)
+        marked = self._marked(tag, attrs)
+        if marked or tag in TRACKED:
+            new = _Open(tag, tag in SILENT)
+            if tag in REGIONS:
+                new.region = len(self.kinds)
                 self.kinds.append(tag)
-            if out:
+            if marked:
                 self._end_line()
-            self.stack.append(_Open(tag, out, region))
-            self.out += out
+                if not new.silent:
+                    new.mark = len(self.wrapper)
+                    self.wrapper.append(tag not in ("menu", "nav") and not self._hidden(attrs))
+            new.article = tag in ("article", "main") and not self._named_out(attrs)
+            self.stack.append(new)
+            self.open[tag] += 1
+            self.out += new.silent
 
     def handle_startendtag(self, tag, attrs):
         # Outside of drawings a slash does not close an element; inside one it opens nothing to track.
@@ -126,12 +195,14 @@ class Blocks(HTMLParser):
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
+        if not self.open[tag]:
+            return
+        walls = REACH.get(tag, frozenset())
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
-                if any(o.out for o in self.stack[i:]):
-                    self.parts = []
-                self.out -= sum(o.out for o in self.stack[i:])
-                del self.stack[i:]
+                self._pop(i)
+                break
+            if self.stack[i].tag in walls:
                 break
 
     def handle_data(self, data):
@@ -152,13 +223,45 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS, sigma: float = SIGMA) ->
     return np.convolve(ratios, k)[radius:radius + len(ratios)] / weight
 
 
+def wrappers(parser: Blocks) -> set[int]:
+    """The marked elements that hold the page's text: those around more article or main text than
+    there is outside of marked elements, and if there is none at all, those around most of the text."""
+    stay: set[int] = set()
+    total = sum(len(b.text) for b in parser.blocks)
+    while True:
+        free, article, whole = 0, Counter(), Counter()
+        for b in parser.blocks:
+            outer = next((m for m in b.marks if m not in stay), None)
+            if outer is None:
+                free += len(b.text) * b.article
+            elif parser.wrapper[outer]:
+                whole[outer] += len(b.text)
+                article[outer] += len(b.text) * b.article
+        for held, least in ((article, free), (whole, total / 2)):
+            best = max(held, key=held.__getitem__, default=None)
+            if best is not None and held[best] > least and (held is article or not free):
+                stay.add(best)
+                break
+        else:
+            return stay
+
+
 def main_text(html: str) -> str:
     """The blocks of the page's content region, one per line; empty if it has none."""
     parser = Blocks()
     for i in range(0, len(html), SLICE):
         parser.feed(html[i:i + SLICE])
     parser.finish()
-    blocks = parser.blocks
+    stay = wrappers(parser) if parser.wrapper else set()
+    blocks, marked, passed = [], [], 0
+    for b in parser.blocks:
+        if stay.issuperset(b.marks):
+            b.tags += passed
+            passed = 0
+            blocks.append(b)
+        else:
+            passed += b.tags
+            marked.append(b)
     if not blocks:
         return ""
     sizes = np.array([len(b.text) for b in blocks], float)
@@ -178,6 +281,12 @@ def main_text(html: str) -> str:
     around = next(b.regions for b in blocks if region in b.regions)
     whole = [r for r in around if parser.kinds[r] in ("article", "main") and r <= region]
     chosen = whole[-1] if whole else region
+    if not whole:
+        barred = {r for b in marked if region not in b.regions for r in b.regions}
+        for r in reversed([r for r in around if r < region]):
+            if r in barred:
+                break
+            chosen = r
     return "\n".join(b.text for b in blocks if chosen in b.regions)
 
 
