@@ -123,3 +123,27 @@ def test_scripts_without_word_spaces(spark):
     assert sorted((r.row.doc_id, r.item_id, r.edits) for r in rows) == [(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 2, 0), (4, 3, 0), (6, 0, 0)]
     hit = next(r for r in rows if r.row.doc_id == 2)
     assert docs[2][1].encode()[hit.start:hit.end].decode() == items[1]
+
+
+def test_one_row_per_place_of_a_repeated_item(spark):
+    rng = random.Random(6)
+    item = frames.words(rng, 20)
+    changed = item.split()
+    changed[7] = "new"
+    docs = [(0, " ".join([item] * 3)), (1, f"start {item} {' '.join(changed)} {item} end"), (2, " ".join([item] * 60)), (3, f"{item} middle {item}")]
+    rows = find(spark, [item], docs)
+    assert sorted(r.row.doc_id for r in rows) == [0] * 3 + [1] * 3 + [2] * 60 + [3] * 2
+    assert sorted(r.edits for r in rows if r.row.doc_id == 1) == [0, 0, 1]
+    for r in rows:
+        assert docs[r.row.doc_id][1].encode()[r.start:r.end].decode() in (item, " ".join(changed))
+
+
+def test_places_at_the_end_of_a_part_are_whole():
+    item = np.arange(1, 21, dtype=np.uint64)
+    worse = item.copy()
+    worse[[3, 9]] = 99
+    for shift in range(60):
+        text = np.concatenate([np.full(shift, 77, np.uint64), *[worse] * 11, item, *[worse] * 3])
+        got = d.places(item, text, 4)
+        assert [x[0] for x in got] == [2] * 11 + [0] + [2] * 3
+        assert [(s, e) for _, s, e in got] == [(shift + 20 * k, shift + 20 * k + 20) for k in range(15)]

@@ -303,6 +303,30 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(ends[end]), end - int(back), end
 
 
+def places(item: np.ndarray, text: np.ndarray, allowed: int) -> list[tuple[int, int, int]]:
+    """Places of `text` within the allowed edits of the item, as in `align`, none over another: the
+    best, then the best of what is before and after it. A long text is taken in parts; a place at
+    the end of a part is judged with what follows."""
+    out, todo, n = [], [(0, len(text))], len(item)
+    most = 8 * (n + allowed) + 8
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < max(1, n - allowed):
+            continue
+        end = min(hi, lo + most)
+        while True:
+            edits, s, e = align(item, text[lo:end])
+            if edits > allowed or end == hi or lo + e <= end - n - allowed:
+                break
+            end = min(hi, lo + e + n + allowed)  # only fewer edits can move the best place again
+        if edits <= allowed and e > s:
+            out.append((edits, lo + s, lo + e))
+            todo += [(lo + e, hi), (lo, lo + s)]
+        elif end < hi:
+            todo.append((end - n - allowed, hi))
+    return sorted(out, key=lambda x: x[1])
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
@@ -323,8 +347,7 @@ def _search(shared):
                     while to + 1 < len(near) and (near[to + 1, :2] == near[at, :2]).all() and near[to + 1, 2] - near[to, 2] <= n:
                         to += 1
                     lo, hi = max(first[d], begin - k), min(last[d], near[to, 2] + n + k)
-                    edits, s, e = align(items.texts[item], hashes[lo:hi])
-                    if edits <= k and e > s:
+                    for edits, s, e in places(items.texts[item], hashes[lo:hi], k):
                         rows.append((items.ids[item], edits, n, int(starts[lo + s] - offsets[d]), int(ends[lo + e - 1] - offsets[d])))
                         take.append(int(d))
                     at = to + 1
