@@ -40,7 +40,7 @@ class Limits:
 
     partition_bytes: int = 8 << 20  # text for each hash partition
     filter_bytes: int = 32 << 20  # the filter that all tasks read
-    flush: int = 3 << 20  # occurrences that a task holds before it sends a summary
+    flush: int = 1 << 20  # occurrences that a task holds before it sends a summary
     room: int = 1 << 16  # counters that a partition may keep in any case
 
 
@@ -107,7 +107,7 @@ def _grams(batch: pa.RecordBatch, max_words: int) -> Iterator[tuple]:
         for k in range(1, max_words + 1):
             if k > 1:
                 whole = whole[:-1] & joined[k - 2:]
-            at = np.flatnonzero(whole)
+            at = np.flatnonzero(whole).astype(np.int32)
             grams = textnum.shingles(hashes, k)[at] if len(hashes) >= k else np.zeros(0, np.uint64)
             out.append((at, textnum.mix(grams * seed[doc[at]] + np.uint64(k))))
         yield doc, part, s, e, out
@@ -212,10 +212,10 @@ def _count(parts: int, bits: int, filter_of, max_words: int, flush: int):
     def run(batches):
         passes = np.frombuffer(filter_of.value, np.uint8)
         for held in _held(batches, max_words, flush):
-            owner = np.repeat(np.arange(len(held)), [sum(len(g) for _, g in x[5]) for x in held])
+            owner = np.repeat(np.arange(len(held), dtype=np.int32), [sum(len(g) for _, g in x[5]) for x in held])
             h = np.concatenate([g for x in held for _, g in x[5]])
             word = np.concatenate([at for x in held for at, _ in x[5]])
-            width = np.concatenate([np.full(len(at), k) for x in held for k, (at, _) in enumerate(x[5], 1)])
+            width = np.concatenate([np.full(len(at), k, np.int8) for x in held for k, (at, _) in enumerate(x[5], 1)])
             bit = _place(h, parts) * bits + (h & np.uint64(bits - 1)).astype(np.int64)
             ok = np.flatnonzero(passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
             _, one, n = np.unique(h[ok], return_index=True, return_counts=True)
@@ -225,7 +225,7 @@ def _count(parts: int, bits: int, filter_of, max_words: int, flush: int):
             ends = np.searchsorted(owner[one], np.arange(len(held) + 1))
             for i, (langs, doc, part, s, e, grams) in enumerate(held):
                 own = slice(ends[i], ends[i + 1])
-                a, k = word[one[own]], width[one[own]]
+                a, k = word[one[own]].astype(np.int64), width[one[own]].astype(np.int64)
                 plain, z = PLAIN[part].tobytes(), a + k - 1
                 length = np.concatenate([[0], np.cumsum(e - s)])
                 tight = (length[z + 1] - length[a] + k - 1 == e[z] - s[a]).tolist()
@@ -314,7 +314,7 @@ def collocations(
     blanks and tabs. a, l and r are occurrences of the phrase and of its two parts at the lowest-scoring
     cut, n those of all words. Ties go to the more frequent phrase, then by its bytes. A null text is
     empty, a null language `und`; repeated rows count again; other columns are ignored; an empty table
-    gives no rows. Counts are sums over equal strings; within one task's part of some 10 MB, phrases
+    gives no rows. Counts are sums over equal strings; within one task's part of some 3 MB, phrases
     with equal 64-bit hashes count as equal.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
