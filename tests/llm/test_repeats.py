@@ -56,6 +56,20 @@ def test_contract_window_on_hard_cases(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i in range(len(texts)))] == brute(texts, 400)
 
 
+def test_passages_are_told_beside_the_byte_windows(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"{rng.choice('abcd')}{rng.randrange(90)}" for _ in range(55))
+    long = frames.words(rng, 120, 10**6)
+    assert len(passage) < 400 < len(long)
+    texts = [f"{frames.words(rng, 30, 10**6)} {p} {frames.words(rng, 30, 10**6)}" for p in (passage, passage, long, long, "alone")] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r for r in repeats.remove_repeats(df, Scratch(spark, "t"), ["doc_id"], words=51).collect()}
+    want = brute(texts, 400)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[i] for i in range(len(texts)))] == want
+    assert [got[i].n_passages for i in range(7)] == [1, 1, 1, 1, 0, 0, 0]
+    assert [got[i].passage_bytes for i in (0, 2, 4)] == [len(passage), len(long), 0] and want[0][1] == 0 < want[2][1]
+
+
 def test_empty_table(spark):
     assert run(spark, [], 400) == {}
 

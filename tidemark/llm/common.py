@@ -14,16 +14,17 @@ class Scratch:
     """Tables written to the shared folder, which a lost executor does not take along.
 
     A table that nothing reads any more is removed with `drop`. The tables behind an operator's
-    lazy result stay; `clear` removes them once the result is written.
+    lazy result stay; `clear` removes them once the result is written. `codec` compresses tables that
+    hold whole texts, where room matters more than time.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
+    def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
+        self.spark, self.name, self.codec, self.paths = spark, name, codec, {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, f"{self.name}-{name}")
         self.paths[name] = path
-        df.write.parquet(path)
+        (df.write.option("compression", self.codec) if self.codec else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

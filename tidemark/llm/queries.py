@@ -47,7 +47,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(_table(spark, sf_dir, "pages"), Scratch(spark, "op5")).drop("bundle", "frame", "offset")
+    return warc.archive(_table(spark, sf_dir, "pages"), Scratch(spark, "op5", "zstd")).drop("bundle", "frame", "offset")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "op8"), ["doc_id"])
+    """Besides the 400-byte strings of the contract it tells of passages of over 50 words, which are often shorter."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), Scratch(spark, "op8", "zstd"), ["doc_id"], words=51)
     return out.select("row.doc_id", *out.columns[1:])
 
 

@@ -297,7 +297,10 @@ def repeated_spans(rows: DataFrame, scratch: Scratch, window: int = WINDOW) -> D
     out = spans[0]
     for more in spans[1:]:
         out = out.unionByName(more)
-    return scratch.write(out, "spans")
+    out = scratch.write(out, "spans")
+    # What led here makes room for the tables that follow.
+    scratch.drop(*(n for n in list(scratch.paths) if n == "even" or n.startswith(("stretches-", "sizes-"))))
+    return out
 
 
 def _word_runs(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -373,8 +376,9 @@ def repeated_word_spans(rows: DataFrame, scratch: Scratch, width: int) -> DataFr
         _word_windows(width), "rid long, g long, h long, s long, e long"), "word-windows")
     twice = scratch.write(windows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "h"), "word-twice")
     other = scratch.write(windows.join(twice, ["g", "h"]).select("rid", "s", "e"), "word-other")
-    scratch.drop("word-anchors", "word-equal", "word-windows", "word-twice")
-    return even.unionByName(other)
+    out = scratch.write(even.unionByName(other), "word-spans")
+    scratch.drop("word-anchors", "word-equal", "word-even", "word-windows", "word-twice", "word-other")
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -388,39 +392,43 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _cutter(with_text: bool):
+def _without(raw: np.ndarray, spans: list[tuple[int, int]], whole: bool = False) -> bytes:
+    """What is left of a text; with `whole`, a character stays if one of its bytes does."""
+    kept, at = [], 0
+    for s, e in spans:
+        if whole:
+            cut = e
+            while cut < len(raw) and raw[cut] & 0xC0 == 0x80 and cut > s:
+                cut -= 1
+            while s < cut and raw[s] & 0xC0 == 0x80:
+                s += 1
+            e = cut
+        kept.append(raw[at:s].tobytes())
+        at = e
+    return b"".join(kept) + raw[at:].tobytes()
+
+
+def _cutter(with_text: bool, words: bool):
     def run(batches):
         for batch in batches:
             data, offsets = textnum.buffer(batch.column("text"))
             texts, rows = batch.column("text").to_pylist() if with_text else None, []
             for i, found in enumerate(batch.column("spans").to_pylist()):
                 raw = data[offsets[i]:offsets[i + 1]]
-                spans = merged([(x["s"], x["e"]) for x in found or ()])
-                kept, at, chars = [], 0, []
-                for s, e in spans:
-                    kept.append(raw[at:s])
-                    if with_text:  # a character stays if one of its bytes does
-                        while e < len(raw) and raw[e] & 0xC0 == 0x80 and e > s:
-                            e -= 1
-                        while s < e and raw[s] & 0xC0 == 0x80:
-                            s += 1
-                        chars.append((s, e))
-                    at = spans[len(kept) - 1][1]
-                kept.append(raw[at:])
-                left = b"".join(x.tobytes() for x in kept)
+                every = [(x["s"], x["e"], x["w"]) for x in found or ()]
+                spans = merged([x[:2] for x in every if not x[2]])
+                left = _without(raw, spans)
                 row = [len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest()]
+                if words:
+                    passages = merged([x[:2] for x in every if x[2]])
+                    row += [len(passages), sum(e - s for s, e in passages)]
                 if with_text:
-                    at, parts = 0, []
-                    for s, e in chars:
-                        parts.append(raw[at:s].tobytes())
-                        at = e
-                    row.append(texts[i] if not spans else (b"".join(parts) + raw[at:].tobytes()).decode())
+                    row.append(_without(raw, merged([x[:2] for x in every]), True).decode() if every else texts[i])
                 rows.append(row)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][:4 + with_text]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * 2 * words + [pa.string()] * with_text
+            names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "passage_bytes"] * words + ["kept_text"] * with_text
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][:5 + with_text])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
     return run
 
 
@@ -431,18 +439,20 @@ def remove_repeats(
     """`row`, a struct of the columns in `carry`, and what is left of every text.
 
     A byte goes if it lies in a string of `window` bytes that also starts anywhere else in the
-    corpus, in the same text too; strings are judged on the input. With `words`, runs of so many words
-    that also start anywhere else go as well, however few bytes they have. kept_text (with `with_text`) keeps
-    a character as a whole if any of its bytes stays. A null text is empty (its kept_text is null); a
-    text shorter than the window stays as it is; equal long texts lose all their bytes. Columns not
-    carried are ignored, whatever their names. An empty table gives no rows.
+    corpus, in the same text too; strings are judged on the input: n_bytes, n_removed, n_spans and
+    kept_sha256. With `words`, runs of so many words that also start anywhere else are found as well,
+    however few bytes they have: n_passages (maximal ones) and passage_bytes. kept_text (with
+    `with_text`) is without either and keeps a character as a whole if any of its bytes stays. A null text
+    is empty (its kept_text is null); a text shorter than the window stays as it is; equal long texts
+    lose all their bytes. Columns not carried are ignored, whatever their names. An empty table gives no rows.
     """
     rows = with_row_ids(docs, scratch, F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
-    spans = repeated_spans(rows.select("rid", "text"), scratch, window)
+    spans = repeated_spans(rows.select("rid", "text"), scratch, window).withColumn("w", F.lit(False))
     if words:
-        spans = spans.unionByName(repeated_word_spans(rows.select("rid", "text"), scratch, words))
-    per_text = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        spans = spans.unionByName(repeated_word_spans(rows.select("rid", "text"), scratch, words).withColumn("w", F.lit(True)))
+    per_text = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "w")).alias("spans"))
     joined = rows.join(per_text.hint("shuffle_hash"), "rid", "left").select("row", "text", "spans")
     row = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(
-        _cutter(with_text), f"row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+        _cutter(with_text, bool(words)), f"row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        + ", n_passages long, passage_bytes long" * bool(words) + ", kept_text string" * with_text)
