@@ -1,6 +1,8 @@
 import hashlib
 import io
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,35 @@ def test_index_points_at_records(spark):
         assert headers["WARC-Record-ID"] == f"<urn:page:{r.rid}>"
 
 
+def test_reading_is_spread_over_tasks(spark):
+    """As many tasks have rows as there are slices, up to the number wanted by the bytes."""
+    rng = random.Random(2)
+    rows = [(i, f"http://h{i}.net/", "".join(rng.choice("abcdefgh<>") for _ in range(120_000))) for i in range(160)]
+    folder, scratch = fresh_path(spark, "warc"), Scratch(spark, "t")
+    _, index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), scratch, folder)
+    for task_bytes, tasks in ((1 << 40, 8), (1_000_000, 20)):
+        back = warc.read_archives(spark, index, folder, task_bytes)
+        by_task = [r["n"] for r in back.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        slices = index.select("bundle", F.floor(F.col("frame") / 8)).distinct().count()
+        assert back.rdd.getNumPartitions() == tasks and sum(by_task) == 160
+        assert len(by_task) >= 0.4 * min(tasks, slices) and len(by_task) > 3
+
+
+def test_a_bundle_rolls_over(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 5000)
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(rng.choice("abcdefgh<>") for _ in range(30_000))) for i in range(60)]
+    batch = pa.RecordBatch.from_pylist([
+        {"rid": i, "url": u, "html": h, "digest": hashlib.sha256(h.encode()).hexdigest(), "first": None} for i, u, h in rows])
+    folder = fresh_path(spark, "warc").removeprefix("file:")
+    index = [r for b in warc._writer(folder)([batch]) for r in b.to_pylist()]
+    assert len({r["bundle"] for r in index}) > 3
+    store, _ = warc.open_store(folder)
+    for r in index:
+        with store.open_input_file(r["bundle"]) as source:
+            assert warc.BundleReader(source).record(r["frame"], r["offset"])[1].decode() == rows[r["rid"]][2]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(df, Scratch(spark, "t")).count() == 0

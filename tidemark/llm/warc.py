@@ -26,6 +26,7 @@ from tidemark.session import fresh_path
 
 FRAME_BYTES = 256 << 10  # of records before compression; a larger record has a frame to itself
 BUNDLE_BYTES = 64 << 20  # of compressed frames before the next file begins
+TASK_BYTES = 32 << 20  # of records that a task reads back
 REVISIT_BYTES = 100  # payloads from this size on are written once
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  # magic numbers of the seek table's frame and its end
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -206,15 +207,19 @@ def write_archives(pages: DataFrame, scratch: Scratch, folder: str, id_col="page
     return rows.join(again.hint("shuffle_hash"), "rid", "left").select("rid", "id", "payload_bytes", "digest", "first"), index
 
 
-def read_archives(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, index: DataFrame, folder: str, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Every record of the bundles in `index`, read back frame by frame: rid, record_type, digest (as its
     header says), bytes and sha256 (of the payload in the record), refers, and bundle, frame, offset.
 
-    Tasks share a bundle: each reads a slice of its frames.
+    Tasks share a bundle: each reads slices of its frames. Their number follows from the bytes to read, as
+    the rows that name the slices are too small for adaptive execution to see the work behind them.
     """
-    frames = index.select("bundle", "frame").distinct().groupBy("bundle", F.floor(F.col("frame") / 32).alias("slice")).agg(
-        F.sort_array(F.collect_list("frame")).alias("frames")).select("bundle", "frames")
-    return frames.mapInArrow(
+    frames = index.groupBy("bundle", "frame").agg(F.sum("length").alias("bytes")).groupBy(
+        "bundle", F.floor(F.col("frame") / 8).alias("slice")).agg(F.sort_array(F.collect_list("frame")).alias("frames"), F.sum("bytes").alias("bytes"))
+    size = frames.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+    # Without a key the slices are dealt out evenly; a number given is kept.
+    return frames.select("bundle", "frames").repartition(tasks).mapInArrow(
         _reader(folder), "rid long, record_type string, digest string, bytes long, sha256 string, refers long, frame long, offset long, bundle string")
 
 
