@@ -34,6 +34,42 @@ def test_hard_cases(spark):
     assert {round(r.quality_text, 6) for r in none} == {0.5}
 
 
+def test_an_id_on_very_many_rows_is_one_sample(spark):
+    many = spark.range(50_000).selectExpr("1L AS doc_id", "concat('hot text ', id) AS text")
+    docs = many.unionByName(spark.range(2, 40).selectExpr("id AS doc_id", "concat('plain text ', id % 7) AS text"))
+    labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    scratch = Scratch(spark, "t")
+    c.fit(docs, labels, scratch, "doc_id", "text")
+    sample = spark.read.parquet(scratch.paths["sample"])
+    assert sample.count() == 39 and sample.where("text LIKE 'hot%'").count() == 1
+
+
+def test_posteriors_against_plain_arithmetic(spark):
+    rng = np.random.default_rng(5)
+    rows = [(h, f"{h}/{k % 3}" if k % 11 else None, float(rng.normal(i - 1, 1.5))) for i, h in enumerate(["a", "b", "c", None]) for k in range(40 + 7 * i)]
+    scored = spark.createDataFrame(rows, "host string, path string, quality_logit double")
+    got = {(r.host, r.path): r for r in c.site_posteriors(scored, "quality").collect()}
+    p = 1 / (1 + np.exp(-np.array([r[2] for r in rows])))
+
+    def strength(groups, mids):
+        n, s, q = (np.array([f(g) for g in groups]) for f in (len, np.sum, lambda g: (g * g).sum()))
+        within = (q - s * s / n).sum() / max(1, n.sum() - len(n))
+        between = (n * (s / n - np.array(mids)) ** 2).sum() / max(1, len(n) - 1)
+        return min(1e6, max(1.0, within / max((between - within) / (n.sum() / len(n)), 1e-9)))
+
+    of = lambda key, at: [p[[i for i, r in enumerate(rows) if r[:at] == k]] for k in key]
+    hosts, paths = sorted({r[:1] for r in rows}, key=repr), sorted({r[:2] for r in rows}, key=repr)
+    by_host, by_path, mid = of(hosts, 1), of(paths, 2), p.mean()
+    k = strength(by_host, [mid] * len(hosts))
+    mean = {h: (k * mid + g.sum()) / (k + len(g)) for h, g in zip(hosts, by_host, strict=True)}
+    inner = strength(by_path, [mean[x[:1]] for x in paths])
+    for x, g in zip(paths, by_path, strict=True):
+        r = got[x]
+        want = (mid, mean[x[:1]], inner, g.sum(), len(g))
+        assert np.allclose([r.quality_mid, r.quality_mean, r.quality_strength, r.quality_s, r.quality_n], want, rtol=1e-9)
+    assert len(got) == len(paths)
+
+
 def test_sparse_sites_are_shrunk_more(spark):
     rng = np.random.default_rng(1)
     rows = [("good", "a", x) for x in rng.normal(3, 1, 300)] + [("bad", "b", x) for x in rng.normal(-3, 1, 300)]

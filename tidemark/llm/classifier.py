@@ -165,19 +165,23 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_col: str, limit: int = TRAIN_DOCS) -> Model:
     """Fit both regressions on at most `limit` labelled documents, the first by a hash of their id.
 
-    Several labels of a document are averaged; a document without text counts as empty. Without
-    labels all weights are zero.
+    Several labels of a document are averaged; of rows with one id that with the least hash of its
+    text counts; a document without text counts as empty. The sample is written once, so the texts of all
+    documents are read once for it. Without labels all weights are zero.
     """
     votes = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         (F.avg("quality") >= 0.5).cast("int").alias("quality"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic")).where(
             "quality is not null and toxic is not null")
-    chosen = votes.orderBy(F.xxhash64(id_col), id_col).limit(limit)
-    # At most `limit` rows of three numbers are broadcast.
+    chosen = scratch.write(votes.orderBy(F.xxhash64(id_col), id_col).limit(limit), "chosen")
+    # At most `limit` rows of three numbers are broadcast. The least row per id is kept in the scan already,
+    # so an id that very many rows share arrives as one row a task.
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id").select("text", "quality", "toxic")
+        F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id").groupBy("_id", "quality", "toxic").agg(
+            F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))).alias("one"))
+    sample = scratch.write(sample.select("one.text", "quality", "toxic"), "sample")
     counted = sample.mapInArrow(_count, "slot long, n long, good long, bad long").groupBy("slot").agg(
         *(F.sum(c).alias(c) for c in ("n", "good", "bad"))).where(F.col("n") >= MIN_DOCS)
     totals = chosen.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good"), F.sum("toxic").alias("bad")).first()
@@ -259,7 +263,7 @@ def classify(
     alike and each counts for its site. Columns not carried are ignored, whatever their names. An
     empty table gives no rows; without labels every probability is 0.5.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, limit))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, scratch, id_col, text_col, limit))
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     source = docs.select(
         F.struct(*carry).alias("row"), as_column(host).cast("string").alias("host"), as_column(path).cast("string").alias("path"),
