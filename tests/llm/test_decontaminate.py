@@ -87,10 +87,21 @@ def test_benchmark_in_blocks(spark):
     assert len(parts) > 2 and sorted(i for p in parts for i in p.ids) == list(range(12))
 
 
+def test_many_blocks_in_one_scan(spark):
+    items, docs = planted(31, 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    many = d.leaks(df, table, ["doc_id"], block_bytes=300)
+    found = [sorted((r.row.doc_id, r.item_id, r.edits, r.start) for r in out.collect()) for out in (d.leaks(df, table, ["doc_id"]), many)]
+    assert found[0] == found[1] and len(found[0]) >= 28
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_walk_is_equal_for_equal_windows_and_misses_few_edited():
     rng = np.random.default_rng(2)
     items = [rng.integers(1, 1 << 63, 40, dtype=np.uint64) for _ in range(40)]
-    n = d.repetitions(items, [8] * 40)
+    n, hard = d.repetitions(items, [8] * 40)
+    assert not hard
     walk = d.Walk(n)
     copies = np.stack([d.edited(x, 8, rng) for x in items])
     a, b = walk.keys(np.stack(items)), walk.keys(copies)
@@ -98,6 +109,31 @@ def test_walk_is_equal_for_equal_windows_and_misses_few_edited():
     assert ((a == b).any(axis=0)).mean() >= 0.9
 
 
+def test_recall_of_the_worst_class_of_lengths():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(1, 1 << 63, size, dtype=np.uint64) for size in (6, 10, 20, 45, 80) for _ in range(60 if size == 45 else 6)]
+    allowed = [len(x) // 5 for x in items]
+    n, hard = d.repetitions(items, allowed)
+    walk = d.Walk(n)
+    for size in (6, 10, 20, 45, 80):
+        if d.length_class(size) not in hard:
+            own = [x for x in items if len(x) == size] * 40
+            copies = np.stack([d.edited(x, size // 5, rng) for x in own[:240]])
+            assert (walk.keys(np.stack(own[:240])) == walk.keys(copies)).any(axis=0).mean() >= 0.95, size
+    assert d.repetitions(items, allowed, most=2)[1] == {d.length_class(x) for x in (6, 10, 20, 45, 80)}
+
+
+def test_classes_without_keys_lose_nothing():
+    for edits in (1, 3):
+        items, docs = planted(20 + edits, edits)
+        block = d.Items(list(range(len(items))), [d.words(pa.array([x]))[0] for x in items], most=0)
+        assert block.keyless.all()
+        batch = pa.RecordBatch.from_pylist([{"row": i, "text": t} for i, t in docs])
+        got = {(r["row"], r["item_id"]): r["edits"] for b in d._search([lambda: block])([batch]) for r in b.to_pylist()}
+        want = {(i, j): k for i, t in docs for j, x in enumerate(items) if (k := brute_distance(x.split(), t.split())) <= int(0.2 * len(x.split()) + 1e-9)}
+        assert got == want
+
+
 def test_folding_keeps_positions():
     text = "Ärger «Ω ЖИ» ÀÞ … x"
     out = d.folded(np.frombuffer(text.encode(), np.uint8)).tobytes()

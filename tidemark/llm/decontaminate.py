@@ -5,32 +5,40 @@ times its length: at each step it writes the word under its pointer and moves on
 (step, word) says so. A few edits change a few written places, so edit distance becomes Hamming
 distance, and sampled places of the walk are an LSH key. Windows of the length of an item whose key
 equals the item's in any repetition are candidates, and the exact edit distance decides. The number
-of repetitions is the least that finds the target share of copies with as many edits as are allowed,
-measured on edited copies of the items themselves; an unchanged copy is always found.
+of repetitions is the least that finds the target share of copies with as many edits as are allowed
+in every class of item lengths, measured on edited copies of the items themselves; an unchanged copy
+is always found. A class that would take more repetitions than are worth it goes without keys: all its
+windows that share enough word runs are compared, which loses none.
 
 Only windows that can match are embedded. A window within k edits of an item of n words shares at
 least n - q + 1 - k * q of its q-word runs, or one if that is less; with q at most n / (k + 1) this
-loses nothing. Benchmark items are taken in blocks of bounded size, each against the whole corpus.
+loses nothing. Benchmark items lie in blocks of bounded size, in files that tasks load in turn, so one
+pass over the corpus does for a benchmark of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textnum
 from tidemark.llm.common import Scratch, with_row_ids
+from tidemark.session import fresh_path
 
 SIMILARITY = 0.8  # an item of n words may differ by n * (1 - SIMILARITY) word edits
 RECALL = 0.98
 SAMPLED = 4  # places of the walk in one key
+REPETITIONS = 1024  # beyond so many, a class of items is compared without keys
+PROBES = 24  # items of a class that are edited to measure it
 STRETCH = 3  # steps of the walk for each word
-BLOCK_BYTES = 4 << 20  # benchmark text compared in one pass over the corpus
+BLOCK_BYTES = 4 << 20  # benchmark text that a task compares at a time
 BLOOM_BITS = 24
 
 _SEPARATOR = np.ones(256, bool)
@@ -163,26 +171,45 @@ def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
     return np.array(out + [np.uint64(0)] * (len(item) - len(out)), np.uint64)
 
 
-def repetitions(items: list[np.ndarray], allowed: list[int], recall: float = RECALL) -> int:
-    """The least number of repetitions that finds the share `recall` of copies with all allowed edits."""
-    rng = np.random.default_rng(11)
-    tests = [i for i in range(len(items)) if allowed[i]]
-    tests = [tests[i] for i in rng.permutation(len(tests))[:64]]
-    if not tests:
-        return 1
-    agree = []
-    probe = Walk(16, seed=23)
-    for i in tests:
-        pair = np.stack([items[i], edited(items[i], allowed[i], rng)])
-        same = np.zeros(probe.repetitions)
-        for _, symbols in probe.written(pair):
-            same += symbols[:, 0] == symbols[:, 1]
-        agree.append(((same / (STRETCH * len(items[i]))) ** SAMPLED).mean())
-    miss = 1 - np.array(agree)
-    n = 1
-    while (1 - miss**n).mean() < recall and n < 4096:
-        n = n + max(1, n // 8)
-    return n
+def length_class(words: int) -> int:
+    """Items of similar length: quarter powers of two."""
+    return int(4 * np.log2(max(1, words)) + 1e-9)
+
+
+def misses(items: list[np.ndarray], allowed: list[int]) -> dict[int, np.ndarray]:
+    """Per class of lengths, the chance of edited copies of its items to have another key, in one repetition."""
+    rng, probe, out = np.random.default_rng(11), Walk(16, seed=23), {}
+    classes: dict[int, list[int]] = {}
+    for i in rng.permutation(len(items)).tolist():
+        if allowed[i]:
+            classes.setdefault(length_class(len(items[i])), []).append(i)
+    for name, members in classes.items():
+        # A class with few items is measured on several edits of each.
+        tests = (members * PROBES)[:max(PROBES, min(len(members), 4 * PROBES))]
+        agree = []
+        for i in tests:
+            pair = np.stack([items[i], edited(items[i], allowed[i], rng)])
+            same = np.zeros(probe.repetitions)
+            for _, symbols in probe.written(pair):
+                same += symbols[:, 0] == symbols[:, 1]
+            agree.append(((same / (STRETCH * len(items[i]))) ** SAMPLED).mean())
+        out[name] = 1 - np.array(agree)
+    return out
+
+
+def repetitions(items: list[np.ndarray], allowed: list[int], recall: float = RECALL, most: int = REPETITIONS) -> tuple[int, set[int]]:
+    """The least number of repetitions that finds the share `recall` of copies with all allowed edits in
+    every class of lengths, and the classes for which `most` are not enough."""
+    n, hard, measured = 1, set(), misses(items, allowed)
+    for name, miss in measured.items():
+        own = 1
+        while (1 - miss**own).mean() < recall and own <= most:
+            own += max(1, own // 8)
+        if own > most:
+            hard.add(name)
+        else:
+            n = max(n, own)
+    return n, hard
 
 
 # --- the items --------------------------------------------------------------------------------
@@ -194,12 +221,15 @@ class Items:
     ids: list
     texts: list[np.ndarray]
     similarity: float = SIMILARITY
+    most: int = REPETITIONS
 
     def __post_init__(self):
         self.allowed = [int((1 - self.similarity) * len(t) + 1e-9) for t in self.texts]
         self.run = [min(3, len(t) // (k + 1)) for t, k in zip(self.texts, self.allowed, strict=True)]
         self.least = [max(1, len(t) - q + 1 - k * q) for t, k, q in zip(self.texts, self.allowed, self.run, strict=True)]
-        self.walk = Walk(repetitions(self.texts, self.allowed))
+        n, hard = repetitions(self.texts, self.allowed, most=self.most)
+        self.walk = Walk(n)
+        self.keyless = np.array([k > 0 and length_class(len(t)) in hard for t, k in zip(self.texts, self.allowed, strict=True)])
         self.grams, self.bloom = {}, {}
         for q in sorted(set(self.run)):
             h, item, place = [], [], []
@@ -229,7 +259,8 @@ class Items:
         self.keys, self.owner = keys[order], owner[order]
 
     def windows(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Rows (document, length, first word, ...) of the windows that can match any item."""
+        """Rows (document, length, first word, item) of the windows that can match an item; the item is
+        -1 where keys are to tell."""
         out = []
         for q, (grams, item, place) in self.grams.items():
             if len(hashes) < q:
@@ -250,18 +281,23 @@ class Items:
             once = np.unique(np.stack([pair, place[which]]), axis=1)[0]
             pairs, shared = np.unique(once, return_counts=True)
             enough = shared >= np.array(self.least)[pairs % len(self.texts)]
-            ok = enough[np.searchsorted(pairs, pair)]
-            for i in np.unique(who[ok]):
-                mine = ok & (who == i)
-                k, n = self.allowed[i], len(self.texts[i])
-                spread = (start[mine][:, None] + np.arange(-k, k + 1)[None, :])
-                home = np.repeat(doc[at[mine]], 2 * k + 1)
-                out.append(np.stack([home, np.full(spread.size, n), spread.ravel()], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            ok = np.flatnonzero(enough[np.searchsorted(pairs, pair)])
+            # All starts that a shared run allows, each once per document and length; by the number of allowed edits.
+            allowed, length = np.array(self.allowed)[who[ok]], np.array([len(t) for t in self.texts])[who[ok]]
+            for k in np.unique(allowed):
+                mine = ok[allowed == k]
+                base = np.stack([doc[at[mine]], length[allowed == k], start[mine], np.where(self.keyless[who[mine]], who[mine], -1)], axis=1)
+                base = np.repeat(np.unique(base, axis=0), 2 * k + 1, axis=0)
+                base[:, 2] += np.tile(np.arange(-k, k + 1), len(base) // (2 * k + 1))
+                out.append(base)
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Rows (document, item, first word) whose window has the key of the item in a repetition."""
-        out = []
+        """Rows (document, item, first word) whose window has the key of the item in a repetition, or is to
+        be compared without."""
+        known = found[:, 3] >= 0
+        out = [found[known][:, [0, 3, 2]]]
+        found = found[~known]
         for n in np.unique(found[:, 1]):
             own = found[found[:, 1] == n]
             for s in range(0, len(own), 4096):
@@ -279,7 +315,7 @@ class Items:
                 cols = np.repeat(col, size)
                 rows = np.stack([part[cols, 0], self.owner[which], part[cols, 2]], axis=1)
                 out.append(np.unique(rows, axis=0))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        return np.unique(np.concatenate(out), axis=0)
 
 
 def _ends(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -327,37 +363,63 @@ def places(item: np.ndarray, text: np.ndarray, allowed: int) -> list[tuple[int,
     return sorted(out, key=lambda x: x[1])
 
 
-def _search(shared):
+def _search(loaders: list[Callable[[], Items]]):
+    """One pass over the texts for all blocks. A worker has one block in memory at a time; with several,
+    each batch of texts meets them in turn."""
+    def one(items: Items, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, starts, ends, counts, offsets = words(batch.column("text"))
+        last = np.cumsum(counts)
+        first = last - counts
+        doc = np.repeat(np.arange(len(counts)), counts)
+        near = items.candidates(hashes, first, last, items.windows(hashes, doc))
+        rows, take = [], []
+        at = 0
+        while at < len(near):
+            d, item, begin = near[at]
+            to = at
+            n, k = len(items.texts[item]), items.allowed[item]
+            while to + 1 < len(near) and (near[to + 1, :2] == near[at, :2]).all() and near[to + 1, 2] - near[to, 2] <= n:
+                to += 1
+            lo, hi = max(first[d], begin - k), min(last[d], near[to, 2] + n + k)
+            for edits, s, e in places(items.texts[item], hashes[lo:hi], k):
+                rows.append((items.ids[item], edits, n, int(starts[lo + s] - offsets[d]), int(ends[lo + e - 1] - offsets[d])))
+                take.append(int(d))
+            at = to + 1
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays(
+            [batch.column("row").take(pa.array(take, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)],
+            ["row", "item_id", "edits", "item_words", "start", "end"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        only = loaders[0]() if len(loaders) == 1 else None
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                hashes, starts, ends, counts, offsets = words(batch.column("text"))
-                last = np.cumsum(counts)
-                first = last - counts
-                doc = np.repeat(np.arange(len(counts)), counts)
-                near = items.candidates(hashes, first, last, items.windows(hashes, doc))
-                rows, take = [], []
-                at = 0
-                while at < len(near):
-                    d, item, begin = near[at]
-                    to = at
-                    n, k = len(items.texts[item]), items.allowed[item]
-                    while to + 1 < len(near) and (near[to + 1, :2] == near[at, :2]).all() and near[to + 1, 2] - near[to, 2] <= n:
-                        to += 1
-                    lo, hi = max(first[d], begin - k), min(last[d], near[to, 2] + n + k)
-                    for edits, s, e in places(items.texts[item], hashes[lo:hi], k):
-                        rows.append((items.ids[item], edits, n, int(starts[lo + s] - offsets[d]), int(ends[lo + e - 1] - offsets[d])))
-                        take.append(int(d))
-                    at = to + 1
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(pa.array(take, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)],
-                    ["row", "item_id", "edits", "item_words", "start", "end"])
+            for load in loaders:
+                items = only or load()
+                for i in range(0, whole.num_rows, 500):
+                    yield one(items, whole.slice(i, 500))
+                del items
     return run
 
 
+def _published(spark: SparkSession, block: Items) -> Callable[[], Items]:
+    """Give every executor a file with the block, from the shared folder; what comes back loads it in a task."""
+    path = f"{fresh_path(spark, 'items')}.pickle"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(pickle.dumps(block, protocol=5)))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[1]
+
+    def load() -> Items:
+        with open(SparkFiles.get(name), "rb") as file:
+            return pickle.load(file)
+    return load
+
+
 def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
     """The benchmark in blocks of bounded size; one block at a time is on the driver."""
     ids, texts, size = [], [], 0
@@ -376,6 +438,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOC
 
 def leaks(
     docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per place where a document holds a benchmark item: `row`, item_id, edits, item_words,
     and the bytes (start, end) of the passage.
@@ -385,17 +448,14 @@ def leaks(
     its words stand in a row. A letter of a script without word spaces (Chinese, Japanese, Thai, Lao,
     Burmese, Khmer) is a word. Repeated
     documents and repeated items each give their rows. Columns not carried are ignored, whatever their
-    names. Empty tables give no rows.
+    names. Item identifiers are whole numbers. Empty tables give no rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
     row = source.schema["row"].dataType.simpleString()
     schema = f"row {row}, item_id long, edits long, item_words long, start long, end long"
-    out = None
-    for block in blocks(items, item_id, item_text):
-        part = source.mapInArrow(_search(spark.sparkContext.broadcast(block)), schema)
-        out = part if out is None else out.unionByName(part)
-    return source.sparkSession.createDataFrame([], schema) if out is None else out
+    loaders = [_published(spark, block) for block in blocks(items, item_id, item_text, block_bytes)]
+    return source.mapInArrow(_search(loaders), schema) if loaders else spark.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
