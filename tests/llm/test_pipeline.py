@@ -23,12 +23,16 @@ def test_stages_in_order(spark):
     start = {r.doc_id: r.text for r in docs.collect()}
     # Quality: nothing short stays, texts are as they were.
     assert set(texts[0]) < set(start) and all(len(re.findall(r"[^\x20\x09-\x0D]+", t)) >= 50 and start[i] == t for i, t in texts[0].items())
-    # Near-duplicates: no two texts that stay are near copies, and each that goes has one that stays.
+    # Near-duplicates: the first document of every component of near copies stays.
     sets = {i: shingle_set(t) for i, t in texts[0].items()}
-    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
-    left = sorted(texts[1])
-    assert not any(near(sets[a], sets[b]) for a in left for b in left if a < b)
-    assert all(any(near(sets[i], sets[j]) for j in texts[0] if j < i) for i in set(texts[0]) - set(texts[1]))
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    first = {i: i for i in texts[0]}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and near(sets[a], sets[b]) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = {i: low if f == high else f for i, f in first.items()}
+    assert set(texts[1]) == set(first.values())
     # Repeats: all rows stay; no string of 400 bytes of the input that occurred twice is left.
     assert set(texts[2]) == set(texts[1])
     seen, twice = set(), set()
@@ -52,6 +56,8 @@ def test_stages_in_order(spark):
     assert max(used.values()) <= 2048 and len(used) <= 1.02 * -(-sum(used.values()) // 2048) + 1
 
 
-def test_run_gives_the_same_documents(spark):
-    ids = {r.doc_id for r in pipeline.run(spark, SF).select("doc_id").collect()}
-    assert 0 < len(ids) <= 200
+def test_two_runs_can_both_be_read(spark):
+    first = pipeline.run(spark, SF)
+    second = pipeline.run(spark, SF)
+    rows = [sorted((r.doc_id, r.piece, r.length) for r in out.collect()) for out in (first, second)]
+    assert rows[0] == rows[1] and 0 < len({x[0] for x in rows[0]}) <= 200
