@@ -8,6 +8,8 @@ next stage reads it. All but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +18,22 @@ from tidemark.llm import decontaminate, near_dedup, packing, quality_rules, repe
 from tidemark.llm.common import Scratch, with_row_ids
 from tidemark.session import configure
 
-_previous: list[Scratch] = []
+_open = threading.local()
+_single: list[Scratch] = []
 
 
 def _scratch(spark: SparkSession, name: str) -> Scratch:
-    """A stage's own tables. Those of the stage before go, as its result has been written."""
-    while _previous:
-        if (old := _previous.pop()).spark is spark:
+    """A stage's own tables. `run` removes those of its own stages. Whoever calls the stages one by one
+    writes each result before the next call, so that call removes the tables of the one before."""
+    scratch = Scratch(spark, name, "zstd")
+    if (stages := getattr(_open, "stages", None)) is not None:
+        stages.append(scratch)
+        return scratch
+    while _single:
+        if (old := _single.pop()).spark is spark:
             old.clear()
-    _previous.append(Scratch(spark, name))
-    return _previous[-1]
+    _single.append(scratch)
+    return scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +60,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     out = repeats.remove_repeats(docs, _scratch(spark, "repeats"), [*carry, "n_chars"], with_text=True, words=51)
     text = F.col("kept_text")
     return out.select(*(
-        text.alias(c) if c == "text" else F.when(F.col("n_spans") > 0, F.length(text)).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars"
+        text.alias(c) if c == "text" else F.when(F.col("n_spans") + F.col("n_passages") > 0, F.length(text)).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars"
         else F.col("row")[c].alias(c) for c in docs.columns))
 
 
@@ -78,14 +86,22 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again. The result is
+    lazy: the tables of its last stage and the documents it reads stay, those of earlier stages go."""
     docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    results = Scratch(spark, "pipeline")
+    results, outer = Scratch(spark, "pipeline", "zstd"), getattr(_open, "stages", None)
     for k, (_, stage) in enumerate(STAGES):
-        last = k == len(STAGES) - 1
-        out = stage(spark, docs, sf_dir)
-        docs = out if last else results.write(out, f"stage-{k}")
-        if k and not last:
+        _open.stages = []
+        try:
+            out = stage(spark, docs, sf_dir)
+            if k == len(STAGES) - 1:
+                return out
+            docs = results.write(out, f"stage-{k}")
+            for scratch in _open.stages:
+                scratch.clear()
+        finally:
+            _open.stages = outer
+        if k:
             results.drop(f"stage-{k - 1}")
     return docs
 
