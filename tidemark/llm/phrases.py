@@ -40,7 +40,7 @@ class Limits:
 
     partition_bytes: int = 8 << 20  # text for each hash partition
     filter_bytes: int = 32 << 20  # the filter that all tasks read
-    flush: int = 1 << 20  # occurrences that a task holds before it sends a summary
+    flush: int = 1 << 19  # occurrences that a task holds before it sends a summary
     room: int = 1 << 16  # counters that a partition may keep in any case
 
 
@@ -124,6 +124,7 @@ def _held(batches: Iterator[pa.RecordBatch], max_words: int, flush: int) -> Iter
             if size > flush:
                 yield held
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield held
 
@@ -172,7 +173,7 @@ def _merge(threshold: int, room: int):
             keys = np.unique(np.concatenate([summary.frequent(threshold), *sure])) if summary else np.zeros(0, np.uint32)
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], ["p", "keys", "n"])
 
-        for batch in batches:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
             for p, what, m, some, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("p", "what", "mass", "sure", "keys", "counts")), strict=True):
                 if p != now:
                     if now is not None:
@@ -314,7 +315,7 @@ def collocations(
     blanks and tabs. a, l and r are occurrences of the phrase and of its two parts at the lowest-scoring
     cut, n those of all words. Ties go to the more frequent phrase, then by its bytes. A null text is
     empty, a null language `und`; repeated rows count again; other columns are ignored; an empty table
-    gives no rows. Counts are sums over equal strings; within one task's part of some 3 MB, phrases
+    gives no rows. Counts are sums over equal strings; within one task's part of some 2 MB, phrases
     with equal 64-bit hashes count as equal.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
