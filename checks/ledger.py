@@ -239,9 +239,10 @@ def j12_unlisted_categories(spark, sf):
     return ledger.unlisted_categories(booked_receipts(spark, sf), listed).select("line", "category")
 
 
-@register("l10_category_deviations", g.with_(LEDGER_SQL) + """, c AS (SELECT client, merchant, category, count(*) AS n FROM booked GROUP BY ALL),
-u AS (SELECT client, merchant, category AS usual_category FROM (SELECT *, row_number() OVER (PARTITION BY client, merchant ORDER BY n DESC, category) AS rn FROM c) WHERE rn = 1)
-SELECT line, category, usual_category FROM booked JOIN u USING (client, merchant) WHERE category <> usual_category""")
+@register("l10_category_deviations", g.with_(LEDGER_SQL) + """, h AS (SELECT a.line, a.category, b.category AS earlier, count(*) AS n
+  FROM booked a JOIN booked b ON b.client = a.client AND b.merchant = a.merchant AND b.line < a.line GROUP BY ALL),
+u AS (SELECT line, category, earlier AS usual_category FROM h QUALIFY row_number() OVER (PARTITION BY line ORDER BY n DESC, earlier) = 1)
+SELECT line, category, usual_category FROM u WHERE category <> usual_category""")
 def l10_category_deviations(spark, sf):
     return ledger.category_deviations(booked_receipts(spark, sf)).select("line", "category", "usual_category")
 

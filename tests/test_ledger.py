@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.catalog import LEDGER_COLUMNS
 from tidemark.operators import aggregate, ledger
+from tidemark.operators.components import components
 from tidemark.plans import ledger_run
 from tidemark.sources import exports, files
 
@@ -68,6 +70,54 @@ def test_long_chain_of_look_alikes(spark):
     assert filed(spark, batch, [], rounds=2) == brute(batch, [])
 
 
+def test_ten_thousand_look_alikes_in_a_chain(spark):
+    """As above in an order of its own; every second one is written, whatever the size of a block."""
+    batch = [("c", i, "Shell", f"n{(i + 1) // 2}", date(2026, 3, 1), Decimal(i // 2), False, "") for i in range(10_000)]
+    batch += [("c", 10_000 + i, "Shell", f"x{i}", date(2026, 4, 1), Decimal(i), False, "") for i in range(500)]
+    got = filed(spark, batch, [], rounds=1, block=4000)
+    assert {i for i in range(10_000) if got[i][0] == "written"} == set(range(0, 10_000, 2))
+    assert all(got[i][1] == i - 1 for i in range(1, 10_000, 2)) and all(got[i][0] == "written" for i in range(10_000, 10_500))
+
+
+@pytest.mark.parametrize(("seed", "block"), [(4, 20), (6, 35)])
+def test_a_group_larger_than_a_block(spark, seed, block):
+    rng = random.Random(seed)
+    batch = [("c1", s, "Shell", rng.choice(["", None, *"abcdefgh"]), date(2026, 3, rng.randint(1, 4)), Decimal(rng.randint(1, 4)), rng.random() < 0.1, "")
+             for s in range(70)]
+    batch += [(None, 70, "Shell", "a", date(2026, 3, 1), Decimal(1), False, ""), (None, 71, "Shell", "a", date(2026, 3, 1), Decimal(1), False, "")]
+    got = filed(spark, batch, [], rounds=0, block=block)
+    assert {k: v for k, v in got.items() if k < 70} == brute(batch[:70], []) and got[70][0] == got[71][0] == "written"
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(i, i + 1) for i in range(1000, 1900)] + [(5000, i) for i in range(4000, 4100)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_counted_before(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("xy"), rng.randrange(60), i) for i in range(80)] + [("z", 5, 99)]
+    marks = [(rng.choice("xyw"), rng.randrange(60)) for _ in range(90)]
+    got = aggregate.counted_before(
+        spark.createDataFrame(rows, "k string, at bigint, i bigint"), spark.createDataFrame(marks, "k string, at bigint"), ["k"], "at", "before", width=7).collect()
+    assert sorted((r.i, r.before) for r in got) == [(i, sum(m == k and t < at for m, t in marks)) for k, at, i in sorted(rows, key=lambda r: r[2])]
+
+
 def test_a_hot_key_is_split(spark):
     """One key with nine rows of ten: adaptive execution splits it, as the other side is a table."""
     settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
@@ -125,6 +175,41 @@ def test_whitelist(spark):
     assert got == {"SEMRUSH*SUBSCRIPTION", "CANVA* I04321", "Tesco Stores 4471"}
 
 
+def test_whitelist_of_long_names_and_texts(spark):
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "of", "the", "x1"]
+    vendors = [("c", " ".join(rng.choice(words) for _ in range(n)) + rng.choice(["", " Ltd", " Inc."])) for n in (1, 2, 2, 3, 5, 9, 12) for _ in range(4)]
+    vendors += [("c", "never seen"), ("c", "..."), ("d", "alpha")]
+    merchants = [("c", rng.choice(["", "* "]) + rng.choice(["-", " ", " & "]).join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for _ in range(150)]
+    merchants += [("c", v) for _, v in vendors[:20:3]] + [("d", "Alpha!"), ("c", "")]
+
+    def plain(text):
+        return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+    listed = {(c, re.sub("( (ltd|inc))+$", "", plain(v))) for c, v in vendors if plain(v)}
+    want = {m for m in merchants if any(c == m[0] and f" {v} " in f" {plain(m[1])} " for c, v in listed)}
+    got = {tuple(r) for r in ledger.whitelist_matches(
+        spark.createDataFrame(merchants, "client string, merchant string"), spark.createDataFrame(vendors, "client string, vendor string")).collect()}
+    assert got == want and 20 < len(want) < len(set(merchants))
+
+
+@pytest.mark.parametrize("width", [1_000_000, 7])
+def test_category_deviations_look_back_only(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice("cd"), rng.choice(["Shell", "SHELL.", "Tesco"]), rng.choice(["Fuel", "Meals", "Travel", None]), i) for i in range(200)]
+    rng.shuffle(rows)
+    got = {r.line: r.usual_category for r in ledger.category_deviations(
+        spark.createDataFrame(rows, "client string, merchant string, category string, line bigint"), width=width).collect()}
+    want, seen = {}, {}
+    for client, merchant, category, line in sorted(rows, key=lambda r: r[3]):
+        counts = seen.setdefault((client, key(merchant)), {})
+        if category is not None:
+            if counts and (usual := min(counts, key=lambda c: (-counts[c], c))) != category:
+                want[line] = usual
+            counts[category] = counts.get(category, 0) + 1
+    assert got == want and len(want) > 50
+
+
 def test_whitelist_never_clears_a_reading_question(spark):
     rows = spark.createDataFrame([("c", "Tesco", ["personal_spending", "foreign_currency"]), ("c", "Shell", ["personal_spending"])],
                                  "client string, merchant string, reasons array<string>")

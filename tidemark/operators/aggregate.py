@@ -73,20 +73,36 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: s
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median of values with a small domain (rounded rates), with the row count.
+def exact_median(
+    df: DataFrame, keys: list[str], value: str, out: str = "median", most: int | None = 1_000_000
+) -> DataFrame:
+    """Exact median of any values, unrounded, with the row count.
 
-    Rows collapse to one per distinct value first, so a group never exceeds the domain whatever
-    the number of rows behind it.
+    Rows collapse to one per distinct value first. Where no key has more than `most` of them, one
+    window per key does; None says that the domain of the values sees to that. Else the values are range-partitioned by key and value, so a big key
+    spans many tasks, and every stretch is shifted by the rows of the stretches before it.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    )
-    w = Window.partitionBy(*keys)
-    running = w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumns(
-        {"_upto": F.sum("_n").over(running), "_all": F.sum("_n").over(w)}
-    )
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    largest = 0
+    if most is not None:
+        counted = stage(counted, "median-values")
+        largest = counted.groupBy(*keys).agg(F.count("*").alias("_k")).agg(F.max("_k")).first()[0] or 0
+    if most is None or largest <= most:
+        w = Window.partitionBy(*keys)
+        placed = counted.withColumns({
+            "_upto": F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_all": F.sum("_n").over(w)})
+    else:
+        ranged = stage(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "median-ranged")
+        sums = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+        w = Window.partitionBy(*keys)
+        # One figure per key and stretch.
+        offsets = sums.withColumns({
+            "_before": F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_all": F.sum("_sum").over(w)}).drop("_sum")
+        inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = ranged.withColumn("_inside", F.sum("_n").over(inside)).join(offsets, [*keys, "_part"]).withColumn(
+            "_upto", F.col("_inside") + F.col("_before"))
     low = F.floor((F.col("_all") + 1) / 2)
     high = F.floor((F.col("_all") + 2) / 2)
     before = F.col("_upto") - F.col("_n")
@@ -177,3 +193,47 @@ def ranked_all(df: DataFrame, keys: list[str], order: list[str], out: str) -> Da
         .withColumn(out, F.col("_inside") + F.col("_before"))
         .drop("_part", "_inside", "_before")
     )
+
+
+def counted_before(
+    rows: DataFrame, marks: DataFrame, keys: list[str], at: str, out: str, width: int = 1_000_000
+) -> DataFrame:
+    """How many `marks` (keys and `at`) of a row's key lie before the row's own `at`, a whole number.
+
+    Equal marks become one with a count. Numbers are cut into blocks: whole blocks before a row's
+    come from prefix sums over one figure per block, the rest from a window inside the block, which
+    holds `width` different marks at most. So a key of any size is spread over many tasks.
+    """
+    block = F.expr(f"{at} div {width}")
+    weighed = marks.groupBy(*keys, at).agg(F.count("*").alias("_n")).withColumn("_block", block)
+    placed = rows.withColumn("_block", block)
+    sums = weighed.select(*keys, "_block", "_n").unionByName(
+        placed.select(*keys, "_block").distinct().withColumn("_n", F.lit(0).cast("bigint")))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # At equal places rows come first, as a mark there is not before them.
+    both = placed.withColumn("_mark", F.lit(0)).unionByName(
+        weighed.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_block").orderBy(at, "_mark").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).filter("_mark = 0")
+    return counted.join(offsets, [*keys, "_block"]).withColumn(
+        out, F.col("_inside") + F.col("_before")).drop("_block", "_mark", "_n", "_inside", "_before")
+
+
+def least_before(
+    rows: DataFrame, keys: list[str], seq: str, value: str, out: str, width: int = 1_000_000
+) -> DataFrame:
+    """The least `value` among earlier rows of the key, in the order of a whole-number sequence.
+
+    As in `numbered`, blocks of the sequence are looked at by themselves and joined to the least
+    value of all blocks before. `seq` is unique; the first row of a key gets null.
+    """
+    blocks = rows.withColumn("_block", F.expr(f"{seq} div {width}"))
+    least = blocks.groupBy(*keys, "_block").agg(F.min(value).alias("_least"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = least.withColumn("_before", F.min("_least").over(before)).drop("_least")
+    inside = Window.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("_inside", F.min(value).over(inside)).join(offsets, [*keys, "_block"])
+    return placed.withColumn(out, F.least("_inside", "_before")).drop("_block", "_inside", "_before")

@@ -18,7 +18,8 @@ from ..functions.text import (
     archive_folder, archive_stem, currency_code, extension, merchant_key, money,
 )
 from ..session import stage
-from .aggregate import attach, join_unique, numbered, top_per
+from .aggregate import attach, counted_before, join_unique, least_before, numbered
+from .components import components
 
 
 def check_rows(raw: DataFrame) -> DataFrame:
@@ -83,6 +84,8 @@ AMOUNT_KEY = ["client", "merchant_key", "purchase_date", "gross_amount"]
 
 # Rounds in which independent rows of a batch settle at once; what is left is filed in order.
 PARALLEL_ROUNDS = 6
+# Rows of one group of look-alikes that a task files in order at a time.
+FILING_BLOCK = 100_000
 
 
 def _position(rank: int, at: str) -> Column:
@@ -125,34 +128,83 @@ def find_duplicates(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     """Batch rows with the first ledger line that looks like them.
 
     Both need client, merchant, receipt_number, purchase_date and gross_amount; the ledger has
-    `line`. On the same line a number match counts before a match of date and amount.
+    `line`. On the same line a number match counts before a match of date and amount. Of the ledger
+    only the keys of the batch are written and joined.
     """
+    rows = with_match_keys(batch)
     booked = with_match_keys(ledger).withColumn("pos", _position(0, "line"))
-    return _described(_first_hits(with_match_keys(batch), *_firsts(booked))).drop("duplicate_in_batch")
+    return _described(_first_hits(rows, *_firsts_for(rows, booked))).drop("duplicate_in_batch")
+
+
+def _firsts_for(rows: DataFrame, booked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first positions of the keys that `rows` have."""
+    numbers = rows.filter("number_key IS NOT NULL").select(*NUMBER_KEY).distinct()
+    return (_firsts(booked.join(numbers, NUMBER_KEY, "left_semi"))[0],
+            _firsts(booked.join(rows.select(*AMOUNT_KEY).distinct(), AMOUNT_KEY, "left_semi"))[1])
 
 
 def _file_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """File rows one after the other; they come by client and merchant, in the order of the batch."""
-    group, numbers, amounts = None, set(), set()
+    """File rows one after the other; they come by component, in the order of the batch."""
+    component, numbers, amounts = None, set(), set()
     for df in batches:
         states = []
-        for client, merchant, number, day, gross, force, dup in zip(
-                df.client, df.merchant_key, df.number_key, df.purchase_date, df.gross_amount, df.force, df.dup, strict=True):
-            if (client, merchant) != group:
-                group, numbers, amounts = (client, merchant), set(), set()
-            # As in a join, a missing date or amount matches nothing.
-            amount = (day, gross) if day is not None and gross is not None and client is not None else None
-            if dup or (number and number in numbers) or (amount and amount in amounts):
-                states.append("written" if force else "duplicate")
-            else:
-                states.append("written")
-            if states[-1] == "written":
-                numbers.add(number)
-                amounts.add(amount)
+        for group, client, merchant, number, day, gross, force, dup in zip(
+                df.component, df.client, df.merchant_key, df.number_key, df.purchase_date, df.gross_amount, df.force, df.dup, strict=True):
+            if group != component:
+                component, numbers, amounts = group, set(), set()
+            # As in a join, a missing part of a key matches nothing.
+            by_number = (client, merchant, number) if None not in (client, merchant, number) else None
+            by_amount = (client, merchant, day, gross) if None not in (client, merchant, day, gross) else None
+            if not force and (dup or by_number in numbers or by_amount in amounts):
+                states.append("duplicate")
+                continue
+            states.append("written")
+            numbers |= {by_number} - {None}
+            amounts |= {by_amount} - {None}
         yield pd.DataFrame({"seq": df.seq, "state": states})
 
 
-def file_batch(batch: DataFrame, ledger: DataFrame, rounds: int = PARALLEL_ROUNDS) -> DataFrame:
+def _marked(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """Open rows, as duplicates where an earlier one of `written` looks like them."""
+    new_number, new_amount = _firsts(written, "new")
+    hit = attach(attach(rows, new_number, NUMBER_KEY, ["seq"], salts=8), new_amount, AMOUNT_KEY, ["seq"], salts=8)
+    return stage(hit.withColumn("dup", F.expr(
+        "dup OR coalesce(number_new < pos, false) OR coalesce(amount_new < pos, false)")).drop("number_new", "amount_new"), "batch-open")
+
+
+def _file_components(waiting: DataFrame, block: int) -> list[DataFrame]:
+    """Settle open rows in order: (seq, state) frames.
+
+    Rows that share a number, or a date and amount, with open rows make a component; components do
+    not depend on each other and are filed side by side. One with more rows than a block goes in
+    blocks of its order: what a block has written marks the rows after it before the next one. A task
+    holds the keys of one block. If all that is open fits in one, merchants stand for components.
+    """
+    if waiting.count() <= block:
+        merchants = waiting.withColumn("component", F.xxhash64("client", "merchant_key"))
+        return [merchants.repartition("component").sortWithinPartitions("component", "seq").mapInPandas(
+            _file_in_order, "seq bigint, state string")]
+    first_number, first_amount = _firsts(waiting, "first")
+    near = attach(attach(waiting, first_number, NUMBER_KEY, ["seq"], salts=8), first_amount, AMOUNT_KEY, ["seq"], salts=8)
+    at = F.col("seq").cast("bigint")
+    links = near.select(F.explode(F.array("number_first.at", "amount_first.at")).alias("a"), at.alias("b")).filter("a IS NOT NULL")
+    joined = waiting.withColumn("node", at).join(components(links), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")).drop("node")
+    joined = stage(numbered(joined, ["component"], "seq", "nth").withColumn("block", F.expr(f"(nth - 1) div {block}")).drop("nth"), "batch-components")
+    last, settled = joined.agg(F.max("block")).first()[0], []
+    for b in range((last or 0) + 1):
+        filed = stage(joined.filter(F.col("block") == b).repartition("component").sortWithinPartitions("component", "seq").mapInPandas(
+            _file_in_order, "seq bigint, state string"), "batch-filed")
+        settled.append(filed)
+        if b < (last or 0):
+            written = joined.join(filed.filter("state = 'written'").select("seq"), "seq", "left_semi")
+            joined = _marked(joined.filter(F.col("block") > b), written)
+    return settled
+
+
+def file_batch(
+    batch: DataFrame, ledger: DataFrame, rounds: int = PARALLEL_ROUNDS, block: int = FILING_BLOCK
+) -> DataFrame:
     """Decide every row of a batch as if rows were filed one at a time in the order of `seq`.
 
     A row is a duplicate when an earlier row that was itself written looks like it; a stopped row
@@ -160,16 +212,13 @@ def file_batch(batch: DataFrame, ledger: DataFrame, rounds: int = PARALLEL_ROUND
 
     The ledger shrinks once to the keys of the batch. A round then settles all rows whose earlier
     look-alikes are settled and carries on with the others only. Chains of look-alikes that are
-    longer than the rounds are filed in order, by client and merchant, in one streaming pass that
-    keeps the keys written so far. `seq` is unique in the batch.
+    longer than the rounds are filed in order, each connected group of them by itself and a large one
+    in blocks. `seq` is unique in the batch.
     """
     keys = ["client", "merchant_key", "number_key", "purchase_date", "gross_amount"]
     rows = stage(with_match_keys(batch), "batch")
     booked = with_match_keys(ledger).withColumn("pos", _position(0, "line")).select(*keys, "pos")
-    wanted_numbers = rows.filter("number_key IS NOT NULL").select(*NUMBER_KEY).distinct()
-    old_number, old_amount = (stage(first, "ledger-keys") for first in (
-        _firsts(booked.join(wanted_numbers, NUMBER_KEY, "left_semi"))[0],
-        _firsts(booked.join(rows.select(*AMOUNT_KEY).distinct(), AMOUNT_KEY, "left_semi"))[1]))
+    old_number, old_amount = (stage(first, "ledger-keys") for first in _firsts_for(rows, booked))
     waiting = rows.select("seq", *keys, F.coalesce("force", F.lit(False)).alias("force"), _position(1, "seq"))
     waiting = _first_hits(waiting, old_number, old_amount).withColumn(
         "dup", F.expr("number_pos IS NOT NULL OR amount_pos IS NOT NULL")).drop("number_pos", "amount_pos")
@@ -182,16 +231,11 @@ def file_batch(batch: DataFrame, ledger: DataFrame, rounds: int = PARALLEL_ROUND
             "WHEN coalesce(number_first, pos) = pos AND coalesce(amount_first, pos) = pos THEN 'written' "
             "ELSE 'open' END")).drop("number_first", "amount_first"), "batch-judged")
         settled.append(judged.filter("state <> 'open'").select("seq", "state"))
-        new_number, new_amount = _firsts(judged.filter("state = 'written'"), "new")
-        still = attach(attach(judged.filter("state = 'open'").drop("state"), new_number, NUMBER_KEY, ["seq"], salts=8),
-                       new_amount, AMOUNT_KEY, ["seq"], salts=8)
-        waiting = stage(still.withColumn("dup", F.expr(
-            "dup OR coalesce(number_new < pos, false) OR coalesce(amount_new < pos, false)")).drop("number_new", "amount_new"), "batch-open")
+        waiting = _marked(judged.filter("state = 'open'").drop("state"), judged.filter("state = 'written'"))
         if waiting.isEmpty():
             break
     else:
-        settled.append(waiting.repartition("client", "merchant_key").sortWithinPartitions(
-            "client", "merchant_key", "seq").mapInPandas(_file_in_order, "seq bigint, state string"))
+        settled += _file_components(waiting, block)
     states = stage(reduce(DataFrame.unionByName, settled), "batch-states")
     rows = rows.withColumn("seq", F.col("seq").cast("bigint")).join(states, "seq").withColumn("pos", _position(1, "seq"))
     written = rows.filter("state = 'written'").select(*keys, "pos")
@@ -222,14 +266,10 @@ def archive_names(rows: DataFrame, archived: DataFrame | None = None) -> DataFra
     moving = numbered(named.filter("NOT already_in_place"), keys, "seq", "n")
     if archived is not None:
         # Before the j-th taken number t lie t - j free ones; the k-th new file skips all that come
-        # before it, the j with t - j < k. A running count over both gives their number.
-        taken = archived.select(*keys, "n").distinct().withColumn(
-            "at", F.col("n") - F.row_number().over(Window.partitionBy(*keys).orderBy("n")))
-        places = moving.select(*keys, F.col("n").cast("bigint").alias("at"), "seq").unionByName(
-            taken.select(*keys, F.col("at").cast("bigint").alias("at"), F.lit(None).cast(moving.schema["seq"].dataType).alias("seq")))
-        order = Window.partitionBy(*keys).orderBy("at", F.col("seq").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        skipped = places.withColumn("skip", F.count_if(F.col("seq").isNull()).over(order)).filter("seq IS NOT NULL")
-        moving = moving.join(skipped.select("seq", "skip"), "seq").withColumn("n", F.col("n") + F.col("skip")).drop("skip")
+        # before it, the j with t - j < k.
+        taken = numbered(archived.select(*keys, "n").distinct(), keys, "n", "j").select(*keys, (F.col("n") - F.col("j")).cast("bigint").alias("n"))
+        moving = counted_before(moving.withColumn("n", F.col("n").cast("bigint")), taken, keys, "n", "skip").withColumn(
+            "n", F.col("n") + F.col("skip")).drop("skip")
     placed = moving.withColumn("file_path", F.expr(
         "concat(folder, '/', stem, if(n > 1, concat('-', n), ''), '.', ext)")).drop("n")
     kept = named.filter("already_in_place").withColumn("file_path", F.col("source_path"))
@@ -268,22 +308,29 @@ def whitelist_matches(rows: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Client and merchant pairs that an approved vendor's name covers.
 
     A vendor matches when its words, without corporate suffix, appear as consecutive words of the
-    merchant text. Distinct merchants are unnested into their word runs and joined on equality, so
-    no pair of merchant and vendor is compared that shares no words.
+    merchant text. Merchants and vendors meet at the vendor's word that is rarest in the client's merchant
+    texts; there the other words are compared. So a text costs a row per word, whatever the length of the
+    longest name, and a name of common words is looked up by its least common one.
     """
     suffixes = "|".join([*LEGAL_SUFFIXES, "us", "uk"])
     words = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' '))"
-    vendors = whitelist.select("client", F.expr(
-        f"trim(regexp_replace({words.format('vendor')}, '( ({suffixes}))+$', ''))").alias("run")
-    ).filter("run <> ''").distinct()
-    merchants = rows.select("client", "merchant").distinct().withColumn(
-        "w", F.expr(f"split({words.format('merchant')}, ' ')"))
-    # No run is longer than the longest vendor name, so a page of text gives a run per word and length.
-    longest = vendors.agg(F.coalesce(F.max(F.size(F.split("run", " "))), F.lit(0)))
-    runs = merchants.withColumn("longest", longest.scalar()).select("client", "merchant", F.explode(F.expr(
-        "flatten(transform(sequence(1, size(w)), i -> transform(sequence(i, least(size(w), i + greatest(longest, 1) - 1)), "
-        "j -> array_join(slice(w, i, j - i + 1), ' '))))")).alias("run"))
-    return runs.join(vendors, ["client", "run"], "left_semi").select("client", "merchant").distinct()
+    name = f"trim(regexp_replace({words.format('vendor')}, '( ({suffixes}))+$', ''))"
+    vendors = stage(whitelist.select("client", F.expr(name).alias("name")).filter("name <> ''").distinct().select(
+        "client", F.split("name", " ").alias("v")), "vendors")
+    merchants = rows.select("client", "merchant").distinct().select(
+        "client", "merchant", F.split(F.expr(words.format("merchant")), " ").alias("w"))
+    places = stage(merchants.select("client", "merchant", "w", F.posexplode("w").alias("at", "word")), "merchant-words")
+    listed = vendors.select("client", "v", F.posexplode("v").alias("offset", "word"))
+    # Only words of vendor names are counted, in one row each.
+    common = places.join(listed.select("client", "word").distinct(), ["client", "word"], "left_semi").groupBy(
+        "client", "word").agg(F.count("*").alias("n"))
+    # A name with a word that occurs nowhere matches nowhere.
+    index = listed.join(common, ["client", "word"], "left").groupBy("client", "v").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rarest")).filter("rarest.n > 0").select(
+        "client", "v", "rarest.word", "rarest.offset")
+    found = places.join(stage(index, "vendor-index"), ["client", "word"]).filter(
+        "at >= offset AND slice(w, at - offset + 1, size(v)) = v")
+    return found.select("client", "merchant").distinct()
 
 
 def cleared_reasons(rows: DataFrame, approved: DataFrame) -> DataFrame:
@@ -300,14 +347,20 @@ def unlisted_categories(rows: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.join(categories.select("client", "category"), ["client", "category"], "left_anti")
 
 
-def category_deviations(rows: DataFrame) -> DataFrame:
-    """Rows booked under another category than the merchant usually has."""
+def category_deviations(rows: DataFrame, order: str = "line", width: int = 1_000_000) -> DataFrame:
+    """Rows booked under another category than the merchant had had until then.
+
+    The usual category of a row is the most frequent one of the merchant's earlier rows, by the order
+    of the ledger; the first name of several. Counts only grow, so the highest count that any earlier
+    row brought its category to is that of the usual one. `order` is a whole number, unique per client.
+    """
     keyed = rows.withColumn("merchant_key", merchant_key(F.col("merchant")))
-    counts = keyed.groupBy("client", "merchant_key", "category").agg(F.count("*").alias("n"))
-    usual = top_per(counts, ["client", "merchant_key"],
-                    [F.col("n").desc(), F.col("category").asc()], 1).select(
-        "client", "merchant_key", F.col("category").alias("usual_category"))
-    return join_unique(keyed, usual, ["client", "merchant_key"]).filter(
+    merchant = ["client", "merchant_key"]
+    # Rows without a category say nothing about the usual one and deviate from none.
+    known = numbered(keyed.filter("category IS NOT NULL"), [*merchant, "category"], order, "_nth", width)
+    reached = known.withColumn("_reached", F.struct((-F.col("_nth")).alias("n"), "category"))
+    seen = least_before(reached, merchant, order, "_reached", "_usual", width)
+    return seen.withColumn("usual_category", F.col("_usual.category")).drop("_nth", "_reached", "_usual").filter(
         "category <> usual_category")
 
 
