@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.catalog import (
     ECOMMERCE_KPIS, SEGMENT_CSV_METRICS, WEB_FLOORS, WEB_KPIS,
 )
 from tidemark.functions.compare import long_kpis
-from tidemark.operators import timeseries, web, web_findings
+from tidemark.operators import day_partials, timeseries, user_bitmaps, web, web_findings, web_history
 from tidemark.operators.findings import union_findings
 from tidemark.operators.periods import calendar, flag
-from tidemark.session import stage
+from tidemark.session import fresh_path, stage
 
 from . import sqlgen as g
 from .views import EVENT_SQL, EVENT_WINDOWS, web_events
@@ -34,6 +36,14 @@ def sessions(spark, sf):
     return flag(s, EVENT_WINDOWS)
 
 
+def kept_sessions(spark, sf, **options):
+    """The same from tables of first days that are kept in three steps, and the events of the windows."""
+    path, events = fresh_path(spark, "first-seen"), web_events(spark, sf)
+    for through in (date(2024, 1, 4), date(2024, 1, 17), date(2024, 1, 30)):
+        web_history.keep(events, path, through)
+    return web_history.windowed_sessions(events, EVENT_WINDOWS, path, **options)
+
+
 def staged(spark, sf):
     """Sessions as a table, for queries that read them more than once."""
     return stage(sessions(spark, sf), "sessions")
@@ -142,6 +152,19 @@ def a26_new_user_share(spark, sf):
     return web.new_user_share(web.totals(sessions(spark, sf)))
 
 
+@register("a26_kept_new_user_share", ORACLE["a26_new_user_share"])
+def a26_kept_new_user_share(spark, sf):
+    """New users from kept first days: the history of events is not read again."""
+    return web.new_user_share(web.totals(kept_sessions(spark, sf, first_channel=False)))
+
+
+@register("c1_c5_kept_web_kpis", ORACLE["c1_c5_web_kpis"])
+def c1_c5_kept_web_kpis(spark, sf):
+    return long_kpis(web.kpis_wide(web.totals(kept_sessions(spark, sf, first_channel=False))), ALL, ["property_id"]).select(
+        "property_id", "position", "key", "label", "unit", "current", "previous", "absolute_change", "percent_change",
+        "availability", "direction", "verdict", "material")
+
+
 DIMS = {"channels": "channel", "devices": "device", "landing_pages": "landing_page", "geo_country": "country",
         "source_medium": "concat_ws(' / ', channel, device)"}
 LONG = "sl AS (" + " UNION ALL ".join(
@@ -202,6 +225,46 @@ def a11_first_user_channels(spark, sf):
     return c.select("property_id", "key", *[F.col(f"cur_{m}").cast("double").alias(f"cur_{m}") for m in ("totalUsers", "newUsers", "engagementRate")], "rank")
 
 
+@register("a11_kept_first_user_channels", ORACLE["a11_first_user_channels"])
+def a11_kept_first_user_channels(spark, sf):
+    c = web.ranked(web.all_breakdowns(kept_sessions(spark, sf), {"first_user_channels": "first_channel"}))
+    return c.select("property_id", "key", *[F.col(f"cur_{m}").cast("double").alias(f"cur_{m}") for m in ("totalUsers", "newUsers", "engagementRate")], "rank")
+
+
+THREE = {"all": (date(2024, 1, 1), date(2024, 1, 30)), "first days": (date(2024, 1, 1), date(2024, 1, 7)), "middle": (date(2024, 1, 12), date(2024, 1, 19))}
+BITMAP_SQL = SESS + ["bl AS (" + " UNION ALL ".join(f"SELECT *, '{d}' AS dataset, {c} AS key FROM sess" for d, c in {
+    "channels": "channel", "devices": "device", "all": "'all'"}.items()) + ")",
+    "bw AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, (a, b) in THREE.items()) + ") w(win, s, e))"]
+
+
+@register("a11_user_bitmaps", g.with_(*BITMAP_SQL) + """
+SELECT property_id, dataset, key, win AS window, count(DISTINCT user_id) AS totalUsers, count(DISTINCT user_id) FILTER (engaged) AS activeUsers,
+  count(DISTINCT user_id) FILTER (date = first_seen) AS newUsers, count(DISTINCT user_id) FILTER (key_events > 0) AS keyUsers,
+  count(DISTINCT user_id) FILTER (purchases > 0) AS totalPurchasers, count(DISTINCT user_id) FILTER (date = first_purchase) AS firstTimePurchasers
+FROM bl JOIN bw ON date BETWEEN s AND e GROUP BY ALL""")
+def a11_user_bitmaps(spark, sf):
+    """Users of three windows from one table of bitmaps per day and segment."""
+    seen = staged(spark, sf)
+    numbers = stage(user_bitmaps.user_numbers(seen), "user-numbers")
+    pieces = stage(user_bitmaps.day_bitmaps(seen, numbers, {"channels": "channel", "devices": "device", "all": "'all'"}), "user-bitmaps")
+    return user_bitmaps.distinct_users(pieces, THREE)
+
+
+@register("a06_kept_day_sums", g.with_(EVENT_SQL, f"we AS (SELECT *, {WINDOW_COLS} FROM webd)") + """
+SELECT property_id, event_name, count(*) FILTER (in_current) AS cur_rows, count(*) FILTER (in_previous) AS prev_rows,
+  CAST(sum(revenue) FILTER (in_current) AS DOUBLE) AS cur_revenue, CAST(sum(revenue) FILTER (in_previous) AS DOUBLE) AS prev_revenue,
+  sum(CAST(is_key AS INT)) FILTER (in_current) AS cur_key_events, sum(CAST(is_key AS INT)) FILTER (in_previous) AS prev_key_events
+FROM we WHERE in_current OR in_previous GROUP BY 1, 2""")
+def a06_kept_day_sums(spark, sf):
+    """A comparison from day sums that three refreshes have kept; each reads what was not final before."""
+    path, keys = fresh_path(spark, "day-sums"), ["property_id", "event_name"]
+    measures = {"revenue": F.col("revenue"), "key_events": F.col("is_key").cast("int")}
+    for arrived, final in ((date(2024, 1, 12), date(2024, 1, 9)), (date(2024, 1, 20), date(2024, 1, 20)), (date(2024, 1, 30), date(2024, 1, 27))):
+        day_partials.refresh(web_events(spark, sf).filter(F.col("date") <= F.lit(arrived)), path, keys, measures, final)
+    out = day_partials.compared(day_partials.read(spark, path), EVENT_WINDOWS, keys, [*measures])
+    return out.select(*keys, "cur_rows", "prev_rows", *(F.col(f"{p}revenue").cast("double").alias(f"{p}revenue") for p in ("cur_", "prev_")), "cur_key_events", "prev_key_events")
+
+
 @register("a11_p17_pages", g.with_(EVENT_SQL, f"we AS (SELECT *, {WINDOW_COLS} FROM webd)", """pg AS (SELECT property_id, page || ' / ' || country AS key,
     nullif(count(*) FILTER (in_current), 0) AS n, count(*) FILTER (in_current AND event_name = 'view') AS v, count(DISTINCT user_id) FILTER (in_current) AS u,
     CAST(coalesce(sum(revenue) FILTER (in_current), 0) AS DOUBLE) AS r, nullif(count(*) FILTER (in_previous), 0) AS pn, count(*) FILTER (in_previous AND event_name = 'view') AS pv
@@ -234,7 +297,7 @@ def an26_segment_movers(spark, sf):
         F.col("d_sessions.verdict").alias("verdict"), "rank")
 
 
-JUDGED = """jud AS (SELECT *, median(round(cur_engagementRate, 6)) OVER (PARTITION BY property_id) AS med, row_number() OVER (PARTITION BY property_id ORDER BY rank) AS jr
+JUDGED = """jud AS (SELECT *, median(cur_engagementRate) OVER (PARTITION BY property_id) AS med, row_number() OVER (PARTITION BY property_id ORDER BY rank) AS jr
   FROM capd WHERE dataset = 'landing_pages' AND cur_sessions >= 100)"""
 
 

@@ -8,7 +8,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregate, periods, timeseries, web
+from tidemark.operators import aggregate, day_partials, periods, timeseries, user_bitmaps, web
 from tidemark.operators.periods import Windows
 
 
@@ -67,15 +67,74 @@ def test_numbered_equals_row_number(spark):
     assert got == want
 
 
-def test_exact_median(spark):
+@pytest.mark.parametrize("most", [None, 1_000_000, 10])
+def test_exact_median(spark, most):
     rng = random.Random(7)
-    data = [(rng.choice("aabc"), round(rng.random() * 20, 2)) for _ in range(2000)] + [("one", 4.25)]
+    data = [(rng.choice("aaaaaabc"), rng.choice([rng.random() * 20, rng.gauss(0, 1e-9), 5.0])) for _ in range(3000)] + [("one", 4.25), ("one", None)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r["k"]: (r["median"], r["rows"]) for r in aggregate.exact_median(df, ["k"], "v").collect()}
+    got = {r["k"]: (r["median"], r["rows"]) for r in aggregate.exact_median(df, ["k"], "v", most=most).collect()}
     groups = defaultdict(list)
     for k, v in data:
-        groups[k].append(v)
-    assert got == {k: (pytest.approx(statistics.median(v)), len(v)) for k, v in groups.items()}
+        if v is not None:
+            groups[k].append(v)
+    assert got == {k: (statistics.median(v), len(v)) for k, v in groups.items()}
+    assert aggregate.exact_median(df.limit(0), ["k"], "v", most=most).count() == 0
+
+
+def test_users_of_any_days_from_bitmaps(spark):
+    rng = random.Random(9)
+    day = date(2026, 1, 1)
+    rows = [("p", rng.randrange(70_000) if rng.random() < 0.7 else rng.randrange(50), day + timedelta(days=rng.randrange(20)), rng.choice("ab"), rng.random() < 0.5,
+             rng.randrange(2), rng.randrange(2)) for _ in range(4000)]
+    sessions = spark.createDataFrame(rows, "property_id string, user_id bigint, date date, channel string, engaged boolean, key_events int, purchases int").withColumns(
+        {"first_seen": F.lit(day), "first_purchase": F.lit(None).cast("date")})
+    old = user_bitmaps.user_numbers(sessions.filter("date < DATE '2026-01-08'"))
+    numbers = user_bitmaps.user_numbers(sessions, old).cache()
+    assert numbers.agg(F.max("number")).first()[0] == numbers.count() == len({r[1] for r in rows})
+    assert old.join(numbers, ["property_id", "user_id", "number"], "left_anti").count() == 0
+    pieces = user_bitmaps.day_bitmaps(sessions, numbers, {"channel": "channel"})
+    windows = {"x": (day, day), "y": (day + timedelta(days=3), day + timedelta(days=9)), "z": (day, day + timedelta(days=30))}
+    got = {(r.key, r.window): r for r in user_bitmaps.distinct_users(pieces, windows).collect()}
+    for (key, name), r in got.items():
+        mine = [x for x in rows if x[3] == key and windows[name][0] <= x[2] <= windows[name][1]]
+        assert r.totalUsers == len({x[1] for x in mine}) and r.activeUsers == len({x[1] for x in mine if x[4]})
+        assert r.totalPurchasers == len({x[1] for x in mine if x[6]}) and r.newUsers == len({x[1] for x in mine if x[2] == day}) and r.firstTimePurchasers == 0
+    assert len(got) == 6
+    weeks = user_bitmaps.merged(pieces, ["property_id"]).groupBy("figure").agg(F.sum(F.expr("bitmap_count(users)")).alias("n")).collect()
+    assert {r.figure: r.n for r in weeks}["totalUsers"] == len({x[1] for x in rows})
+
+
+def test_day_sums_read_what_is_new(spark, tmp_path):
+    path, day = str(tmp_path / "sums"), date(2026, 1, 1)
+
+    def facts(last, late=0):
+        rows = [("p", k, day + timedelta(days=d), None if k == 2 else 10 * d + k + (late if d > 5 else 0)) for d in range(last + 1) for k in (1, 2, 3) if (d, k) != (7, 3) or not late]
+        return spark.createDataFrame(rows, "property_id string, k int, date date, v bigint")
+
+    measures, windows = {"v": F.col("v")}, Windows(day + timedelta(days=6), day + timedelta(days=9), day + timedelta(days=1), day + timedelta(days=5))
+
+    def compared():
+        out = day_partials.compared(day_partials.read(spark, path), windows, ["property_id", "k"], ["v"])
+        return sorted(tuple(r[c] for c in ("k", "cur_v", "prev_v", "cur_rows", "prev_rows")) for r in out.collect())
+
+    def direct(rows):
+        out = aggregate.two_period(periods.mark(rows, windows), ["property_id", "k"], measures)
+        return sorted(tuple(r[c] for c in ("k", "cur_v", "prev_v", "cur_rows", "prev_rows")) for r in out.collect())
+
+    day_partials.refresh(facts(8), path, ["property_id", "k"], measures, day + timedelta(days=5))
+    assert compared() == direct(facts(8))
+    # Days that were not final have changed, and one has lost a key; final ones are not looked at again.
+    wrong = facts(9, late=5).withColumn("v", F.expr("IF(date <= DATE '2026-01-06', -1000, v)"))
+    day_partials.refresh(wrong, path, ["property_id", "k"], measures, day + timedelta(days=8))
+    assert compared() == direct(facts(9, late=5))
+    assert day_partials.final_through(spark, path) == day + timedelta(days=8)
+    stored = str(tmp_path / "facts")
+    facts(10).write.parquet(stored)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = day_partials.facts_to_read(spark.read.parquet(stored), day_partials.final_through(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(date,2026-01-09)" in plan.split("PushedFilters: [")[1]
+    read = day_partials.compared(day_partials.read(spark, path), windows, ["property_id", "k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in read and "day" in read.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def series(spark, values, name, start=date(2026, 1, 5)):

@@ -151,7 +151,7 @@ def ctr_benchmarks(recs: DataFrame) -> DataFrame:
     usable = recs.filter(
         f"impressions >= {BENCHMARK_MIN_IMPRESSIONS} AND ctr IS NOT NULL AND band IS NOT NULL"
     )
-    medians = exact_median(usable, ["property_id", "band"], "ctr", "median_ctr")
+    medians = exact_median(usable, ["property_id", "band"], "ctr", "median_ctr", most=None)
     return medians.filter(F.col("rows") >= BENCHMARK_MIN_ROWS).withColumn(
         "median_ctr", rnd(F.col("median_ctr"), 2)
     )

@@ -261,14 +261,13 @@ def movers(segments: DataFrame, k: int) -> DataFrame:
 def judged_landing_pages(pages: DataFrame, min_sessions: int = WEB_MIN_SESSIONS, first: int = 15) -> DataFrame:
     """Landing pages with enough sessions, with their property's median engagement.
 
-    The median is exact over rates rounded to six places, whose domain bounds it for any number of
-    pages. `judged_rank` numbers the first pages by sessions and is null for the rest.
+    The median is exact over unrounded rates, for any number of pages. `judged_rank` numbers the first pages by sessions and is null for the rest.
     """
-    judged = pages.filter(F.col("cur_sessions") >= min_sessions).drop("rank").withColumn("_rate", F.round("cur_engagementRate", 6))
-    median = exact_median(judged, ["property_id"], "_rate", "median_engagement").drop("rows")
+    judged = pages.filter(F.col("cur_sessions") >= min_sessions).drop("rank")
+    median = exact_median(judged, ["property_id"], "cur_engagementRate", "median_engagement").drop("rows")
     order = [F.col("cur_sessions").desc_nulls_last(), F.col("key").asc()]
     leading = top_per(judged, ["property_id"], order, first, "judged_rank").select("property_id", "key", "judged_rank")
-    with_median = attach(judged.drop("_rate"), median, ["property_id"], ["key"])
+    with_median = attach(judged, median, ["property_id"], ["key"])
     return with_median.join(leading, ["property_id", "key"], "left")
 
 
