@@ -698,3 +698,27 @@ FROM web WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY 1,
 def st4_event_life(spark, sf):
     daily = web_events(spark, sf).groupBy("property_id", "event_name", "date").agg(F.count("*").alias("event_count"), F.count_if("is_key").alias("key_events"))
     return streams.event_life(daily, EVENT_WINDOWS).select("property_id", "event_name", F.col("cur_eventCount").cast("double").alias("cur"), F.col("prev_eventCount").cast("double").alias("prev"))
+
+
+@register("st4_event_changes", g.with_(EVENT_SQL, """d AS (SELECT property_id, event_name, date, count(*) AS n FROM web
+    WHERE (day(date) + length(event_name)) % 11 < 5 AND date < (SELECT CAST(max(ts) AS DATE) FROM events) - 2 GROUP BY ALL)""",
+    "m AS (SELECT max(date) AS last FROM d)",
+    """i AS (SELECT *, CASE WHEN date <= lag(date) OVER w + 3 THEN 0 ELSE 1 END AS starts, lag(date) OVER w AS previous FROM d
+      WINDOW w AS (PARTITION BY property_id, event_name ORDER BY date))""",
+    "j AS (SELECT *, sum(starts) OVER (PARTITION BY property_id, event_name ORDER BY date) AS island FROM i)",
+    "k AS (SELECT property_id, event_name, island, max(date) AS till, sum(n) AS n FROM j GROUP BY ALL)") + """
+SELECT property_id, event_name, 'started' AS change, CAST(date AS VARCHAR) AS date, 0 AS event_count FROM j WHERE starts = 1
+UNION ALL SELECT k.property_id, k.event_name, 'stopped', CAST(till + 3 AS VARCHAR), CAST(n AS BIGINT) FROM k, m
+WHERE last > till + 5 OR EXISTS (SELECT 1 FROM k x WHERE x.property_id = k.property_id AND x.event_name = k.event_name AND x.island > k.island)""")
+def st4_event_changes(spark, sf):
+    """Starts and stops from a stream of days; events are thinned out so that they stay away for days."""
+    newest = table(spark, sf, "events").agg(F.max("ts").cast("date").alias("m")).first()["m"]
+    daily = web_events(spark, sf).filter("(day(date) + length(event_name)) % 11 < 5").filter(F.col("date") < F.date_sub(F.lit(newest), 2)).groupBy(
+        "property_id", "event_name", "date").agg(F.count("*").alias("event_count"))
+    path = fresh_path(spark, "thin-days")
+    # A file for each stretch of days, in their order, as a sink of final days grows.
+    for part in range(3):
+        daily.filter(f"(day(date) - 1) div 11 = {part}").coalesce(1).write.mode("append").parquet(path)
+    days = spark.readStream.schema(daily.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return run_to_table(streams.event_changes(days, quiet_days=3), "event-changes").select(
+        "property_id", "event_name", "change", F.col("date").cast("string").alias("date"), "event_count")

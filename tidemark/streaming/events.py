@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import UTC, date, datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def finalised_days(events: DataFrame, settle: str = "2 days") -> DataFrame:
@@ -49,3 +54,49 @@ def event_life(daily: DataFrame, windows) -> DataFrame:
         F.expr("nullif(sum(if(in_previous, event_count, 0)), 0)").alias("prev_eventCount"),
         F.expr("sum(if(in_current, key_events, 0))").alias("cur_keyEvents"),
     )
+
+
+CHANGES = "property_id string, event_name string, change string, date date, previous_date date, event_count bigint"
+LIFE = "first_day date, last_day date, event_count bigint"
+
+
+def _midnight(day: date) -> int:
+    return int(datetime(day.year, day.month, day.day, tzinfo=UTC).timestamp() * 1000)
+
+
+def event_changes(days: DataFrame, quiet_days: int = 7, settle: str = "1 day") -> DataFrame:
+    """When events start, stop and come back, as a stream of finalised days tells it.
+
+    `days` is a stream of property_id, event_name, date and event_count, as `finalised_days` writes
+    them. An event has started on its first day, has stopped once the stream is `quiet_days` past its last
+    day, and is back when it has a day after that. `event_count` is the sum since it started or
+    came back. State is three figures per event that has not stopped; a timer on event time ends it, so
+    an event that stays away needs no further row to be reported. Rows that lie `settle` behind the
+    newest day are late and dropped.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            first, last, count = state.get
+            out.append((*key, "stopped", last + timedelta(days=quiet_days), last, count))
+            state.remove()
+        else:
+            first, last, count = state.get if state.exists else (None, None, 0)
+            rows = pd.concat(list(batches)).groupby("date")["event_count"].sum().sort_index()
+            for day, n in rows.items():
+                if last is not None and day > last + timedelta(days=quiet_days):
+                    # The stream has moved on by more than the quiet time within one batch.
+                    out.append((*key, "stopped", last + timedelta(days=quiet_days), last, count))
+                    first, count = None, 0
+                if first is None:
+                    out.append((*key, "started", day, last, 0))
+                    first = day
+                last, count = max(day, last or day), count + int(n)
+            state.update((first, last, count))
+            # The day after the quiet time: until then a row of its last day may come.
+            state.setTimeoutTimestamp(_midnight(last + timedelta(days=quiet_days + 1)))
+        yield pd.DataFrame(out, columns=["property_id", "event_name", "change", "date", "previous_date", "event_count"])
+
+    stamped = days.withColumn("event_time", F.col("date").cast("timestamp"))
+    return stamped.withWatermark("event_time", settle).groupBy("property_id", "event_name").applyInPandasWithState(
+        step, CHANGES, LIFE, "append", GroupStateTimeout.EventTimeTimeout)
