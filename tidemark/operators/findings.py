@@ -16,6 +16,10 @@ from ..functions.catalog import Kpi
 from ..functions.display import ADS_STYLE, Style, evidence_line, quoted
 from .aggregate import ranked_all
 
+# Words of finding ids that are written in capitals.
+CAPITALS = ("cpa", "cpc", "ctr", "roas", "url")
+
+
 def rule(
     when: str,
     id: str,
@@ -57,6 +61,19 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def with_sentences(findings: DataFrame) -> DataFrame:
+    """Add `sentence`: what was found, where, and the figures behind it, in one line to read.
+
+    The name of the finding becomes words and its evidence the figures; a finding of the whole account
+    names no entity.
+    """
+    capitals = ", ".join(f"'{w}'" for w in CAPITALS)
+    words = f"transform(split(substring_index(id, ':', 1), '_'), w -> if(w IN ({capitals}), upper(w), w))"
+    return findings.withColumn("_said", F.expr(f"array_join({words}, ' ')")).withColumn("sentence", F.expr(
+        "concat(upper(substr(_said, 1, 1)), substr(_said, 2), if(scope <> 'account' AND coalesce(entity, '') <> '', concat(', ', entity), ''), "
+        "if(size(evidence) > 0, concat(': ', array_join(evidence, '; ')), ''), '.')")).drop("_said")
+
+
 # prefix, required type, required severity, required confidence, priority (None: by severity),
 # confidence (None: the finding's own), action
 Rule = tuple[str, str | None, str | None, str | None, str | None, str | None, str]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.catalog import ADS_KPIS, HEADLINES
 from ..functions.compare import long_kpis
 from ..operators import ads, ads_findings, quality
-from ..operators.findings import ordered, union_findings
+from ..operators.findings import ordered, union_findings, with_sentences
 from ..operators.periods import Windows, mark
 from ..session import stage
 
@@ -51,7 +51,7 @@ def build(
         "network_mix": network,
         "conversion_actions": actions,
         "daily": daily,
-        "findings": findings,
+        "findings": with_sentences(findings),
         "recommendations": ordered(ads_findings.recommendations(findings)),
         "checks": quality.ads_checks(
             kpis, totals, campaigns, daily, ads.share_coverage(campaigns), windows),

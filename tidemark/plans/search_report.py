@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import HEADLINES, SEARCH_KPIS
 from ..functions.compare import long_kpis
 from ..operators import quality, search, search_findings, timeseries
-from ..operators.findings import union_findings
+from ..operators.findings import union_findings, with_sentences
 from ..operators.periods import Windows, mark
 from ..session import stage
 
@@ -89,7 +89,7 @@ def build(
         "owners": owners, "cannibalisation": signals,
         "brand": search.brand_split(queries, settings),
         "inspection_targets": search.inspection_targets(pages),
-        "findings": findings,
+        "findings": with_sentences(findings),
         "recommendations": search_findings.recommendations(
             query_lists, page_lists, findings, owners),
         "checks": quality.search_checks(

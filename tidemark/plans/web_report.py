@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.catalog import ECOMMERCE_KPIS, HEADLINES, WEB_KPIS, WEB_MIN_SESSIONS
 from ..functions.compare import long_kpis
 from ..operators import quality, timeseries, web, web_findings
-from ..operators.findings import ordered, union_findings
+from ..operators.findings import ordered, union_findings, with_sentences
 from ..operators.periods import Windows, calendar, flag
 from ..session import stage
 
@@ -79,7 +79,7 @@ def build(
         "headlines": quality.headline_kpis(long.drop("position"), HEADLINES["web"]),
         "segments": web.ranked(segments), "events": events_table, "funnel": funnel,
         "daily": timeseries.on_calendar(days, daily), "missing_days": missing,
-        "anomalies": anomalies, "drift": drift, "findings": findings,
+        "anomalies": anomalies, "drift": drift, "findings": with_sentences(findings),
         "recommendations": ordered(web_findings.recommendations(findings)),
         "checks": quality.web_checks(kpis, missing, windows, min_sessions),
         "unattributed": web.unattributed(

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _open = threading.local()
+_local_dirs: dict[str, str] = {}
 
 # Runtime SQL settings every plan relies on. Cluster sizing stays with the cluster.
 RUNTIME_CONF = {
@@ -50,9 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # The setting cannot be changed in a running session; one folder serves the whole application.
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="tidemark-")
+    return _local_dirs[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
