@@ -381,15 +381,25 @@ def repeated_word_spans(rows: DataFrame, scratch: Scratch, width: int) -> DataFr
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs: overlapping and touching spans joined, in text order."""
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merged(owner: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of each owner: overlapping and touching spans joined, by owner and in text order."""
+    if not len(s):
+        return owner, s, e
+    wide = np.int64(1) << np.int64(40)  # texts are shorter, so owners do not mix
+    order = np.argsort(owner * wide + s, kind="stable")
+    first, last = (owner * wide + s)[order], np.maximum.accumulate((owner * wide + e)[order])
+    at = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]]))
+    owner, end = owner[order][at], last[np.concatenate([at[1:] - 1, [len(last) - 1]])]
+    return owner, first[at] - owner * wide, end - owner * wide
+
+
+def _spans_of(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Row, start, end and kind of all spans in a batch."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    fields = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("s", "e", "w"))
+    return np.repeat(np.arange(len(sizes)), sizes), *fields
 
 
 def _without(raw: np.ndarray, spans: list[tuple[int, int]], whole: bool = False) -> bytes:
@@ -413,17 +423,24 @@ def _cutter(with_text: bool, words: bool):
         for batch in batches:
             data, offsets = textnum.buffer(batch.column("text"))
             texts, rows = batch.column("text").to_pylist() if with_text else None, []
-            for i, found in enumerate(batch.column("spans").to_pylist()):
-                raw = data[offsets[i]:offsets[i + 1]]
-                every = [(x["s"], x["e"], x["w"]) for x in found or ()]
-                spans = merged([x[:2] for x in every if not x[2]])
+            owner, s, e, w = _spans_of(batch.column("spans"))
+            places = np.arange(len(offsets))
+
+            def runs(pick, owner=owner, s=s, e=e, places=places):
+                """For every row the runs of the spans picked."""
+                who, a, b = merged(owner[pick], s[pick], e[pick])
+                ends, pairs = np.searchsorted(who, places).tolist(), list(zip(a.tolist(), b.tolist(), strict=True))
+                return lambda i: pairs[ends[i]:ends[i + 1]]
+
+            windows, passages, every = runs(~w), runs(w), runs(np.ones(len(w), bool))
+            for i in range(len(offsets) - 1):
+                raw, spans = data[offsets[i]:offsets[i + 1]], windows(i)
                 left = _without(raw, spans)
                 row = [len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest()]
                 if words:
-                    passages = merged([x[:2] for x in every if x[2]])
-                    row += [len(passages), sum(e - s for s, e in passages)]
+                    row += [len(passages(i)), sum(y - x for x, y in passages(i))]
                 if with_text:
-                    row.append(_without(raw, merged([x[:2] for x in every]), True).decode() if every else texts[i])
+                    row.append(_without(raw, every(i), True).decode() if every(i) else texts[i])
                 rows.append(row)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * 2 * words + [pa.string()] * with_text
             names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passages", "passage_bytes"] * words + ["kept_text"] * with_text
