@@ -1,3 +1,6 @@
+import html
+import re
+
 from tidemark.llm import html_text as h
 
 from . import frames
@@ -70,3 +73,23 @@ def test_omitted_end_tags_end_what_is_marked():
 def test_region_grows_to_unmarked_parents():
     page = f"<body><nav>Menu</nav><div><h1>Head</h1><p>Lead.</p><div>{BODY}</div><p>End.</p></div><footer>us</footer></body>"
     assert h.main_text(page) == f"Head\nLead.\n{STORY}\nEnd."
+
+
+def by_patterns(page):
+    """The article of the test pages by plain substitutions, without a parser."""
+    found = re.search(r"(?s)<(article|main)\b[^>]*>(.*)</\1>", page)
+    body = found.group(2) if found else page
+    body = re.sub(r"(?s)<!--.*?-->", "", body)
+    body = re.sub(r"(?s)<(script|style|nav|aside|form|footer|head)\b[^>]*>.*?</\1>", "", body)
+    marked = r'(?s)<(div|section|ul|p)\b[^>]*(?:class|id)="[^"]*\b(?:ad|ads|comments?|cookie|share|related|sidebar|promo|newsletter|banner)\b[^"]*"[^>]*>(?:(?!<\1\b).)*?</\1>'
+    while (less := re.sub(marked, "", body)) != body:
+        body = less
+    lines = re.split(r"</?(?:p|div|section|article|main|h[1-6]|ul|ol|li|blockquote|figure|table|tr|td|body|html|hr)\b[^>]*>", body)
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", x))).split()) for x in lines)
+    return "\n".join(x for x in texts if x)
+
+
+def test_pages_of_the_test_data_by_another_way(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("html LIKE '%<article%' AND html LIKE '%</article>%'").collect()
+    different = [p.page_id for p in pages if h.main_text(p.html) != by_patterns(p.html)]
+    assert len(pages) > 1000 and not different

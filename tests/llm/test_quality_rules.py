@@ -55,6 +55,46 @@ def test_fertility_counts_words_alone():
     assert model.is_byte[model.ids(["\U0001f9ff"])].any()
 
 
+def test_bands_and_verdicts_against_plain_percentiles(spark):
+    """Limits and reasons of every document from sorted lists, level by level."""
+    rules = q.Rules(min_docs=12)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = q.measure(docs, ["doc_id"], VOCABULARY).cache()
+    got = {r.row.doc_id: (r.base_failed, r.kept, r.reason) for r in q.judge(measured, q.bands(measured, rules), rules).collect()}
+    rows = measured.collect()
+    failed = {r.row.doc_id: r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words for r in rows}
+    groups = {}
+    for r in rows:
+        if not failed[r.row.doc_id]:
+            for key in ((r.band, r.size), (r.band, None), (None, r.size), (None, None)):
+                groups.setdefault(key, []).append(r)
+
+    def limits(r):
+        for key in ((r.band, r.size), (r.band, None), (None, r.size), (None, None)):
+            members = groups.get(key, [])
+            if len(members) >= rules.min_docs or key == (None, None) and members:
+                break
+        out = {}
+        for name, least in q.SCALES.items():
+            low, mid, high = np.percentile([m[name] for m in members], [25, 50, 75])
+            out[name] = mid, max((high - mid) / 0.6745, least), max((mid - low) / 0.6745, least)
+        return out
+
+    levels = set()
+    for r in rows:
+        x = limits(r)
+        under = lambda n, w: r[n] < x[n][0] - w * x[n][1] - 1e-9  # noqa: E731, B023
+        over = lambda n, w: r[n] > x[n][0] + w * x[n][2] + 1e-9  # noqa: E731, B023
+        reason = (
+            "few words" if r.n_words < 50 else "repeats" if failed[r.row.doc_id] else "short tokens" if under("chars_per_token", rules.width)
+            else "long tokens" if over("chars_per_token", rules.other_width) else "many tokens a word" if over("tokens_per_word", rules.width)
+            else "byte fallback" if over("byte_share", rules.width) else "low entropy" if under("entropy", rules.width)
+            else "one token" if over("top_share", rules.top_width) else None)
+        assert got[r.row.doc_id] == (failed[r.row.doc_id], reason is None, reason), r
+        levels.add(reason)
+    assert len(got) == len(rows) and len(levels) >= 4
+
+
 def test_noise_is_outside_the_bands(spark):
     # Held-out check on labelled documents: symbol noise and shouting go, clean prose stays.
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
