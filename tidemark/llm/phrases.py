@@ -15,6 +15,7 @@ crosses pieces, and no array grows with the longest text, as long as it has piec
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +49,7 @@ CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 SEPARATOR = CUT.copy()
 SEPARATOR[[0x20, 0x09]] = True
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Lower case, and a blank for a tab.
 PLAIN = textnum.LOWER.copy()
 PLAIN[0x09] = 0x20
@@ -113,6 +115,13 @@ def _grams(batch: pa.RecordBatch, max_words: int) -> Iterator[tuple]:
         yield doc, part, s, e, out
 
 
+def _release() -> None:
+    """Give freed memory back to the system, where its C library can; workers of a task share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _held(batches: Iterator[pa.RecordBatch], max_words: int, flush: int) -> Iterator[list[tuple]]:
     """Parts until their occurrences exceed `flush`."""
     held, size = [], 0
@@ -124,7 +133,7 @@ def _held(batches: Iterator[pa.RecordBatch], max_words: int, flush: int) -> Iter
             if size > flush:
                 yield held
                 held, size = [], 0
-                pa.default_memory_pool().release_unused()
+                _release()
     if held:
         yield held
 
@@ -219,6 +228,7 @@ def _count(parts: int, bits: int, filter_of, max_words: int, flush: int):
             width = np.concatenate([np.full(len(at), k, np.int8) for x in held for k, (at, _) in enumerate(x[5], 1)])
             bit = _place(h, parts) * bits + (h & np.uint64(bits - 1)).astype(np.int64)
             ok = np.flatnonzero(passes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            del bit
             _, one, n = np.unique(h[ok], return_index=True, return_counts=True)
             one = ok[one]
             order = np.argsort(owner[one], kind="stable")
