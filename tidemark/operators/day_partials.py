@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove, stage, staging_scope
+from ..session import remove_days_after, stage, staging_scope
 from .aggregate import two_period
 from .periods import Windows, mark
 
@@ -45,7 +45,7 @@ def refresh(facts: DataFrame, path: str, keys: list[str], measures: dict[str, Co
     with staging_scope(spark):
         sums = stage(facts_to_read(facts, last).groupBy(*keys, "date").agg(
             *(F.sum(column).alias(name) for name, column in measures.items()), F.count("*").alias("_rows")), "day-sums")
-        _clear_after(spark, f"{path}/days", last)
+        remove_days_after(spark, f"{path}/days", last)
         # One file for each day: a day's keys are dealt out by the day.
         sums.withColumn("day", F.col("date")).repartition("day").write.mode("append").partitionBy("day").parquet(f"{path}/days")
     if final is not None and (last is None or final > last):
@@ -58,17 +58,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/days")
 
 
-def _clear_after(spark: SparkSession, path: str, last: date | None) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(folder):
-        for status in fs.listStatus(folder):
-            name = status.getPath().getName()
-            if name.startswith("day=") and (last is None or name[4:] > last.isoformat()):
-                remove(spark, status.getPath().toString())
-
-
 def compared(days: DataFrame, windows: Windows, keys: list[str], measures: list[str]) -> DataFrame:
     """What `two_period` gives for the facts, from the sums of their days. Only folders of the windows are read."""
     lo, hi = min(windows.cur_start, windows.prev_start), max(windows.cur_end, windows.prev_end)

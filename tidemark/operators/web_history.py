@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import remove, stage, staging_scope
+from ..session import remove_days_after, stage, staging_scope
 from .periods import Windows, flag
 from .web import sessionize
 
@@ -93,24 +93,11 @@ def keep(events: DataFrame, path: str, through: date, gap_minutes: int = 30) ->
         still = own.select(*KEY, F.expr("IF(_on AND sessions = 1, open_date, last.date)").alias("open_date"),
                            F.col("last.ended").alias("last_ts"), F.lit(through).alias("day")).filter(F.col("last_ts") >= end)
         for name, part in (("users", users), ("purchases", purchases), ("open", still)):
-            _drop_after(spark, f"{path}/{name}", last)
+            remove_days_after(spark, f"{path}/{name}", last)
             part.write.mode("append").partitionBy("day").parquet(f"{path}/{name}")
         spark.createDataFrame([(through,)], "through date").coalesce(1).write.mode("append").parquet(f"{path}/through")
 
 
-def _drop_after(spark: SparkSession, path: str, last: date | None) -> None:
-    """Remove the folders of days after `last`, which an attempt that did not end has left."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("day=") and (last is None or name[4:] > last.isoformat()):
-            remove(spark, status.getPath().toString())
-
-
 def windowed_sessions(
     events: DataFrame, windows: Windows, path: str, gap_minutes: int = 30, dimensions: tuple[str, ...] = (),
     first_channel: bool = True,

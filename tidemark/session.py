@@ -6,6 +6,7 @@ import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,6 +86,19 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_days_after(spark: SparkSession, path: str, last: date | None) -> None:
+    """Delete the `day=` folders of days after `last`, all of them if there is none; those of a table that
+    is kept by day and was not brought to its end."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(folder):
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("day=") and (last is None or name[4:] > last.isoformat()):
+                remove(spark, status.getPath().toString())
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
