@@ -14,8 +14,8 @@ class Scratch:
     """Tables written to the shared folder, which a lost executor does not take along.
 
     A table that nothing reads any more is removed with `drop`. The tables behind an operator's
-    lazy result stay; `clear` removes them once the result is written. `codec` compresses tables that
-    hold whole texts, where room matters more than time.
+    lazy result stay; `clear` removes them once the result is written. `codec` compresses tables with a
+    column of texts (`text`, `html` or `ctx`), where room matters more than time.
     """
 
     def __init__(self, spark: SparkSession, name: str, codec: str | None = None):
@@ -24,7 +24,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, f"{self.name}-{name}")
         self.paths[name] = path
-        (df.write.option("compression", self.codec) if self.codec else df.write).parquet(path)
+        texts = self.codec and not {"text", "html", "ctx"}.isdisjoint(df.columns)
+        (df.write.option("compression", self.codec) if texts else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -35,6 +36,11 @@ class Scratch:
         self.drop(*list(self.paths))
         gc.collect()  # lets Spark remove the shuffle files of frames that are gone
 
+    def release(self) -> None:
+        """Have the shuffle files of frames that are gone removed now, before the next large step."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def with_row_ids(df: DataFrame, scratch: Scratch, *columns: str, name: str = "rows") -> DataFrame:
     """`columns` of every row and a number `rid`, written once so that later passes see the same

@@ -466,6 +466,7 @@ def remove_repeats(
     rows = with_row_ids(docs, scratch, F.struct(*carry).alias("row"), F.col(text_col).alias("text"))
     spans = repeated_spans(rows.select("rid", "text"), scratch, window).withColumn("w", F.lit(False))
     if words:
+        scratch.release()
         spans = spans.unionByName(repeated_word_spans(rows.select("rid", "text"), scratch, words).withColumn("w", F.lit(True)))
     per_text = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "w")).alias("spans"))
     joined = rows.join(per_text.hint("shuffle_hash"), "rid", "left").select("row", "text", "spans")
