@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import views
 from checks import web as web_queries
-from tidemark.operators import periods
+from tidemark.operators import periods, web_history
 from tidemark.plans import ads_report, search_report, web_report, write
+from tidemark.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -49,3 +50,9 @@ def test_search_report(spark):
 def test_web_report(spark):
     report = web_report.build(views.web_events(spark, SF), web_queries.definitions(spark, SF), views.EVENT_WINDOWS, min_sessions=5)
     invariants(report)
+    # The same from kept first days and the events of the windows.
+    path = fresh_path(spark, "first-seen")
+    web_history.keep(views.web_events(spark, SF), path, views.EVENT_WINDOWS.cur_end)
+    kept = web_report.build(views.web_events(spark, SF), web_queries.definitions(spark, SF), views.EVENT_WINDOWS, min_sessions=5, history=path)
+    for part in ("kpis", "findings", "daily"):
+        assert sorted(map(str, kept[part].collect())) == sorted(map(str, report[part].collect())), part

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.catalog import ECOMMERCE_KPIS, HEADLINES, WEB_KPIS, WEB_MIN_SESSIONS
 from ..functions.compare import long_kpis
-from ..operators import quality, timeseries, web, web_findings
+from ..operators import quality, timeseries, web, web_findings, web_history
 from ..operators.findings import ordered, union_findings, with_sentences
 from ..operators.periods import Windows, calendar, flag
 from ..session import stage
@@ -23,17 +23,22 @@ def build(
     min_sessions: int = WEB_MIN_SESSIONS,
     gap_minutes: int = 30,
     warnings: DataFrame | None = None,
+    history: str | None = None,
 ) -> dict[str, DataFrame]:
     """All parts of the report by name. `definitions` are the key events of each property.
 
     `dimensions` names a breakdown for each column of the sessions; columns of the events are carried
     over to the sessions as needed. `warnings` (property_id, seq, text) are data-quality notes of the
-    source; each distinct one becomes a finding.
+    source; each distinct one becomes a finding. `history` is the folder of kept first days
+    (`web_history.keep`); with it the events of the windows are read instead of all there are.
     """
     own = set(DIMENSIONS.values()) | {"first_channel"}
     carried = tuple(sorted({c for c in (dimensions or {}).values() if c in events.columns} - own))
-    sessions = stage(
-        flag(web.with_first_seen(web.sessionize(events, gap_minutes, carried)), windows), "web-sessions")
+    if history is None:
+        sessions = flag(web.with_first_seen(web.sessionize(events, gap_minutes, carried)), windows)
+    else:
+        sessions = web_history.windowed_sessions(events, windows, history, gap_minutes, carried)
+    sessions = stage(sessions, "web-sessions")
     marked = flag(events, windows).filter("in_current OR in_previous")
     totals = stage(web.totals(sessions), "web-totals")
     kpis = stage(web.kpis_wide(totals), "web-kpis")
