@@ -311,7 +311,7 @@ def support(spark, sf):
     joined = table(spark, sf, "customer").join(orders(spark, sf), F.expr("o_custkey = c_custkey"), "left").withColumn(
         "m", F.expr(f"try_element_at({names}, CAST(nullif(o_orderkey % 8 + 1, 0) AS INT))"))
     return joined.groupBy(F.col("c_name").alias("property_id"), "c_custkey").agg(F.collect_set("m").alias("m")).select(
-        "property_id", F.expr("IF(c_custkey % 10 = 0, NULL, m)").alias("metrics"), F.expr("IF(c_custkey % 10 = 0, NULL, m)").alias("dimensions"))
+        "property_id", "c_custkey", F.expr("IF(c_custkey % 10 = 0, NULL, m)").alias("metrics"), F.expr("IF(c_custkey % 10 = 0, NULL, m)").alias("dimensions"))
 
 
 @register("src6_metric_support", g.with_(SUPPORT) + """SELECT property_id, metric, metrics IS NULL OR list_contains(metrics, metric) AS supported,
@@ -323,8 +323,11 @@ def src6_metric_support(spark, sf):
 @register("src7_src8_vocabularies", g.with_(SUPPORT) + """SELECT property_id, CASE WHEN metrics IS NULL OR list_contains(metrics, 'landingPagePlusQueryString') THEN 'landingPagePlusQueryString' WHEN list_contains(metrics, 'landingPage') THEN 'landingPage' END AS dimension,
   CASE WHEN metrics IS NULL OR list_has_all(metrics, ['keyEvents', 'sessionKeyEventRate', 'userKeyEventRate']) THEN 'keyEvents' WHEN list_has_all(metrics, ['conversions', 'sessionConversionRate', 'userConversionRate']) THEN 'conversions' END AS metric_naming FROM sup""")
 def src7_vocabularies(spark, sf):
-    s = support(spark, sf)
-    return envelopes.first_dimension(s, "landing_page").join(envelopes.key_event_vocabulary(s), "property_id")
+    # Customers may share a name: a row meets its own key only, or many of one name would multiply.
+    s, key = support(spark, sf), ["property_id", "c_custkey"]
+    naming = envelopes.key_event_vocabulary(s, key).withColumnsRenamed({"property_id": "_id", "c_custkey": "_key"})
+    return envelopes.first_dimension(s, "landing_page", key).join(
+        naming, (F.col("property_id") == F.col("_id")) & F.col("c_custkey").eqNullSafe(F.col("_key"))).select("property_id", "dimension", "metric_naming")
 
 
 @register("p06_canonical_metrics", """SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS "keyEvents", l_tax * 100.0 AS "sessionKeyEventRate", l_discount * 100.0 AS "engagementRate" FROM lineitem""")

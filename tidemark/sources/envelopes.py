@@ -6,6 +6,8 @@ null when its request failed. The three states stay apart all the way through.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,20 +243,20 @@ def metric_support(properties: DataFrame, requested: list[str]) -> DataFrame:
         F.when(~supported, "not in this property's metric schema").alias("reason"))
 
 
-def first_dimension(properties: DataFrame, role: str) -> DataFrame:
-    """The first dimension name of a role that each property knows."""
+def first_dimension(properties: DataFrame, role: str, keys: Sequence[str] = ("property_id",)) -> DataFrame:
+    """The first dimension name of a role that each property knows. `keys` name a property."""
     options = [F.when(F.col("dimensions").isNull() | F.array_contains("dimensions", name),
                       F.lit(name)) for name in DIMENSION_ALIASES[role]]
-    return properties.select("property_id", F.coalesce(*options, F.lit(None)).alias("dimension"))
+    return properties.select(*keys, F.coalesce(*options, F.lit(None)).alias("dimension"))
 
 
-def key_event_vocabulary(properties: DataFrame) -> DataFrame:
-    """Current key-event metrics, else the older trio, else none."""
+def key_event_vocabulary(properties: DataFrame, keys: Sequence[str] = ("property_id",)) -> DataFrame:
+    """Current key-event metrics, else the older trio, else none. `keys` name a property."""
     def has_all(names):
         return F.col("metrics").isNull() | (
             F.size(F.array_intersect("metrics", F.array(*[F.lit(n) for n in names]))) == len(names))
 
-    return properties.select("property_id", F.when(has_all(KEY_EVENT_METRICS), "keyEvents").when(
+    return properties.select(*keys, F.when(has_all(KEY_EVENT_METRICS), "keyEvents").when(
         has_all(LEGACY_KEY_EVENT_METRICS), "conversions").alias("metric_naming"))
 
 
