@@ -64,6 +64,23 @@ def test_batch_is_filed_like_one_at_a_time(spark, seed, rounds):
     assert all("forced past" in r["review_notes"] for r in forced)
 
 
+def test_forced_row_repeats_one_that_settles_later(spark):
+    day, other = date(2026, 3, 1), date(2026, 3, 2)
+    batch = [("c", 1, "Shell", "a", day, Decimal(1), False, ""), ("c", 2, "Shell", "a", day, Decimal(2), False, ""),
+             ("c", 3, "Shell", "b", day, Decimal(2), False, ""), ("c", 4, "Shell", "b", other, Decimal(3), True, "")]
+    got = filed(spark, batch, [])
+    assert got == brute(batch, []) and got[4] == ("written", 3, "same receipt number", True)
+
+
+def test_keys_of_one_row_are_not_joined(spark, monkeypatch):
+    """Of 400 rows four share a key: two keys are looked up in a round, and for what they repeat."""
+    joined, write = [], aggregate.stage
+    monkeypatch.setattr(aggregate, "stage", lambda df, name, *more: joined.append(write(df, name, *more)) or joined[-1])
+    batch = [("c", i, "Shell", f"n{max(i, 1)}", date(2026, 3, 1), Decimal(min(i, 398)), False, "") for i in range(400)]
+    assert filed(spark, batch, []) == brute(batch, [])
+    assert 0 < sum(df.count() for df in joined) <= 10
+
+
 def test_long_chain_of_look_alikes(spark):
     # Row i shares its number with row i - 1 or its date and amount with it, by turns.
     batch = [("c", i, "Shell", f"n{(i + 1) // 2}", date(2026, 3, 1), Decimal(i // 2), False, "") for i in range(1200)]
