@@ -4,6 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import aggregate
 from tidemark.streaming import events, inbox
 
 EVENT = "property_id string, user_id int, ts timestamp_ntz, event_name string, is_key boolean, revenue decimal(18,2)"
@@ -80,6 +81,23 @@ def test_a_batch_reads_the_buckets_of_its_keys_only(spark, tmp_path):
     assert sorted(r["line"] for r in inbox.read_ledger_table(spark, old).filter("line >= 5000").collect()) == [5002]
 
 
+def test_arrivals_without_look_alikes_join_no_keys(spark, tmp_path, monkeypatch):
+    joined, write = [], aggregate.stage
+
+    def counted(df, name, *more):
+        kept = write(df, name, *more)
+        joined.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(aggregate, "stage", counted)
+    rows = spark.range(300).selectExpr(
+        "'c' AS client", "'m' AS merchant", "concat('R', id) AS receipt_number", "DATE '2026-01-01' AS purchase_date",
+        "CAST(id AS DECIMAL(18,2)) AS gross_amount", "concat('p', id) AS source_path", "id AS seq")
+    inbox.file_arrivals(rows, 0, str(tmp_path / "ledger"))
+    assert inbox.read_ledger_table(spark, str(tmp_path / "ledger")).count() == 300
+    assert joined and sum(joined) == 0
+
+
 def test_events_start_stop_and_come_back_over_restarts(spark, tmp_path):
     schema = "property_id string, event_name string, date date, event_count bigint"
     rng, quiet, rows = random.Random(3), 3, []
