@@ -245,6 +245,38 @@ def test_archive_names(spark):
                    2: "2026-03-14_shell-service_48.20.pdf", 3: "2026-03-14_shell-service_48.20.jpg"}
 
 
+@pytest.mark.parametrize("block", [0, 6, 1000])
+def test_archive_names_at_once_and_in_blocks(spark, tmp_path, block):
+    rng = random.Random(5)
+    rows = [("c", i, m, date(2026, 3, 14), Decimal("1.00"), f"in/{i}.jpg") for i, m in enumerate(
+        rng.choices(["Hot", "hot!", "Cafe", "Bar"], [20, 20, 3, 2], k=120))]
+    taken = [("c", "202603_March", f"2026-03-14_{s}_1.00", "jpg", n) for s in ("hot", "cafe", "bar") for n in rng.choices(range(1, 60), k=30)]
+    spark.createDataFrame(rows, "client string, seq bigint, merchant string, purchase_date date, gross_amount decimal(18,2), source_path string"
+                          ).write.parquet(str(tmp_path / "incoming"))
+    archived = spark.createDataFrame(taken, "client string, folder string, stem string, ext string, n int")
+    want, used = {}, {(stem, n) for _, _, stem, _, n in taken}
+    for _, seq, merchant, *_ in rows:
+        stem = f"2026-03-14_{key(merchant)}_1.00"
+        n = next(n for n in range(1, 1000) if (stem, n) not in used)
+        used.add((stem, n))
+        want[seq] = f"202603_March/{stem}{f'-{n}' if n > 1 else ''}.jpg"
+    named = ledger.archive_names(spark.read.parquet(str(tmp_path / "incoming")), archived, block=block)
+    assert {r["seq"]: r["file_path"] for r in named.collect()} == want
+
+
+def test_archive_names_reads_and_names_its_rows_once(spark, tmp_path):
+    spark.createDataFrame([("c", 1, "Shell", date(2026, 3, 14), Decimal("1.00"), "in/a.jpg")],
+                          "client string, seq bigint, merchant string, purchase_date date, gross_amount decimal(18,2), source_path string"
+                          ).write.parquet(str(tmp_path / "incoming"))
+    taken = spark.createDataFrame([("c", "202603_March", "2026-03-14_shell_1.00", "jpg", 1)], "client string, folder string, stem string, ext string, n int")
+    named = ledger.archive_names(spark.read.parquet(str(tmp_path / "incoming")), taken)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    # What numbers the rows reads written names, and the files and taken numbers meet in one shuffle.
+    assert str(tmp_path / "incoming") not in plan and "regexp_extract" not in plan
+    assert plan.count("Exchange ") == 1
+    assert [r["file_path"] for r in named.collect()] == ["202603_March/2026-03-14_shell_1.00-2.jpg"]
+
+
 def write(path, header, rows):
     path.write_text("\n".join([",".join(header), *rows]) + "\n")
     return str(path)

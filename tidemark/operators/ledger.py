@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -87,6 +87,9 @@ AMOUNT_KEY = ["client", "merchant_key", "purchase_date", "gross_amount"]
 PARALLEL_ROUNDS = 6
 # Rows of one group of look-alikes that a task files in order at a time.
 FILING_BLOCK = 100_000
+# Files and taken numbers of one name that a task numbers at once, and the buckets of names they are counted in.
+NAMING_BLOCK = 1_000_000
+NAMING_BUCKETS = 65_536
 
 
 def _position(rank: int, at: str) -> Column:
@@ -267,33 +270,65 @@ def file_batch(
     return _described(hit.withColumn("review_notes", F.coalesce(note, F.col("review_notes"))))
 
 
-def archive_names(rows: DataFrame, archived: DataFrame | None = None) -> DataFrame:
+def archive_names(rows: DataFrame, archived: DataFrame | None = None, block: int = NAMING_BLOCK) -> DataFrame:
     """Folder and collision-free name per row: the first name that is free, `stem`, `stem-2`, ...
 
     A file already in its folder under its stem keeps its name. `archived` has client, folder, stem,
-    ext and `n`, the number of each name that is taken (1 without a suffix).
+    ext and `n`, the number of each name that is taken (1 without a suffix). Names are worked out once
+    and written. Names with up to `block` files and taken numbers meet in one shuffle; those in a bucket
+    of hashes that holds more are numbered in blocks.
     """
     keys = ["client", "folder", "stem", "ext"]
-    named = rows.withColumns({
+    named = stage(rows.withColumns({
         "folder": archive_folder(F.col("purchase_date")),
         "stem": archive_stem(F.col("purchase_date"), F.col("merchant"), F.col("gross_amount")),
         "ext": extension(F.col("source_path")),
     }).withColumn("already_in_place", F.expr(
         "regexp_extract(source_path, '([^/]+)/[^/]+$', 1) = folder "
-        "AND startswith(regexp_extract(source_path, '([^/]+)$', 1), stem)"))
-    moving = numbered(named.filter("NOT already_in_place"), keys, "seq", "n")
+        "AND startswith(regexp_extract(source_path, '([^/]+)$', 1), stem)")), "archive-named")
+    both = named.filter("NOT already_in_place").withColumns({"_at": F.col("seq").cast("bigint"), "_taken": F.lit(0)})
     if archived is not None:
-        # Before the j-th taken number t lie t - j free ones; the k-th new file skips all that come
-        # before it, the j with t - j < k.
-        taken = numbered(archived.select(*keys, "n").distinct(), keys, "n", "j").select(*keys, (F.col("n") - F.col("j")).cast("bigint").alias("n"))
-        moving = counted_before(moving.withColumn("n", F.col("n").cast("bigint")), taken, keys, "n", "skip").withColumn(
-            "n", F.col("n") + F.col("skip")).drop("skip")
-    placed = moving.withColumn("file_path", F.expr(
-        "concat(folder, '/', stem, if(n > 1, concat('-', n), ''), '.', ext)")).drop("n")
+        taken = stage(archived.select(*keys, F.col("n").cast("bigint").alias("_at")), "archive-taken")
+        both = both.unionByName(taken.withColumn("_taken", F.lit(1)), allowMissingColumns=True)
+    # A name that lacks a part is not given out.
+    both = both.dropna(subset=[*keys, "_at"]).withColumn("_hash", F.xxhash64(*keys))
+    bucket = F.pmod("_hash", F.lit(NAMING_BUCKETS))
+    large = [r[0] for r in both.groupBy(bucket.alias("_bucket")).count().filter(F.col("count") > block).collect()]
+    if large:
+        placed = _numbers_at_once(both.filter(~bucket.isin(large)), keys).unionByName(
+            _numbers_in_blocks(both.filter(bucket.isin(large)), keys))
+    else:
+        placed = _numbers_at_once(both, keys)
+    placed = placed.withColumn("file_path", F.expr(
+        "concat(folder, '/', stem, if(n > 1, concat('-', n), ''), '.', ext)")).drop("n", "_at", "_taken", "_hash", "_place", "_skips")
     kept = named.filter("already_in_place").withColumn("file_path", F.col("source_path"))
     return placed.unionByName(kept)
 
 
+# Before the j-th taken number t lie t - j free ones; the k-th new file skips all that come before it,
+# the j with t - j < k.
+def _numbers_at_once(both: DataFrame, keys: list[str]) -> DataFrame:
+    """The number of each new file. A repeated taken number counts once; at equal places a file comes first.
+    One shuffle by the hash serves both windows; it goes before the parts of the name, so that most comparisons
+    of a sort end there."""
+    name = Window.partitionBy("_hash", *keys)
+    order = Window.partitionBy("_hash", *keys, "_taken").orderBy("_at")
+    placed = both.repartition("_hash").withColumns({
+        "_place": F.when(F.col("_taken") == 0, F.row_number().over(order)).otherwise(F.col("_at") - F.dense_rank().over(order)),
+        "_skips": F.when((F.col("_taken") == 1) & (F.row_number().over(order) == 1), 1).when(
+            (F.col("_taken") == 1) & (F.lag("_at").over(order) < F.col("_at")), 1).otherwise(0)})
+    skipped = F.sum("_skips").over(name.orderBy("_place", "_taken").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("n", F.col("_place") + skipped).filter("_taken = 0")
+
+
+def _numbers_in_blocks(both: DataFrame, keys: list[str]) -> DataFrame:
+    """As `_numbers_at_once`, for names of any size."""
+    moving = numbered(both.filter("_taken = 0"), keys, "_at", "_place").withColumn("_skips", F.lit(0))
+    taken = numbered(both.filter("_taken = 1").select(*keys, "_at").distinct(), keys, "_at", "_j").select(
+        *keys, (F.col("_at") - F.col("_j")).alias("_place"))
+    return counted_before(moving, taken, keys, "_place", "_skip").withColumn("n", F.col("_place") + F.col("_skip")).drop("_skip")
+
+
 def review_reasons(rows: DataFrame, home_currency: str = "GBP", round_from: int = 100) -> DataFrame:
     """Reasons that force a review, as far as columns decide them.
 
