@@ -81,6 +81,16 @@ def test_keys_of_one_row_are_not_joined(spark, monkeypatch):
     assert 0 < sum(df.count() for df in joined) <= 10
 
 
+def test_an_empty_ledger_is_not_joined(spark):
+    row = ("c", 1, "Shell", "a", date(2026, 3, 1), Decimal(1))
+    rows = ledger.with_match_keys(spark.createDataFrame([(*row, False, "")], ROW))
+    for lines, joins, found in (([], 0, [0, 0]), ([row[:1] + (7,) + row[2:]], 2, [1, 1])):
+        booked = ledger.with_match_keys(spark.createDataFrame(lines, OLD)).withColumn("pos", ledger._position(0, "line"))
+        firsts = ledger._firsts_for(rows, booked)
+        assert sum("Join" in f._jdf.queryExecution().analyzed().toString() for f in firsts) == joins
+        assert [f.count() for f in firsts] == found
+
+
 def test_long_chain_of_look_alikes(spark):
     # Row i shares its number with row i - 1 or its date and amount with it, by turns.
     batch = [("c", i, "Shell", f"n{(i + 1) // 2}", date(2026, 3, 1), Decimal(i // 2), False, "") for i in range(1200)]

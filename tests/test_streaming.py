@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregate
@@ -98,6 +99,27 @@ def test_arrivals_without_look_alikes_join_no_keys(spark, tmp_path, monkeypatch)
     assert joined and sum(joined) == 0
 
 
+def test_an_arrival_is_written_once_before_it_is_filed(spark, tmp_path, monkeypatch):
+    """Texts of the rows lie in the batch, the ledger and its table by key, and nowhere else."""
+    tables, write = [], DataFrameWriter.parquet
+
+    def noted(writer, path, *more, **options):
+        write(writer, path, *more, **options)
+        tables.append((path.rsplit("/", 1)[-1].split("-")[0], writer._df.columns))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    rows = spark.range(40).selectExpr(
+        "'c' AS client", "'m' AS merchant", "concat('R', id % 30) AS receipt_number", "DATE '2026-01-01' AS purchase_date",
+        "CAST(id AS DECIMAL(18,2)) AS gross_amount", "concat('p', id) AS source_path", "id AS seq")
+    path = str(tmp_path / "ledger")
+    inbox.file_arrivals(rows, 0, path)
+    assert [name for name, columns in tables if "merchant" in columns] == ["batch", "ledger", "ledger"]
+    assert not any("source_path" in columns for _, columns in tables)
+    assert sorted(r.line for r in inbox.read_ledger_table(spark, path).collect()) == list(range(30))
+    by_key = spark.read.parquet(f"{path}-by-key").collect()
+    assert sorted((r.kind, r.line) for r in by_key) == [(kind, i) for kind in ("amount", "number") for i in range(30)]
+
+
 def test_events_start_stop_and_come_back_over_restarts(spark, tmp_path):
     schema = "property_id string, event_name string, date date, event_count bigint"
     rng, quiet, rows = random.Random(3), 3, []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -140,7 +140,9 @@ def find_duplicates(batch: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def _firsts_for(rows: DataFrame, booked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first positions of the keys that `rows` have."""
+    """The first positions of the keys that `rows` have. An empty ledger has none: the keys are not shuffled for it."""
+    if booked.isEmpty():
+        return _firsts(booked)
     numbers = rows.filter("number_key IS NOT NULL").select(*NUMBER_KEY).distinct()
     return (_firsts(booked.join(numbers, NUMBER_KEY, "left_semi"))[0],
             _firsts(booked.join(rows.select(*AMOUNT_KEY).distinct(), AMOUNT_KEY, "left_semi"))[1])
@@ -219,7 +221,7 @@ def _file_components(waiting: DataFrame, block: int) -> list[DataFrame]:
 
 
 def file_batch(
-    batch: DataFrame, ledger: DataFrame, rounds: int = PARALLEL_ROUNDS, block: int = FILING_BLOCK
+    batch: DataFrame, ledger: DataFrame | Callable[[DataFrame], DataFrame], rounds: int = PARALLEL_ROUNDS, block: int = FILING_BLOCK
 ) -> DataFrame:
     """Decide every row of a batch as if rows were filed one at a time in the order of `seq`.
 
@@ -230,11 +232,12 @@ def file_batch(
     look-alikes are settled and carries on with the others only. Chains of look-alikes that are
     longer than the rounds are filed in order, each connected group of them by itself and a large one
     in blocks. Joins meet only keys that several rows have, and only rows that need a reason look for
-    the row they repeat. `seq` is unique in the batch.
+    the row they repeat. `seq` is unique in the batch. The batch is written once; `ledger` may be a
+    function that gets the written rows and returns the lines that can match them.
     """
     keys = ["client", "merchant_key", "number_key", "purchase_date", "gross_amount"]
     rows = stage(with_match_keys(batch), "batch")
-    booked = with_match_keys(ledger).withColumn("pos", _position(0, "line")).select(*keys, "pos")
+    booked = with_match_keys(ledger(rows) if callable(ledger) else ledger).withColumn("pos", _position(0, "line")).select(*keys, "pos")
     waiting = rows.select(F.col("seq").cast("bigint").alias("seq"), *keys, F.coalesce("force", F.lit(False)).alias("force"))
     waiting = _first_hits(waiting, *_firsts_for(rows, booked)).select(
         "seq", *keys, "force", F.col("number_pos.at").alias("number_old"), F.col("amount_pos.at").alias("amount_old"),

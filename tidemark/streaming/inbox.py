@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ledger import AMOUNT_KEY, NUMBER_KEY, file_batch, with_match_keys
-from ..session import stage, staging_scope
+from ..session import staging_scope
 
 LEDGER = ("client string, merchant string, receipt_number string, purchase_date date, "
           "gross_amount decimal(18,2), line bigint, run_id string")
@@ -87,21 +87,25 @@ def read_matching(batch: DataFrame, path: str, buckets: int = KEY_BUCKETS) -> Da
 def file_arrivals(batch: DataFrame, batch_id: int, ledger_path: str, keys_path: str | None = None, buckets: int = KEY_BUCKETS) -> None:
     """File one micro-batch. Its rows form their own partition, so a replay overwrites itself.
 
-    The ledger that a replay compares with leaves out the partitions of the batch itself.
+    The ledger that a replay compares with leaves out the partitions of the batch itself. Arrivals are
+    written once, with the columns of the ledger only, and the table by key is made from the filed rows
+    as the ledger holds them.
     """
     spark = batch.sparkSession
     keys_path = keys_path or f"{ledger_path.rstrip('/')}-by-key"
     run_id = f"batch-{batch_id:09d}"
     ensure_keys(spark, ledger_path, keys_path, buckets)
     with staging_scope(spark):
-        arrived = stage(batch.withColumns({"force": F.lit(False), "review_notes": F.lit("")}), "arrivals")
-        booked = read_matching(arrived, keys_path, buckets).filter(F.col("run_id") != run_id)
-        written = stage(file_batch(arrived, booked).filter("state = 'written'").select(
+        arrived = batch.select(
+            "client", "merchant", "receipt_number", "purchase_date", "gross_amount", "seq",
+            F.lit(False).alias("force"), F.lit("").alias("review_notes"))
+        filed = file_batch(arrived, lambda rows: read_matching(rows, keys_path, buckets).filter(F.col("run_id") != run_id))
+        written = filed.filter("state = 'written'").select(
             "client", "merchant", "receipt_number", "purchase_date", "gross_amount",
-            F.col("seq").alias("line"), F.lit(run_id).alias("run_id")), "arrivals-written")
+            F.col("seq").alias("line"), F.lit(run_id).alias("run_id"))
         written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "run_id").parquet(ledger_path)
-        write_keys(written, keys_path, buckets)
+        write_keys(_read(spark, written.schema, ledger_path).filter(F.col("run_id") == run_id), keys_path, buckets)
 
 
 def start(
